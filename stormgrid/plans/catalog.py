@@ -1,7 +1,7 @@
 """Registered queries: name -> Spark plan over the derived tables (+ DuckDB oracle).
 
 Every query reads the driver's parquet tables through :mod:`views`, on the
-whole tables. Inputs are memoised per (session, sf_dir) only as lazy frames.
+whole tables. Derived inputs are memoised per call only as lazy frames.
 """
 
 from __future__ import annotations
@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracle as O
 from . import views as V
+from ..operators import results as R
 from ..operators import search as S
+from ..operators import stats as ST
 from ..operators import tracks as T
 
 
@@ -40,6 +43,25 @@ class Inputs:
     def sites(self) -> DataFrame:
         return self._get("sites", lambda: V.sites(self.spark, self.sf_dir))
 
+    @property
+    def events(self) -> DataFrame:
+        return self._get("events", lambda: V.tsunami_events(self.spark, self.sf_dir))
+
+    @property
+    def search(self) -> DataFrame:
+        return self._get("search", lambda: S.cyclone_search(self.obs, self.tracks, self.sites))
+
+    def customer(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/customer.parquet")
+
+    def requested_sids(self) -> DataFrame:
+        c = F.col("c_custkey")
+        return self.customer().select(F.concat(F.lit("S"), (c % 2000).cast("string"), F.lit("-"),
+                                               (c % 7).cast("string")).alias("sid")).distinct()
+
+    def requested_event_ids(self) -> DataFrame:
+        return self.customer().select((F.col("c_custkey") * 53).alias("id")).distinct()
+
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -54,10 +76,165 @@ def register(name: str, oracle_sql: str | None = None):
     return deco
 
 
+# ------------------------------------------------------------------ searches
+
 @register("storms_near", O.storms_near_sql())
 def q_storms_near(i: Inputs) -> DataFrame:
     return S.storms_near(i.obs, i.tracks, i.sites)
 
 
+@register("cyclone_search", O.CYCLONE_SEARCH)
+def q_cyclone_search(i: Inputs) -> DataFrame:
+    return i.search
+
+
+@register("result_count", O.RESULT_COUNT)
+def q_result_count(i: Inputs) -> DataFrame:
+    hits = S.tracks_within(i.obs, i.sites)
+    return S.result_count(i.sites, hits)
+
+
+@register("nearest_storm", O.nearest_sql())
+def q_nearest_storm(i: Inputs) -> DataFrame:
+    return S.nearest_storm(i.obs, i.tracks, i.sites)
+
+
+@register("min_dist_to_land", O.MIN_DIST_TO_LAND)
+def q_min_dist_to_land(i: Inputs) -> DataFrame:
+    return T.min_dist_to_land(i.obs)
+
+
+@register("storm_semi", O.STORM_SEMI)
+def q_storm_semi(i: Inputs) -> DataFrame:
+    hits = S.tracks_within(i.obs, i.sites).select("sid").distinct()
+    return i.obs.join(hits, "sid", "left_semi").select("obs_id", "sid", "iso_time", "wmo_wind")
+
+
+@register("events_near", O.events_near_sql())
+def q_events_near(i: Inputs) -> DataFrame:
+    return S.events_near(i.events, i.sites)
+
+
+@register("tsunami_search", O.tsunami_search_sql())
+def q_tsunami_search(i: Inputs) -> DataFrame:
+    return S.tsunami_search(i.events, i.sites)
+
+
+# ------------------------------------------------------------------ tracks
+
+@register("build_tracks", O.BUILD_TRACKS)
+def q_build_tracks(i: Inputs) -> DataFrame:
+    return i.tracks
+
+
+@register("track_segments", O.TRACK_SEGMENTS)
+def q_track_segments(i: Inputs) -> DataFrame:
+    return T.track_segments(i.obs)
+
+
+@register("obs_position", O.OBS_POSITION)
+def q_obs_position(i: Inputs) -> DataFrame:
+    return T.obs_position(i.obs)
+
+
+@register("track_points", O.TRACK_POINTS)
+def q_track_points(i: Inputs) -> DataFrame:
+    return T.track_points(i.obs)
+
+
+@register("storm_lookup", O.STORM_LOOKUP)
+def q_storm_lookup(i: Inputs) -> DataFrame:
+    return T.track_points(i.obs, i.requested_sids())
+
+
+@register("not_found_storms", O.NOT_FOUND_STORMS)
+def q_not_found_storms(i: Inputs) -> DataFrame:
+    return S.not_found(i.requested_sids(), i.tracks, "sid")
+
+
+@register("not_found_events", O.NOT_FOUND_EVENTS)
+def q_not_found_events(i: Inputs) -> DataFrame:
+    return S.not_found(i.requested_event_ids(), i.events, "id")
+
+
+@register("visible_tracks", O.VISIBLE_TRACKS)
+def q_visible_tracks(i: Inputs) -> DataFrame:
+    return R.visible_tracks(i.tracks, R.year_range(i.search, 1950, 2000))
+
+
+# ------------------------------------------------------------------ stats
+
+@register("cyclone_stats", O.CYCLONE_STATS)
+def q_cyclone_stats(i: Inputs) -> DataFrame:
+    return ST.cyclone_stats(i.tracks)
+
+
+@register("basin_distribution", O.BASIN_DISTRIBUTION)
+def q_basin_distribution(i: Inputs) -> DataFrame:
+    return ST.basin_distribution(i.tracks)
+
+
+@register("latest_tracks", O.LATEST_TRACKS)
+def q_latest_tracks(i: Inputs) -> DataFrame:
+    return ST.latest_tracks(i.tracks)
+
+
+@register("verify_counts", O.VERIFY_COUNTS)
+def q_verify_counts(i: Inputs) -> DataFrame:
+    return ST.verify_counts(i.obs, i.tracks, i.events)
+
+
+@register("wind_buckets", O.WIND_BUCKETS)
+def q_wind_buckets(i: Inputs) -> DataFrame:
+    return ST.wind_buckets(i.search)
+
+
+@register("tsunami_stats", O.TSUNAMI_STATS)
+def q_tsunami_stats(i: Inputs) -> DataFrame:
+    return ST.tsunami_stats(i.events)
+
+
+@register("top_countries", O.TOP_COUNTRIES)
+def q_top_countries(i: Inputs) -> DataFrame:
+    return ST.top_countries(i.events)
+
+
+@register("cause_distribution", O.CAUSE_DISTRIBUTION)
+def q_cause_distribution(i: Inputs) -> DataFrame:
+    return ST.cause_distribution(i.events)
+
+
+@register("import_summary", O.IMPORT_SUMMARY)
+def q_import_summary(i: Inputs) -> DataFrame:
+    return ST.import_summary(i.events)
+
+
+# ------------------------------------------------------------------ result shaping
+
+@register("year_range", O.YEAR_RANGE_STORMS)
+def q_year_range(i: Inputs) -> DataFrame:
+    return R.year_range(i.search, 1950, 2000)
+
+
+@register("sort_results", O.SORT_STORMS_WIND)
+def q_sort_results(i: Inputs) -> DataFrame:
+    return R.ranked_results(i.search, "windspeed")
+
+
+@register("storm_classes", O.STORM_CLASSES)
+def q_storm_classes(i: Inputs) -> DataFrame:
+    return R.cyclone_row(i.search)
+
+
+@register("event_detail", O.EVENT_DETAIL)
+def q_event_detail(i: Inputs) -> DataFrame:
+    return R.event_detail(i.events, i.requested_event_ids())
+
+
+@register("event_validity_filter", O.EVENT_VALIDITY_FILTER)
+def q_event_validity_filter(i: Inputs) -> DataFrame:
+    return i.events.filter(F.col("event_validity") >= 2).select("id", "event_validity")
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: (lambda spark, sf_dir, _f=f: _f(Inputs(spark, sf_dir))) for k, f in QUERIES.items()}

@@ -11,7 +11,19 @@ from __future__ import annotations
 from ..functions import geo
 from . import views
 
-VIEWS = views.duck_with(obs=views.OBS_SQL, ev_raw=views.EV_SQL, sites=views.SITES_SQL)
+EV_DUCK = """
+select * exclude (mo_, dd_, hh_, mi_, ss_),
+       case when year is not null and year > 0 and year <= 9999
+            and dd_ <= day(last_day(make_date(year, mo_, 1)))
+            then make_timestamp(year, mo_, dd_, hh_, mi_, ss_) end as event_datetime
+from (select *, greatest(1, least(12, coalesce(nullif(month, 0), 1))) as mo_,
+             greatest(1, least(31, coalesce(nullif(day, 0), 1))) as dd_,
+             greatest(0, least(23, coalesce(hour, 0))) as hh_,
+             greatest(0, least(59, coalesce(minute, 0))) as mi_,
+             floor(greatest(0, least(59.9, coalesce(cast(second as double), 0)))) as ss_
+      from ev_raw) r"""
+
+VIEWS = views.duck_with(obs=views.OBS_SQL, ev_raw=views.EV_SQL, ev=EV_DUCK, sites=views.SITES_SQL)
 
 VALID_OBS = ("select * from obs where lat is not null and lon is not null"
              " and lat between -90 and 90 and lon between -180 and 180")
@@ -73,3 +85,235 @@ def event_distances_sql(model: str = "spheroid", min_validity: int = 2) -> str:
     st = geo.point_prep_stages("p", "lat", "lon") + geo.point_prep_stages("q", "lat_d", "lon_d") \
         + geo.distance_stages("dist_m", "p", "q", model)
     return (f"select * from ({geo.stages_sql(src, st)}) d where dist_m <= radius_m")
+
+
+# ------------------------------------------------------------------ cyclones
+
+def _storm_rows(model: str = "spheroid") -> str:
+    return f"""
+tracks as ({TRACKS}),
+hits as ({hits_sql(model)}),
+rows_ as (
+  select h.site_id, h.sid as storm_id, coalesce(t.name, 'UNNAMED') as cyclone_name,
+         t.season as year, t.basin, t.start_time as start_date, t.end_time as end_date,
+         round(h.dist_m / 1000.0, 2) as distance_km, t.point_count as num_observations,
+         coalesce(t.max_wind, 0) as max_wind_speed, coalesce(t.min_pressure, 0) as min_pressure,
+         coalesce(t.duration_hours, 0.0) as duration_hours
+  from hits h join tracks t on h.sid = t.sid),
+api as (
+  select site_id, storm_id,
+         coalesce(nullif(cyclone_name, ''), 'UNNAMED') as cyclone_name,
+         coalesce(nullif(year, 0), 0) as year,
+         coalesce(nullif(basin, ''), 'Unknown') as basin,
+         start_date, end_date, coalesce(distance_km, 0.0) as distance_km, num_observations,
+         nullif(max_wind_speed, 0) as max_wind_speed, nullif(min_pressure, 0) as min_pressure,
+         nullif(duration_hours, 0.0) as duration_hours
+  from rows_),
+d2l as (
+  select sid as storm_id, min(case when dist2land >= 0 then dist2land end) as min_dist_to_land
+  from obs where sid in (select storm_id from api) group by sid),
+search as (select a.*, d.min_dist_to_land from api a left join d2l d using (storm_id))
+"""
+
+
+def with_storms(body: str, model: str = "spheroid") -> str:
+    return VIEWS + ", " + _storm_rows(model) + body
+
+
+CYCLONE_SEARCH = with_storms("select * from search")
+
+RESULT_COUNT = with_storms("""
+select s.site_id, coalesce(c.n, 0) as cyclones_found
+from (""" + VALID_SITES + """) s
+left join (select site_id, count(*) as n from hits group by site_id) c using (site_id)""")
+
+MIN_DIST_TO_LAND = VIEWS + """
+select sid, min(case when dist2land >= 0 then dist2land end) as min_dist_to_land
+from obs group by sid"""
+
+STORM_SEMI = with_storms("""
+select obs_id, sid, iso_time, wmo_wind from obs where sid in (select sid from hits)""")
+
+
+def nearest_sql(model: str = "spheroid") -> str:
+    d = _site_segment_distances(model, VALID_SITES + " and site_id not in (select site_id from hits)")
+    return with_storms(f"""
+, best as (
+  select site_id, sid, dist_m from (
+    select site_id, sid, dist_m,
+           row_number() over (partition by site_id order by dist_m, sid) as rn
+    from ({d}) x) y where rn = 1)
+select b.site_id, b.sid as storm_id, coalesce(t.name, 'UNNAMED') as cyclone_name,
+       t.season as year, round(b.dist_m / 1000.0, 2) as distance_km
+from best b join tracks t using (sid)""")
+
+
+BUILD_TRACKS = VIEWS + TRACKS
+
+TRACK_SEGMENTS = VIEWS + f"""
+select sid, seq, a_time, a_lat, a_lon, a_wind, b_time, b_lat, b_lon from (
+  select sid, row_number() over w as seq, iso_time as a_time, lat as a_lat, lon as a_lon,
+         wmo_wind as a_wind, lead(iso_time) over w as b_time, lead(lat) over w as b_lat,
+         lead(lon) over w as b_lon
+  from ({VALID_OBS}) v
+  window w as (partition by sid order by iso_time, lon, lat)) x
+where b_lat is not null"""
+
+OBS_POSITION = VIEWS + f"""
+select obs_id, sid, iso_time, k, n, k = 1 as is_first, k = n as is_last,
+       case when k = 1 then ' (Start)' when k = n then ' (End)' else '' end as position_label
+from (select obs_id, sid, iso_time,
+             row_number() over (partition by sid order by iso_time, lon, lat) as k,
+             count(*) over (partition by sid) as n
+      from ({VALID_OBS}) v) x"""
+
+TRACK_POINTS_SEL = """
+select sid as storm_id, lat, lon, iso_time, nullif(wmo_wind, 0) as wind_speed,
+       nullif(wmo_pres, 0) as pressure, nature,
+       case when dist2land >= 0 then dist2land end as dist2land
+from obs where lat is not null and lon is not null"""
+
+TRACK_POINTS = VIEWS + TRACK_POINTS_SEL
+
+# storm ids requested by lookups: derived from customer keys (some exist, some not)
+REQUESTED_SIDS = ("select distinct concat('S', cast(c_custkey % 2000 as string), '-',"
+                  " cast(c_custkey % 7 as string)) as sid from customer")
+REQUESTED_EVENT_IDS = "select distinct c_custkey * 53 as id from customer"
+
+STORM_LOOKUP = VIEWS + TRACK_POINTS_SEL + f" and sid in ({REQUESTED_SIDS})"
+
+NOT_FOUND_STORMS = VIEWS + f", tracks as ({TRACKS})\n" + \
+    f"select sid from ({REQUESTED_SIDS}) r where sid not in (select sid from tracks)"
+
+NOT_FOUND_EVENTS = VIEWS + f"select id from ({REQUESTED_EVENT_IDS}) r where id not in (select id from ev)"
+
+CYCLONE_STATS = VIEWS + f""", tracks as ({TRACKS})
+select count(*) as total_tracks, min(season) as earliest_year, max(season) as latest_year,
+       count(distinct basin) as unique_basins, sum(point_count) as total_observations
+from tracks"""
+
+BASIN_DISTRIBUTION = VIEWS + f""", tracks as ({TRACKS})
+select basin, count(*) as count from tracks group by basin"""
+
+LATEST_TRACKS = VIEWS + f""", tracks as ({TRACKS})
+select sid, name, season, point_count, start_time, end_time from tracks
+order by season desc nulls last, sid limit 5"""
+
+VERIFY_COUNTS = VIEWS + f""", tracks as ({TRACKS})
+select (select count(*) from obs) as total_points,
+       (select count(distinct sid) from obs) as unique_storms,
+       (select count(*) from tracks) as total_tracks,
+       (select count(*) from ev) as total_tsunamis"""
+
+WIND_BUCKETS = with_storms("""
+select site_id,
+  count(*) filter (where max_wind_speed is not null and max_wind_speed <> 0 and max_wind_speed < 34) as weak,
+  count(*) filter (where max_wind_speed >= 34 and max_wind_speed < 64) as moderate,
+  count(*) filter (where max_wind_speed >= 64 and max_wind_speed < 96) as strong,
+  count(*) filter (where max_wind_speed >= 96) as very_strong,
+  count(*) filter (where max_wind_speed is null or max_wind_speed = 0) as na,
+  coalesce(max(case when max_wind_speed > 0 then max_wind_speed end), 0) as max_wind,
+  case when floor(avg(case when max_wind_speed <> 0 then max_wind_speed end) + 0.5) > 0
+       then cast(floor(avg(case when max_wind_speed <> 0 then max_wind_speed end) + 0.5) as bigint) end as avg_wind,
+  count(*) filter (where max_wind_speed is not null and max_wind_speed <> 0) as with_data,
+  count(*) as total,
+  round(count(*) filter (where max_wind_speed is not null and max_wind_speed <> 0 and max_wind_speed < 34) * 100.0 / count(*), 1)::double as weak_pct,
+  round(count(*) filter (where max_wind_speed >= 34 and max_wind_speed < 64) * 100.0 / count(*), 1)::double as moderate_pct,
+  round(count(*) filter (where max_wind_speed >= 64 and max_wind_speed < 96) * 100.0 / count(*), 1)::double as strong_pct,
+  round(count(*) filter (where max_wind_speed >= 96) * 100.0 / count(*), 1)::double as very_strong_pct,
+  round(count(*) filter (where max_wind_speed is null or max_wind_speed = 0) * 100.0 / count(*), 1)::double as na_pct
+from search group by site_id""")
+
+YEAR_RANGE_STORMS = with_storms("select * from search where year >= 1950 and year <= 2000")
+
+SORT_STORMS_WIND = with_storms("""
+select *, row_number() over (partition by site_id order by
+          case when max_wind_speed > 0 then 0 else 1 end, max_wind_speed desc nulls last,
+          distance_km, storm_id) as rank
+from search""")
+
+STORM_CLASSES = with_storms("""
+select *,
+  case when max_wind_speed is null or max_wind_speed <= 0 then 'N/A'
+       when max_wind_speed < 34 then 'Tropical Depression' when max_wind_speed < 64 then 'Tropical Storm'
+       when max_wind_speed < 83 then 'Hurricane Cat 1' when max_wind_speed < 96 then 'Hurricane Cat 2'
+       when max_wind_speed < 113 then 'Hurricane Cat 3' when max_wind_speed < 137 then 'Hurricane Cat 4'
+       else 'Hurricane Cat 5' end as category,
+  case when max_wind_speed is null or max_wind_speed <= 0 then ''
+       when max_wind_speed >= 64 then 'high' when max_wind_speed >= 34 then 'medium' else 'low' end as wind_class,
+  case when max_wind_speed is null or max_wind_speed = 0 then 'N/A'
+       when max_wind_speed < 34 then 'Weak' when max_wind_speed < 64 then 'Moderate'
+       when max_wind_speed < 96 then 'Strong' else 'Very strong' end as wind_bucket
+from search""")
+
+VISIBLE_TRACKS = with_storms("""
+select * from tracks where sid in (select storm_id from search where year >= 1950 and year <= 2000)""")
+
+
+# ------------------------------------------------------------------ tsunamis
+
+def events_near_sql(model: str = "spheroid") -> str:
+    cols = ("id, year, month, day, event_datetime, event_validity, cause_code, earthquake_magnitude,"
+            " country, location_name, latitude, longitude, max_water_height, num_runups, deaths,"
+            " total_deaths, damage_mil, total_damage_mil, houses_destroyed, total_houses_destroyed")
+    return VIEWS + f"""
+select site_id, {cols}, round_even(dist_m / 1000.0, 0) as distance_km
+from ({event_distances_sql(model)}) d"""
+
+
+def tsunami_search_sql(model: str = "spheroid") -> str:
+    return VIEWS + f"""
+, near as (select site_id, round_even(dist_m / 1000.0, 0) as distance_km, * exclude (site_id)
+           from ({event_distances_sql(model)}) d)
+select site_id, id, year, month, day, event_validity, cause_code,
+       nullif(cast(earthquake_magnitude as double), 0) as earthquake_magnitude,
+       country, location_name,
+       nullif(cast(latitude as double), 0) as latitude, nullif(cast(longitude as double), 0) as longitude,
+       nullif(cast(max_water_height as double), 0) as max_water_height, num_runups, deaths, total_deaths,
+       nullif(cast(damage_mil as double), 0) as damage_mil,
+       nullif(cast(total_damage_mil as double), 0) as total_damage_mil,
+       houses_destroyed, total_houses_destroyed, nullif(cast(distance_km as double), 0) as distance_km
+from near"""
+
+
+TSUNAMI_STATS = VIEWS + """
+select count(*) as total_events, count(*) filter (where event_validity >= 3) as reliable_events,
+       min(year) as year_min, max(year) as year_max,
+       cast(round(avg(earthquake_magnitude), 2) as double) as avg_magnitude,
+       cast(max(max_water_height) as double) as max_water_height,
+       sum(total_deaths) as total_deaths,
+       count(*) filter (where max_water_height is not null) as events_with_height,
+       count(*) filter (where total_deaths > 0) as events_with_deaths
+from ev"""
+
+TOP_COUNTRIES = VIEWS + """
+select country, count(*) as count from ev where country is not null
+group by country order by count desc, country limit 10"""
+
+CAUSE_LABEL_CASE = """case cause_code when 1 then 'Earthquake' when 2 then 'Earthquake + Landslide'
+  when 3 then 'Earthquake + Volcano' when 4 then 'Earthquake + Landslide + Volcano'
+  when 5 then 'Volcano' when 6 then 'Volcano + Earthquake' when 7 then 'Volcano + Landslide'
+  when 8 then 'Landslide' when 9 then 'Meteorological' when 10 then 'Explosion'
+  when 11 then 'Astronomical Tide' else 'Unknown' end"""
+
+CAUSE_DISTRIBUTION = VIEWS + f"""
+select cause_code, {CAUSE_LABEL_CASE} as label, count(*) as count
+from ev where cause_code is not null group by cause_code"""
+
+IMPORT_SUMMARY = VIEWS + """
+select min(year) as earliest, max(year) as latest,
+       count(*) filter (where event_validity >= 3) as reliable_events,
+       count(*) filter (where max_water_height is not null) as with_height,
+       count(*) filter (where total_deaths > 0) as with_deaths,
+       cast(round(avg(earthquake_magnitude), 2) as double) as avg_magnitude
+from ev"""
+
+EVENT_DETAIL = VIEWS + f"""
+select id, year, month, day, hour, minute, event_datetime, event_validity, cause_code,
+       earthquake_magnitude, country, location_name, latitude, longitude, max_water_height,
+       num_runups, tsunami_magnitude_abe, tsunami_magnitude_iida, deaths, missing, injuries,
+       damage_mil, houses_destroyed, houses_damaged, total_deaths, total_missing, total_injuries,
+       total_damage_mil, total_houses_destroyed, total_houses_damaged
+from ev where id in ({REQUESTED_EVENT_IDS})"""
+
+EVENT_VALIDITY_FILTER = VIEWS + "select id, event_validity from ev where event_validity >= 2"

@@ -166,3 +166,14 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duck_with(**views: str) -> str:
     """``with a as (...), b as (...)`` prefix for oracle SQL."""
     return "with " + ",\n".join(f"{k} as ({v})" for k, v in views.items()) + "\n"
+
+
+def tsunami_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tsunami_events: ``ev`` plus event_datetime built from its parts (Q23)."""
+    from ..functions.dates import event_datetime
+
+    raw = tsunami_events_raw(spark, sf_dir)
+    dt = event_datetime("year", "month", "day", "hour", "minute", "second").alias("event_datetime")
+    cols = raw.columns
+    i = cols.index("second") + 1
+    return raw.select(*cols[:i], dt, *cols[i:])
