@@ -338,6 +338,12 @@ def obs_near(points: DataFrame, sites: DataFrame, model: str = "spheroid") -> Da
     return pairs.select("site_id", "obs_id", "sid", "wmo_wind", "dist_m")
 
 
+def obs_near_rows(points: DataFrame, sites: DataFrame, model: str = "spheroid") -> DataFrame:
+    """obs_near as reported: distance in km, 2 dp."""
+    return obs_near(points, sites, model).select(
+        "site_id", "obs_id", "sid", "wmo_wind", F.round(F.col("dist_m") / 1000.0, 2).alias("distance_km"))
+
+
 # ------------------------------------------------------------- tsunamis
 
 EVENT_NEAR_COLS = ("id", "year", "month", "day", "event_datetime", "event_validity",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import oracle as O
 from . import views as V
 from ..operators import results as R
+from ..operators import risk as RK
 from ..operators import search as S
 from ..operators import stats as ST
 from ..operators import tracks as T
@@ -236,5 +237,53 @@ def q_event_validity_filter(i: Inputs) -> DataFrame:
     return i.events.filter(F.col("event_validity") >= 2).select("id", "event_validity")
 
 
+# ------------------------------------------------------------------ wind risk
+
+def _maxima(i: Inputs) -> DataFrame:
+    return i._get("maxima", lambda: RK.storm_block_maxima(i.obs, i.sites))
+
+
+@register("obs_near", O.OBS_NEAR)
+def q_obs_near(i: Inputs) -> DataFrame:
+    return S.obs_near_rows(i.obs, i.sites)
+
+
+@register("storm_block_maxima", O.BLOCK_MAXIMA)
+def q_storm_block_maxima(i: Inputs) -> DataFrame:
+    return _maxima(i)
+
+
+@register("sample_stats", O.SAMPLE_STATS)
+def q_sample_stats(i: Inputs) -> DataFrame:
+    return RK.sample_stats(_maxima(i))
+
+
+@register("wind_percentiles", O.WIND_PERCENTILES)
+def q_wind_percentiles(i: Inputs) -> DataFrame:
+    return RK.wind_percentiles(_maxima(i))
+
+
+@register("wind_histogram", O.WIND_HISTOGRAM)
+def q_wind_histogram(i: Inputs) -> DataFrame:
+    return RK.wind_histogram(_maxima(i))
+
+
+# iterative maximum-likelihood fit: no SQL oracle (tested against simulated samples)
+@register("gev_fit")
+def q_gev_fit(i: Inputs) -> DataFrame:
+    return RK.gev_fit(_maxima(i))
+
+
+@register("fitted_pdf")
+def q_fitted_pdf(i: Inputs) -> DataFrame:
+    m = _maxima(i)
+    return RK.fitted_pdf(m, RK.gev_fit(m))
+
+
+@register("wind_analysis")
+def q_wind_analysis(i: Inputs) -> DataFrame:
+    return RK.wind_analysis(i.obs, i.sites)
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: (lambda spark, sf_dir, _f=f: _f(Inputs(spark, sf_dir))) for k, f in QUERIES.items()}

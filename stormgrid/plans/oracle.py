@@ -317,3 +317,60 @@ select id, year, month, day, hour, minute, event_datetime, event_validity, cause
 from ev where id in ({REQUESTED_EVENT_IDS})"""
 
 EVENT_VALIDITY_FILTER = VIEWS + "select id, event_validity from ev where event_validity >= 2"
+
+
+# ------------------------------------------------------------------ wind risk
+
+def obs_distances_sql(model: str = "spheroid", where: str = "true") -> str:
+    src = ("select s.site_id, s.lat, s.lon, s.radius_m, o.obs_id, o.sid, o.wmo_wind,"
+           " o.lat as o_lat, o.lon as o_lon from (" + VALID_SITES + ") s,"
+           f" (select * from ({VALID_OBS}) v where {where}) o")
+    st = geo.point_prep_stages("p", "lat", "lon") + geo.point_prep_stages("q", "o_lat", "o_lon") \
+        + geo.distance_stages("dist_m", "p", "q", model)
+    return f"select * from ({geo.stages_sql(src, st)}) d where dist_m <= radius_m"
+
+
+USABLE = "wmo_wind is not null and wmo_wind > 0 and wmo_wind <= 250"
+
+MAXIMA_CTE = f""",
+maxima as (
+  select o.site_id, o.sid, max(o.wmo_wind) as max_wind
+  from ({obs_distances_sql(where=USABLE)}) o
+  where (o.site_id, o.sid) in (select site_id, sid from hits)
+  group by o.site_id, o.sid)
+"""
+
+OBS_NEAR = VIEWS + (f"select site_id, obs_id, sid, wmo_wind, round(dist_m / 1000.0, 2) as distance_km"
+                    f" from ({obs_distances_sql()}) d")
+
+BLOCK_MAXIMA = with_storms(MAXIMA_CTE + "select * from maxima")
+
+SAMPLE_STATS = with_storms(MAXIMA_CTE + """
+select site_id, count(*) as sample_count,
+       round_even(avg(cast(max_wind as double)), 1) as wind_mean,
+       round_even(stddev_pop(cast(max_wind as double)), 1) as wind_std,
+       round_even(min(cast(max_wind as double)), 1) as wind_min,
+       round_even(max(cast(max_wind as double)), 1) as wind_max,
+       round_even(quantile_cont(cast(max_wind as double), 0.5), 1) as wind_median
+from maxima group by site_id""")
+
+WIND_PERCENTILES = with_storms(MAXIMA_CTE + """
+select site_id, quantile_cont(cast(max_wind as double), cast(0.98 as double)) as p98,
+       quantile_cont(cast(max_wind as double), cast(0.99 as double)) as p99
+from maxima group by site_id""")
+
+WIND_HISTOGRAM = with_storms(MAXIMA_CTE + """,
+rng as (
+  select site_id, case when mn = mx then mn - 0.5 else mn end as lo,
+         case when mn = mx then mx + 0.5 else mx end as hi
+  from (select site_id, cast(min(max_wind) as double) as mn, cast(max(max_wind) as double) as mx
+        from maxima group by site_id) r),
+edges as (
+  select site_id, b as bin, lo + b * ((hi - lo) / 25) as e0, lo + (b + 1) * ((hi - lo) / 25) as e1, hi
+  from rng, (select unnest(generate_series(0, 24)) as b) g)
+select e.site_id, e.bin, round_even((e.e0 + e.e1) / 2, 1) as bin_center,
+       (select count(*) from maxima m where m.site_id = e.site_id
+          and cast(m.max_wind as double) >= e.e0
+          and (cast(m.max_wind as double) < e.e1 or (e.bin = 24 and cast(m.max_wind as double) <= e.hi))
+       ) as bin_count
+from edges e""")
