@@ -22,6 +22,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .fence import fence as _fence
+from .fence import fenced_filter  # noqa: F401  (re-exported for callers)
+
 # WGS84 ellipsoid.
 WGS84_A = 6378137.0
 WGS84_F = 1.0 / 298.257223563
@@ -53,18 +56,7 @@ def apply_stages(df: DataFrame, stages: Stages, fence: bool = False) -> DataFram
     """
     for name, expr in stages:
         df = df.withColumn(name, F.expr(expr))
-    if fence:
-        df = df.withColumn("_fence", F.spark_partition_id())
-    return df
-
-
-def fenced_filter(df: DataFrame, cond) -> DataFrame:
-    """Filter a frame built with ``apply_stages(..., fence=True)`` and drop the fence.
-
-    The condition also reads the fence column, which keeps column pruning from
-    removing it and so keeps the filter above the staged projections.
-    """
-    return df.filter(cond & (F.col("_fence") >= 0)).drop("_fence")
+    return _fence(df) if fence else df
 
 
 def stages_sql(source_sql: str, stages: Stages, alias: str = "t") -> str:

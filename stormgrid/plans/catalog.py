@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fence import fenced_filter
 from . import oracle as O
 from . import views as V
 from ..operators import results as R
@@ -18,6 +19,8 @@ from ..operators import risk as RK
 from ..operators import search as S
 from ..operators import stats as ST
 from ..operators import tracks as T
+from ..sources import best_track as BT
+from ..sources import tsunami_tsv as TSV
 
 
 class Inputs:
@@ -285,5 +288,45 @@ def q_wind_analysis(i: Inputs) -> DataFrame:
     return RK.wind_analysis(i.obs, i.sites)
 
 
+# ------------------------------------------------------------------ ingest
+
+def _csv_classified(i: Inputs) -> DataFrame:
+    i.obs.createOrReplaceTempView("obs")
+    lines = i.spark.sql(V.CSV_LINES_SQL)
+    return BT.classify_best_track(BT.parse_best_track_lines(lines))
+
+
+def _tsv_parsed(i: Inputs):
+    V.tsunami_events_raw(i.spark, i.sf_dir).createOrReplaceTempView("ev_raw")
+    return TSV.parse_tsunami_lines(i.spark.sql(V.tsv_lines_sql()))
+
+
+@register("read_best_track_csv", O.READ_BEST_TRACK)
+def q_read_best_track_csv(i: Inputs) -> DataFrame:
+    c = _csv_classified(i)
+    return fenced_filter(c, F.col("reject_reason").isNull()).select(*BT.POINT_COLUMNS)
+
+
+@register("best_track_rejects", O.BEST_TRACK_REJECTS)
+def q_best_track_rejects(i: Inputs) -> DataFrame:
+    return fenced_filter(_csv_classified(i), F.col("reject_reason").isNotNull())
+
+
+@register("ingest_report", O.INGEST_REPORT)
+def q_ingest_report(i: Inputs) -> DataFrame:
+    return BT.ingest_report(_csv_classified(i))
+
+
+@register("read_tsunami_tsv", O.READ_TSUNAMI_TSV)
+def q_read_tsunami_tsv(i: Inputs) -> DataFrame:
+    ev, _, _ = _tsv_parsed(i)
+    return ev.drop("id")  # id is a content hash (Q13); DuckDB has no xxhash64
+
+
+@register("tsunami_ingest_report", O.TSUNAMI_INGEST_REPORT)
+def q_tsunami_ingest_report(i: Inputs) -> DataFrame:
+    return _tsv_parsed(i)[2]
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: (lambda spark, sf_dir, _f=f: _f(Inputs(spark, sf_dir))) for k, f in QUERIES.items()}

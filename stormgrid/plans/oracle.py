@@ -374,3 +374,133 @@ select e.site_id, e.bin, round_even((e.e0 + e.e1) / 2, 1) as bin_center,
           and (cast(m.max_wind as double) < e.e1 or (e.bin = 24 and cast(m.max_wind as double) <= e.hi))
        ) as bin_count
 from edges e""")
+
+
+# ------------------------------------------------------------------ ingest
+
+def _tokens_sql() -> str:
+    from ..sources.best_track import DEFAULT_NULL_TOKENS
+    return ", ".join("'" + t.replace("'", "''") + "'" for t in DEFAULT_NULL_TOKENS)
+
+
+def best_track_classified_sql() -> str:
+    from ..sources.best_track import BEST_TRACK_COLUMNS
+    tok = _tokens_sql()
+    cells = ",\n  ".join(
+        f"case when l[{i + 1}] is null or l[{i + 1}] in ({tok}) then null else l[{i + 1}] end as {c}"
+        for i, c in enumerate(BEST_TRACK_COLUMNS))
+
+    def ti(c):
+        d = f"try_cast({c} as double)"
+        return (f"case when isnan({d}) or abs({d}) >= 2147483648 then null"
+                f" else cast(trunc({d}) as integer) end")
+
+    return f"""
+lines as ({views.CSV_LINES_SQL}),
+cells as (select {cells} from (select string_split(line, ',') as l from lines) s),
+typed as (
+  select SID as sid, {ti('SEASON')} as season, {ti('NUMBER')} as number, BASIN as basin,
+         SUBBASIN as subbasin, coalesce(NAME, 'UNNAMED') as name,
+         try_cast(ISO_TIME as timestamp) as iso_time, NATURE as nature,
+         case when isnan(try_cast(LAT as double)) then null else try_cast(LAT as double) end as lat,
+         case when isnan(try_cast(LON as double)) then null else try_cast(LON as double) end as lon,
+         {ti('WMO_WIND')} as wmo_wind, {ti('WMO_PRES')} as wmo_pres,
+         {ti('DIST2LAND')} as dist2land, {ti('LANDFALL')} as landfall
+  from cells),
+classified as (
+  select *, case when lat is null or lon is null then 'no position'
+                 when iso_time is null then 'bad time'
+                 when sid is null then 'no storm id'
+                 when not (lat between -90 and 90 and lon between -180 and 180)
+                   then 'position out of range' end as reject_reason
+  from typed)
+"""
+
+
+READ_BEST_TRACK = VIEWS + ", " + best_track_classified_sql() + """
+select sid, season, number, basin, subbasin, name, iso_time, nature, lat, lon, wmo_wind,
+       wmo_pres, dist2land, landfall from classified where reject_reason is null"""
+
+BEST_TRACK_REJECTS = VIEWS + ", " + best_track_classified_sql() + """
+select * from classified where reject_reason is not null"""
+
+INGEST_REPORT = VIEWS + ", " + best_track_classified_sql() + """
+select count(*) as rows_read, count(*) filter (where reject_reason is null) as rows_kept,
+       count(*) filter (where reject_reason is not null) as rows_removed,
+       count(distinct case when reject_reason is null then sid end) as unique_storms,
+       min(case when reject_reason is null then season end) as season_min,
+       max(case when reject_reason is null then season end) as season_max
+from classified"""
+
+
+def tsunami_parsed_sql() -> str:
+    from ..sources.tsunami_tsv import FIELDS
+    strip = "regexp_replace(trim(coalesce(cells[{i}], ''), '\"'), '^\\s+|\\s+$', '', 'g')"
+    exprs, flags = [], []
+    for i, (_, c, kind) in enumerate(FIELDS, start=1):
+        v = f"nullif({strip.format(i=i)}, '')"
+        if kind == "int":
+            e = (f"case when regexp_full_match({v}, '\\s*[+-]?[0-9]+\\s*')"
+                 f" then try_cast({v} as integer) end")
+        elif kind == "coord":
+            e = f"try_cast({v} as double)"
+        elif isinstance(kind, int):
+            e = f"case when length({v}) <= {kind} then {v} end"
+            flags.append(f"case when length({v}) > {kind} then '{c}' end")
+        else:
+            p, s = kind
+            d = f"try_cast({v} as double)"
+            e = f"try_cast({d} as decimal({p},{s}))"
+            flags.append(f"case when {d} is not null and not isnan({d}) and {e} is null then '{c}' end")
+        exprs.append(f"{e} as {c}")
+    n = len(FIELDS)
+    return f"""
+lines as ({views.tsv_lines_sql()}),
+split_ as (select line, string_split(line, chr(9)) as cells from lines),
+staged as (
+  select *, case when len(cells) > {n} then 'too many cells'
+                 when cells[1] is null or cells[1] = '' or contains(cells[1], '[')
+                      or trim(cells[1]) = '' then 'no year' end as stage
+  from split_),
+typed as (select line, stage, {', '.join(exprs)},
+                 concat_ws(',', {', '.join(flags)}) as overflow from staged),
+parsed as (
+  select *, coalesce(stage, case when latitude is null or longitude is null
+                                  or not (latitude between -90 and 90 and longitude between -180 and 180)
+                                 then 'no coordinates' end) as reject_reason
+  from typed)
+"""
+
+
+def _tsunami_event_cols() -> str:
+    from ..sources.tsunami_tsv import FIELDS
+    out = []
+    for _, c, k in FIELDS:
+        if c in ("latitude", "longitude"):
+            out.append(f"cast({c} as decimal(8,5)) as {c}")
+        else:
+            out.append(c)
+    return ", ".join(out)
+
+
+READ_TSUNAMI_TSV = VIEWS + ", " + tsunami_parsed_sql() + f"""
+select {_tsunami_event_cols()}, latitude as lat_d, longitude as lon_d,
+       nullif(overflow, '') as overflow,
+       case when year is not null and year > 0 and year <= 9999
+            and dd_ <= day(last_day(make_date(year, mo_, 1)))
+            then make_timestamp(year, mo_, dd_, hh_, mi_, ss_) end as event_datetime
+from (select *, greatest(1, least(12, coalesce(nullif(month, 0), 1))) as mo_,
+             greatest(1, least(31, coalesce(nullif(day, 0), 1))) as dd_,
+             greatest(0, least(23, coalesce(hour, 0))) as hh_,
+             greatest(0, least(59, coalesce(minute, 0))) as mi_,
+             floor(greatest(0, least(59.9, coalesce(cast(second as double), 0)))) as ss_
+      from parsed where reject_reason is null) p"""
+
+TSUNAMI_INGEST_REPORT = VIEWS + ", " + tsunami_parsed_sql() + """
+select count(*) filter (where stage is null or stage = 'no year') as rows_loaded,
+       count(*) filter (where stage is null) as rows_after_cleaning,
+       count(*) filter (where reject_reason is null) as records_built,
+       count(*) filter (where stage is null and reject_reason = 'no coordinates') as skipped_no_coords,
+       count(*) filter (where reject_reason is null and year <= 0) as bc_events,
+       count(*) filter (where reject_reason is null and overflow <> '') as overflow_rows
+from parsed"""

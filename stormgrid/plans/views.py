@@ -177,3 +177,55 @@ def tsunami_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = raw.columns
     i = cols.index("second") + 1
     return raw.select(*cols[:i], dt, *cols[i:])
+
+
+# Best-track CSV text built from obs (valid in both engines), with dirty cells:
+# blank times, unparsable latitudes, longitudes beyond 180, blank names,
+# 'NA' basins (read as missing), blank and 'NaN' numbers.
+CSV_LINES_SQL = """
+select concat_ws(',', sid, cast(season as string), cast(number as string),
+  coalesce(basin, ''), coalesce(subbasin, ''),
+  case when name = 'UNNAMED' then '' else name end,
+  case when obs_id % 83 = 0 then ' ' else
+    concat(cast(year(iso_time) as string), '-', lpad(cast(month(iso_time) as string), 2, '0'), '-',
+           lpad(cast(day(iso_time) as string), 2, '0'), ' ', lpad(cast(hour(iso_time) as string), 2, '0'), ':',
+           lpad(cast(minute(iso_time) as string), 2, '0'), ':',
+           lpad(cast(cast(floor(second(iso_time)) as int) as string), 2, '0')) end,
+  coalesce(nature, ''),
+  case when obs_id % 97 = 0 then 'abc' else printf('%.10f', lat) end,
+  case when obs_id % 89 = 0 then printf('%.10f', lon + 360) else printf('%.10f', lon) end,
+  coalesce(cast(wmo_wind as string), ' '), coalesce(cast(wmo_pres as string), ''),
+  coalesce(cast(dist2land as string), 'NaN'), cast(landfall as string)) as line
+from obs
+"""
+
+
+def _tsv_cell(col: str, kind) -> str:
+    if col == "year":
+        return "case when id % 101 = 0 then '[\"Year >= 1970\"]' else coalesce(cast(year as string), '') end"
+    if col == "earthquake_magnitude":
+        return ("case when id % 127 = 0 then '12345.6'"
+                " else coalesce(cast(earthquake_magnitude as string), '') end")
+    if col == "country":
+        return "case when country is null then '' else concat(' ', country, ' ') end"
+    if col == "location_name":
+        return "case when location_name is null then '' else concat('\"', location_name, '\"') end"
+    if col == "latitude":
+        return "case when id % 113 = 0 then '91.5' else printf('%.6f', lat_d) end"
+    if col == "longitude":
+        return "printf('%.6f', lon_d)"
+    if col == "deaths":
+        return ("case when id % 109 = 0 and deaths is not null then concat(cast(deaths as string), '.0')"
+                " else coalesce(cast(deaths as string), '') end")
+    return f"coalesce(cast({col} as string), '')"
+
+
+def tsv_lines_sql() -> str:
+    """Tsunami TSV text built from ev (valid in both engines), with a search-parameter
+    row marker, quoted and padded cells, '5.0' integers, an overflowing magnitude,
+    latitudes beyond 90 and lines with an extra cell."""
+    from ..sources.tsunami_tsv import FIELDS
+
+    cells = ",\n  ".join(_tsv_cell(c, k) for _, c, k in FIELDS)
+    return (f"select concat_ws(chr(9),\n  {cells})"
+            f" || case when id % 107 = 0 then concat(chr(9), 'extra') else '' end as line\nfrom ev_raw")
