@@ -19,7 +19,9 @@ from ..operators import risk as RK
 from ..operators import search as S
 from ..operators import stats as ST
 from ..operators import tracks as T
+from ..functions import classify as CL
 from ..sources import best_track as BT
+from ..sources import export as EX
 from ..sources import tsunami_tsv as TSV
 
 
@@ -328,5 +330,72 @@ def q_tsunami_ingest_report(i: Inputs) -> DataFrame:
     return _tsv_parsed(i)[2]
 
 
+# ------------------------------------------------------------------ exports
+
+@register("track_wkt", O.TRACK_WKT)
+def q_track_wkt(i: Inputs) -> DataFrame:
+    return EX.track_wkt(i.obs)
+
+
+@register("track_geojson", O.TRACK_GEOJSON)
+def q_track_geojson(i: Inputs) -> DataFrame:
+    return EX.track_geojson(i.obs, i.tracks)
+
+
+@register("export_cyclone_csv", O.EXPORT_CYCLONE_CSV)
+def q_export_cyclone_csv(i: Inputs) -> DataFrame:
+    return EX.cyclone_csv_lines(i.search, EX.track_wkt(i.obs))
+
+
+@register("export_tsunami_csv", O.export_tsunami_csv_sql())
+def q_export_tsunami_csv(i: Inputs) -> DataFrame:
+    return EX.tsunami_csv_lines(S.tsunami_search(i.events, i.sites))
+
+
+# ------------------------------------------------------------------ tsunami result shaping
+
+@register("tsunami_rows", O.tsunami_rows_sql())
+def q_tsunami_rows(i: Inputs) -> DataFrame:
+    return R.tsunami_row(S.tsunami_search(i.events, i.sites))
+
+
+@register("tsunami_year_range", O.tsunami_year_range_sql())
+def q_tsunami_year_range(i: Inputs) -> DataFrame:
+    return R.year_range(S.tsunami_search(i.events, i.sites), 1700, 1900, drop_unknown_year=True)
+
+
+@register("tsunami_sort", O.tsunami_sort_sql())
+def q_tsunami_sort(i: Inputs) -> DataFrame:
+    return R.ranked_results(S.tsunami_search(i.events, i.sites), "magnitude", tie="id")
+
+
+@register("search_args", O.SEARCH_ARGS)
+def q_search_args(i: Inputs) -> DataFrame:
+    out = None
+    for kind in ("cyclone", "wind", "tsunami"):
+        good, bad = S.search_args(i.sites, kind)
+        part = (good.select("site_id", F.lit(kind).alias("kind"), F.lit(True).alias("accepted"))
+                .unionByName(bad.select("site_id", F.lit(kind).alias("kind"),
+                                        F.lit(False).alias("accepted"))))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("point_classes", O.POINT_CLASSES)
+def q_point_classes(i: Inputs) -> DataFrame:
+    pos = T.sequence_points(i.obs, carry=["obs_id", "wmo_wind", "nature"])
+    return pos.select(
+        "obs_id", "sid", "k", "n",
+        F.when(F.col("k") == 1, F.lit(" (Start)")).when(F.col("k") == F.col("n"), F.lit(" (End)"))
+         .otherwise(F.lit("")).alias("position_label"),
+        CL.saffir_simpson(F.expr("nullif(wmo_wind, 0)")).alias("category"),
+        CL.nature_label("nature").alias("nature_label"))
+
+
+@register("tracks_for_results", O.TRACKS_FOR_RESULTS)
+def q_tracks_for_results(i: Inputs) -> DataFrame:
+    return R.tracks_for_results(i.search, i.tracks, i.obs)
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: (lambda spark, sf_dir, _f=f: _f(Inputs(spark, sf_dir))) for k, f in QUERIES.items()}

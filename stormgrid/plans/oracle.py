@@ -504,3 +504,153 @@ select count(*) filter (where stage is null or stage = 'no year') as rows_loaded
        count(*) filter (where reject_reason is null and year <= 0) as bc_events,
        count(*) filter (where reject_reason is null and overflow <> '') as overflow_rows
 from parsed"""
+
+
+# ------------------------------------------------------------------ exports
+
+def fx(x: str, d: int) -> str:
+    """toFixed(d): half away from zero on the value, as text."""
+    return f"printf('%.{d}f', round(cast({x} as double) * 1e{d}) / 1e{d})"
+
+
+def jsnum(x: str) -> str:
+    return (f"regexp_replace(regexp_replace(cast(cast({x} as decimal(38,10)) as varchar),"
+            f" '(\\.\\d*?)0+$', '\\1'), '\\.$', '')")
+
+
+def q(x: str) -> str:
+    return f"concat('\"', replace({x}, '\"', '\"\"'), '\"')"
+
+
+def gj(x: str) -> str:
+    return (f"regexp_replace(regexp_replace(printf('%.9f', round(cast({x} as double) * 1e9) / 1e9),"
+            f" '0+$', ''), '\\.$', '')")
+
+
+WKT_CTE = f""",
+wkt as (
+  select sid as storm_id,
+         concat('LINESTRING(', string_agg(concat({fx('lon', 4)}, ' ', {fx('lat', 4)}), ', '
+                order by iso_time, lon, lat), ')') as track_wkt
+  from ({VALID_OBS}) v group by sid)
+"""
+
+TRACK_WKT = VIEWS + WKT_CTE + "select * from wkt"
+
+TRACK_GEOJSON = VIEWS + f""", tracks as ({TRACKS}),
+gj as (
+  select sid, concat('{{"type":"LineString","coordinates":[',
+         string_agg(concat('[', {gj('lon')}, ',', {gj('lat')}, ']'), ',' order by iso_time, lon, lat),
+         ']}}') as geojson
+  from ({VALID_OBS}) v group by sid)
+select t.sid, coalesce(t.name, 'UNNAMED') as name, t.season, g.geojson
+from tracks t join gj g using (sid)"""
+
+EXPORT_CYCLONE_CSV = with_storms(WKT_CTE + f"""
+select s.site_id, s.storm_id, s.distance_km,
+  concat_ws(',', {q('s.cyclone_name')}, cast(s.year as varchar), {q("coalesce(s.basin, 'N/A')")},
+    {fx('s.distance_km', 2)},
+    coalesce(cast(nullif(s.max_wind_speed, 0) as varchar), 'N/A'),
+    coalesce(cast(nullif(s.min_pressure, 0) as varchar), 'N/A'),
+    coalesce(cast(s.min_dist_to_land as varchar), 'N/A'),
+    strftime(s.start_date, '%Y-%m-%d'), strftime(s.end_date, '%Y-%m-%d'),
+    case when s.duration_hours is not null and s.duration_hours <> 0
+         then {fx('s.duration_hours', 1)} else 'N/A' end,
+    case when w.track_wkt is not null then {q('w.track_wkt')} else 'N/A' end) as csv_line
+from search s left join wkt w using (storm_id)""")
+
+
+def export_tsunami_csv_sql() -> str:
+    def truthy(c):
+        return f"({c} is not null and {c} <> 0)"
+    return tsunami_search_sql().replace("\nselect site_id, id, year,", "\n, ts as (select site_id, id, year,", 1) \
+        + f""")
+select site_id, id, distance_km,
+  concat_ws(',', {q("coalesce(nullif(location_name, ''), 'Unknown')")},
+    {q("coalesce(nullif(country, ''), 'N/A')")},
+    case when {truthy('year')} then cast(year as varchar) else 'N/A' end,
+    case when {truthy('distance_km')} then {fx('distance_km', 2)} else 'N/A' end,
+    case when {truthy('max_water_height')} then {fx('max_water_height', 2)} else 'N/A' end,
+    case when {truthy('earthquake_magnitude')} then {jsnum('earthquake_magnitude')} else 'N/A' end,
+    coalesce(cast(nullif(total_deaths, 0) as varchar), cast(nullif(deaths, 0) as varchar), 'N/A'),
+    coalesce(case when {truthy('total_damage_mil')} then {jsnum('total_damage_mil')} end,
+             case when {truthy('damage_mil')} then {jsnum('damage_mil')} end, 'N/A')) as csv_line
+from ts"""
+
+
+# ------------------------------------------------------------------ tsunami result rows
+
+def tsunami_rows_sql() -> str:
+    months = "['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec']"
+    return tsunami_search_sql().replace("\nselect site_id, id, year,", "\n, ts as (select site_id, id, year,", 1) \
+        + f""")
+select *,
+  case when country is not null and country <> ''
+       then concat_ws(', ', coalesce(location_name, 'Unknown'), country)
+       else coalesce(location_name, 'Unknown') end as full_location,
+  case when year is null or year = 0 then 'Unknown' else
+    concat_ws(' ', case when day is not null and day <> 0 then cast(day as varchar) end,
+              case when month between 1 and 12 then {months}[month] end, cast(year as varchar)) end as date_label,
+  case when year is null or year = 0 then 'Unknown' else
+    concat(cast(year as varchar),
+           coalesce(case when month is not null and month <> 0 then concat('-', lpad(cast(month as varchar), 2, '0')) end, ''),
+           coalesce(case when day is not null and day <> 0 then concat('-', lpad(cast(day as varchar), 2, '0')) end, '')) end as date_iso,
+  {CAUSE_LABEL_CASE} as cause_label,
+  case event_validity when 1 then 'Very Doubtful' when 2 then 'Questionable' when 3 then 'Probable'
+       when 4 then 'Definite' end as validity_label,
+  case when max_water_height is not null and max_water_height <> 0 and max_water_height >= 10 then 'catastrophic'
+       when max_water_height is not null and max_water_height <> 0 and max_water_height >= 5 then 'major'
+       when max_water_height is not null and max_water_height <> 0 and max_water_height >= 2 then 'moderate'
+       else 'minor' end as height_class,
+  case when max_water_height is null or max_water_height = 0 then 'unknown'
+       when max_water_height >= 30 then 'catastrophic' when max_water_height >= 10 then 'severe'
+       when max_water_height >= 5 then 'major' when max_water_height >= 2 then 'moderate'
+       else 'minor' end as height_class_detailed,
+  coalesce(nullif(total_deaths, 0), nullif(deaths, 0)) as deaths_shown,
+  coalesce(nullif(cast(total_damage_mil as double), 0), nullif(cast(damage_mil as double), 0)) as damage_shown
+from ts"""
+
+
+def tsunami_year_range_sql() -> str:
+    return tsunami_search_sql().replace("\nselect site_id, id, year,", "\n, ts as (select site_id, id, year,", 1) \
+        + """)
+select * from ts where year is not null and year <> 0 and year >= 1700 and year <= 1900"""
+
+
+def tsunami_sort_sql() -> str:
+    return tsunami_search_sql().replace("\nselect site_id, id, year,", "\n, ts as (select site_id, id, year,", 1) \
+        + """)
+select *, row_number() over (partition by site_id order by
+          case when max_water_height > 0 then 0 else 1 end, max_water_height desc nulls last,
+          distance_km asc nulls first, id) as rank
+from ts"""
+
+
+SEARCH_ARGS = VIEWS + """
+select site_id, k.kind,
+       coalesce(lat between -90 and 90 and lon between -180 and 180 and radius_m between k.lo and k.hi,
+                false) as accepted
+from sites, (values ('cyclone', 1000, 1000000), ('wind', 10000, 2000000),
+                    ('tsunami', 10000, 5000000)) k(kind, lo, hi)"""
+
+POINT_CLASSES = VIEWS + f"""
+select obs_id, sid, k, n,
+  case when k = 1 then ' (Start)' when k = n then ' (End)' else '' end as position_label,
+  case when wind_speed is null or wind_speed <= 0 then 'N/A'
+       when wind_speed < 34 then 'Tropical Depression' when wind_speed < 64 then 'Tropical Storm'
+       when wind_speed < 83 then 'Hurricane Cat 1' when wind_speed < 96 then 'Hurricane Cat 2'
+       when wind_speed < 113 then 'Hurricane Cat 3' when wind_speed < 137 then 'Hurricane Cat 4'
+       else 'Hurricane Cat 5' end as category,
+  case when nature is null then 'N/A' when nature = 'TS' then 'Tropical Storm'
+       when nature = 'HU' then 'Hurricane' when nature = 'TD' then 'Tropical Depression'
+       when nature = 'ET' then 'Extratropical' when nature = 'SD' then 'Sub-tropical Depr.'
+       when nature = 'SS' then 'Sub-tropical Storm' when nature = 'NR' then 'Not Reported'
+       when nature = 'MX' then 'Mixed' else nature end as nature_label
+from (select obs_id, sid, nature, nullif(wmo_wind, 0) as wind_speed,
+             row_number() over (partition by sid order by iso_time, lon, lat) as k,
+             count(*) over (partition by sid) as n
+      from ({VALID_OBS}) v) x"""
+
+TRACKS_FOR_RESULTS = with_storms("""
+select s.site_id, s.storm_id, o.obs_id, o.iso_time, o.lat, o.lon, nullif(o.wmo_wind, 0) as wind_speed
+from search s join tracks t on t.sid = s.storm_id join obs o on o.sid = t.sid""")
