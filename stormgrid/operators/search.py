@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .layout import spread
 from .tracks import track_segments, valid_points
 
 # Grid sizes (degrees); each divides 180 and 360.
@@ -213,11 +214,11 @@ def points_within(points: DataFrame, sites: DataFrame, keep: list[str], model: s
     ps = prepare_sites(sites)
     levels = used_levels(ps)
     sc = site_cells(ps)
-    pts = geo.apply_stages(points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    pts = geo.apply_stages(spread(points).filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()
                                          & F.col(lat).between(-90, 90)
                                          & F.col(lon).between(-180, 180)),
-                           geo.point_prep_stages("q", lat, lon))
-    pc = point_cells(pts, levels, [*keep, "q_latr", "q_lonr", "q_beta"], lat, lon)
+                           geo.unit_vector_stages("q", lat, lon))
+    pc = point_cells(pts, levels, [*keep, "q_latr", "q_lonr", "q_beta", "q_x", "q_y", "q_z"], lat, lon)
     pairs = cell_join(sc, pc, salt_key or keep[0])
     pairs = geo.apply_stages(pairs, geo.distance_stages("dist_m", "p", "q", model), fence=True)
     return geo.fenced_filter(pairs, F.col("dist_m") <= F.col("radius_m"))
@@ -230,7 +231,8 @@ def storms_near(points: DataFrame, tracks: DataFrame, sites: DataFrame,
     """find_cyclones_near_point for every site: 11 columns + site_id.
 
     distance_km = ROUND(numeric, 2); coalesce(max_wind, min_pressure,
-    duration_hours, 0) like the SQL function. Sorted by site, distance, storm.
+    duration_hours, 0) like the SQL function. Unordered: a global sort of every
+    hit is presentation work, done by ``results.sort_results`` when wanted.
     """
     hits = tracks_within(points, sites, model, segments)
     t = tracks.select("sid", "name", "season", "basin", "start_time", "end_time",
@@ -248,8 +250,7 @@ def storms_near(points: DataFrame, tracks: DataFrame, sites: DataFrame,
         F.col("point_count").alias("num_observations"),
         F.coalesce("max_wind", F.lit(0)).alias("max_wind_speed"),
         F.coalesce("min_pressure", F.lit(0)).alias("min_pressure"),
-        F.coalesce("duration_hours", F.lit(0.0)).alias("duration_hours"),
-    ).orderBy("site_id", "distance_km", "storm_id")
+        F.coalesce("duration_hours", F.lit(0.0)).alias("duration_hours"))
 
 
 def attach_dist2land(hits: DataFrame, points: DataFrame) -> DataFrame:
@@ -275,7 +276,7 @@ def cyclone_search(points: DataFrame, tracks: DataFrame, sites: DataFrame,
         F.expr("nullif(max_wind_speed, 0)").alias("max_wind_speed"),
         F.expr("nullif(min_pressure, 0)").alias("min_pressure"),
         F.expr("nullif(duration_hours, 0.0)").alias("duration_hours"))
-    return attach_dist2land(h, points).orderBy("site_id", "distance_km", "storm_id")
+    return attach_dist2land(h, points)
 
 
 def result_count(sites: DataFrame, hits: DataFrame, name: str = "cyclones_found") -> DataFrame:
@@ -364,8 +365,7 @@ def events_near(events: DataFrame, sites: DataFrame, model: str = "spheroid",
     pairs = points_within(ev, sites, list(EVENT_NEAR_COLS), model, lat="lat_d", lon="lon_d",
                           salt_key="id")
     return pairs.select("site_id", *EVENT_NEAR_COLS,
-                        F.rint(F.col("dist_m") / 1000.0).alias("distance_km")
-                        ).orderBy("site_id", "distance_km", "id")
+                        F.rint(F.col("dist_m") / 1000.0).alias("distance_km"))
 
 
 def tsunami_search(events: DataFrame, sites: DataFrame, model: str = "spheroid") -> DataFrame:

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .layout import spread
+
 ORDER = ("iso_time", "lon", "lat")
 
 
@@ -76,13 +78,16 @@ def sequence_points(points: DataFrame, carry: list[str] | tuple = (),
     carry = list(carry)
     cols = ["sid", *ORDER, *carry]
     n_chunks = chunks or _chunk_count(points)
-    ranged = (valid_points(points).select(*cols)
+    ranged = (spread(valid_points(points).select(*cols))
               .repartitionByRange(n_chunks, "sid", *ORDER)
               .withColumn("chunk", F.spark_partition_id())
               .checkpoint(eager=True))
     fix = F.struct(*[F.col(c) for c in (*ORDER, *carry)])
     w = Window.partitionBy("sid", "chunk").orderBy(*ORDER)
-    seq = (ranged.withColumn("rn", F.row_number().over(w))
+    # explicit count: AQE keeps it, so the CPU-heavy consumers downstream keep
+    # n_chunks-way parallelism even when the rows are few bytes
+    seq = (ranged.repartition(n_chunks, "sid", "chunk")
+           .withColumn("rn", F.row_number().over(w))
            .withColumn("nxt_in", F.lead(fix).over(w)))
     summary = seq.groupBy("sid", "chunk").agg(
         F.min(fix).alias("first_fix"), F.count(F.lit(1)).alias("cn"))
