@@ -228,7 +228,7 @@ YEAR_RANGE_STORMS = with_storms("select * from search where year >= 1950 and yea
 
 SORT_STORMS_WIND = with_storms("""
 select *, row_number() over (partition by site_id order by
-          case when max_wind_speed > 0 then 0 else 1 end, max_wind_speed desc nulls last,
+          case when max_wind_speed > 0 then 0 else 1 end, coalesce(max_wind_speed, 0) desc,
           distance_km, storm_id) as rank
 from search""")
 
@@ -621,8 +621,8 @@ def tsunami_sort_sql() -> str:
     return tsunami_search_sql().replace("\nselect site_id, id, year,", "\n, ts as (select site_id, id, year,", 1) \
         + """)
 select *, row_number() over (partition by site_id order by
-          case when max_water_height > 0 then 0 else 1 end, max_water_height desc nulls last,
-          distance_km asc nulls first, id) as rank
+          case when max_water_height > 0 then 0 else 1 end, coalesce(max_water_height, 0) desc,
+          coalesce(distance_km, 0) asc, id) as rank
 from ts"""
 
 
