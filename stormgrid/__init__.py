@@ -1,0 +1 @@
+"""stormgrid: storm-track and tsunami hazard analytics as Spark DataFrame plans."""

@@ -1,0 +1,5 @@
+"""No streaming operators.
+
+The reference application has no stream processing (its imports are
+full-refresh batch jobs), so nothing is built here.
+"""
