@@ -180,9 +180,13 @@ def cell_join(sites_cells: DataFrame, other_cells: DataFrame, salt_key: str) ->
     if n_site_cells <= limit:
         return other_cells.join(F.broadcast(sites_cells), ["lvl", "cell"])
     salt = _conf_int(spark, "stormgrid.joinSalt", DEFAULT_SALT)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["lvl", "cell", "salt"]
     o = other_cells.withColumn("salt", F.pmod(F.xxhash64(salt_key), F.lit(salt)))
     s = sites_cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    return o.join(s, ["lvl", "cell", "salt"]).drop("salt")
+    # user-numbered on both sides: the join reuses the layout, and AQE does not
+    # coalesce these few-bytes-but-CPU-heavy partitions into a handful of tasks
+    return o.repartition(parts, *keys).join(s.repartition(parts, *keys), keys).drop("salt")
 
 
 def segment_pairs_within(segments: DataFrame, sites: DataFrame, model: str = "spheroid",
@@ -254,9 +258,13 @@ def storms_near(points: DataFrame, tracks: DataFrame, sites: DataFrame,
 
 
 def attach_dist2land(hits: DataFrame, points: DataFrame) -> DataFrame:
-    """Add min_dist_to_land of each matched storm over all its fixes (Q15)."""
-    matched = hits.select(F.col("storm_id").alias("sid")).distinct()
-    d2l = (points.join(matched, "sid", "left_semi").groupBy("sid")
+    """Add min_dist_to_land of each matched storm over all its fixes (Q15).
+
+    With whole tables of sites most storms match somewhere, so the per-storm
+    minimum is one partial aggregate over the points (one row per storm) joined
+    to the hits -- the hits are not evaluated twice to find the matched ids.
+    """
+    d2l = (points.groupBy("sid")
            .agg(F.min(F.when(F.col("dist2land") >= 0, F.col("dist2land"))).alias("min_dist_to_land")))
     return hits.join(d2l.withColumnRenamed("sid", "storm_id"), "storm_id", "left")
 
