@@ -66,23 +66,43 @@ def _chunk_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+DEFAULT_HOT_KEY_ROWS = 1_000_000
+
+
 def sequence_points(points: DataFrame, carry: list[str] | tuple = (),
-                    chunks: int | None = None) -> DataFrame:
+                    chunks: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """Each mapped fix with its successor in storm order and its rank k of n.
 
     Output: sid, iso_time, lon, lat, carry..., k, n, and ``nxt`` =
     struct(iso_time, lon, lat, carry...) of the next fix (null for the last).
-    The range-partitioned frame is checkpointed to the shared checkpoint
-    folder so chunk ids are fixed even if a stage is recomputed.
+
+    One aggregate finds the largest storm. When no storm has more than
+    ``hot_rows`` fixes (conf ``stormgrid.hotKeyRows``), a window per storm over a
+    user-numbered shuffle is enough. Otherwise the chunked path runs: the
+    range-partitioned frame is checkpointed to the shared checkpoint folder so
+    chunk ids stay fixed even if a stage is recomputed.
     """
     carry = list(carry)
     cols = ["sid", *ORDER, *carry]
     n_chunks = chunks or _chunk_count(points)
-    ranged = (spread(valid_points(points).select(*cols))
+    spark = points.sparkSession
+    if hot_rows is None:
+        v = spark.conf.get("stormgrid.hotKeyRows", None)
+        hot_rows = int(v) if v else DEFAULT_HOT_KEY_ROWS
+    valid = valid_points(points).select(*cols)
+    largest = valid.groupBy("sid").count().agg(F.max("count")).first()[0] or 0
+    fix = F.struct(*[F.col(c) for c in (*ORDER, *carry)])
+    if largest <= hot_rows:
+        w = Window.partitionBy("sid").orderBy(*ORDER)
+        seq = (valid.repartition(n_chunks, "sid")
+               .withColumn("k", F.row_number().over(w).cast("long"))
+               .withColumn("nxt", F.lead(fix).over(w))
+               .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sid")).cast("long")))
+        return seq.select(*cols, "k", "n", "nxt")
+    ranged = (spread(valid)
               .repartitionByRange(n_chunks, "sid", *ORDER)
               .withColumn("chunk", F.spark_partition_id())
               .checkpoint(eager=True))
-    fix = F.struct(*[F.col(c) for c in (*ORDER, *carry)])
     w = Window.partitionBy("sid", "chunk").orderBy(*ORDER)
     # explicit count: AQE keeps it, so the CPU-heavy consumers downstream keep
     # n_chunks-way parallelism even when the rows are few bytes

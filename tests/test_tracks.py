@@ -41,8 +41,9 @@ def test_build_tracks_rules(spark):
     assert tr["C"].duration_hours == 0.0 and tr["C"].max_wind is None
 
 
-def test_segments_and_positions_with_chunks(spark):
-    """One hot storm with many fixes spread over several range chunks."""
+@pytest.mark.parametrize("hot_rows", [0, None])
+def test_segments_and_positions_with_chunks(spark, hot_rows):
+    """One hot storm with many fixes: chunked path (hot_rows=0) and plain window path."""
     rows = []
     oid = 0
     for k in range(400):   # the hot storm
@@ -54,7 +55,7 @@ def test_segments_and_positions_with_chunks(spark):
                          1000, 5)); oid += 1
     rows.append((oid, "S00", 2000, "EP", None, "N", t(2), "TS", 0.0, 1.5, 50, 1000, 5))  # time tie
     pts = _pts(spark, rows)
-    seq = T.sequence_points(pts, carry=["obs_id"], chunks=8)
+    seq = T.sequence_points(pts, carry=["obs_id"], chunks=8, hot_rows=hot_rows)
     got = seq.select("obs_id", "sid", "k", "n", F.col("nxt.iso_time").alias("nt"),
                      F.col("nxt.lon").alias("nlon")).toPandas()
     pdf = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
