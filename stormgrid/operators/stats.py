@@ -114,3 +114,38 @@ def wind_buckets(hits: DataFrame, by: str = "site_id") -> DataFrame:
     for c in ("weak", "moderate", "strong", "very_strong", "na"):
         out = out.withColumn(f"{c}_pct", F.round(F.col(c) * 100.0 / F.col("total"), 1))
     return out
+
+
+# The post-import smoke searches (a city site at 100 km, an ocean
+# site at 1000 km).
+SMOKE_SITES = ((1, 19.0760, 72.8777, 100000.0), (2, 12.0, 80.0, 1000000.0))
+
+
+def verify_search_smoke(points: DataFrame, events: DataFrame) -> DataFrame:
+    """Storm count near the city site and tsunami count near the ocean site."""
+    from . import search as S
+
+    spark = points.sparkSession
+    sites = spark.createDataFrame(list(SMOKE_SITES), "site_id long, lat double, lon double, radius_m double")
+    storms = S.tracks_within(points, sites.filter("site_id = 1"))
+    tsu = S.events_near(events, sites.filter("site_id = 2"))
+    return (storms.agg(F.countDistinct("sid").alias("storms_near_mumbai_100km"))
+            .crossJoin(tsu.agg(F.count(F.lit(1)).alias("tsunamis_near_12n80e_1000km"))))
+
+
+def result_count_filtered(sites: DataFrame, hits: DataFrame, start=None, end=None) -> DataFrame:
+    """'n of m': results per site before and after the year filter (0 when none);
+    bounds as in ``results.year_range`` (a null year never passes a bound)."""
+    from .search import valid_sites
+
+    y = F.col("year")
+    cond = F.lit(True)
+    if start:
+        cond = cond & (y >= start)
+    if end:
+        cond = cond & (y <= end)
+    c = hits.groupBy("site_id").agg(F.count(F.lit(1)).alias("n_all"),
+                                    F.count_if(F.coalesce(cond, F.lit(False))).alias("n_kept"))
+    return (valid_sites(sites).select("site_id").join(c, "site_id", "left")
+            .select("site_id", F.coalesce("n_all", F.lit(0)).alias("results_total"),
+                    F.coalesce("n_kept", F.lit(0)).alias("results_shown")))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fence import fenced_filter
+from ..session import scratch_path
 from . import oracle as O
 from . import views as V
 from ..operators import results as R
@@ -397,5 +398,62 @@ def q_tracks_for_results(i: Inputs) -> DataFrame:
     return R.tracks_for_results(i.search, i.tracks, i.obs)
 
 
+# ------------------------------------------------------------------ sinks and API forms
+
+@register("write_points", O.WRITE_POINTS)
+def q_write_points(i: Inputs) -> DataFrame:
+    path = scratch_path(i.spark, f"tables/cyclone_points_{abs(hash(i.sf_dir))}")
+    EX.write_table(i.obs, path, partition_by=["season"])
+    return i.spark.read.parquet(path).select(*i.obs.columns)
+
+
+@register("write_events", O.WRITE_EVENTS)
+def q_write_events(i: Inputs) -> DataFrame:
+    path = scratch_path(i.spark, f"tables/tsunami_events_{abs(hash(i.sf_dir))}")
+    EX.write_table(i.events, path)
+    return i.spark.read.parquet(path)
+
+
+@register("event_detail_api", O.EVENT_DETAIL_API)
+def q_event_detail_api(i: Inputs) -> DataFrame:
+    return R.event_detail_api(i.events, i.requested_event_ids())
+
+
+@register("tsunami_stats_api", O.TSUNAMI_STATS_API)
+def q_tsunami_stats_api(i: Inputs) -> DataFrame:
+    return ST.tsunami_stats_api(i.events)
+
+
+@register("verify_search_smoke", O.verify_search_smoke_sql())
+def q_verify_search_smoke(i: Inputs) -> DataFrame:
+    return ST.verify_search_smoke(i.obs, i.events)
+
+
+@register("result_count_filtered", O.RESULT_COUNT_FILTERED)
+def q_result_count_filtered(i: Inputs) -> DataFrame:
+    return ST.result_count_filtered(i.sites, i.search, 1950, 2000)
+
+
+@register("tsunami_result_count", O.tsunami_result_count_sql())
+def q_tsunami_result_count(i: Inputs) -> DataFrame:
+    return S.result_count(i.sites, S.events_near(i.events, i.sites), "tsunamis_found")
+
+
+@register("order_by_distance", O.ORDER_BY_DISTANCE)
+def q_order_by_distance(i: Inputs) -> DataFrame:
+    return R.ranked_results(i.search, "distance")
+
+
+@register("track_coordinates", O.TRACK_COORDINATES)
+def q_track_coordinates(i: Inputs) -> DataFrame:
+    return EX.geojson_coordinates(EX.track_geojson(i.obs, i.tracks))
+
+
+# closed-form levels from the fitted parameters (no oracle: parameters come from the fit)
+@register("return_levels")
+def q_return_levels(i: Inputs) -> DataFrame:
+    return RK.return_levels(RK.gev_fit(_maxima(i)))
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: (lambda spark, sf_dir, _f=f: _f(Inputs(spark, sf_dir))) for k, f in QUERIES.items()}

@@ -654,3 +654,72 @@ from (select obs_id, sid, nature, nullif(wmo_wind, 0) as wind_speed,
 TRACKS_FOR_RESULTS = with_storms("""
 select s.site_id, s.storm_id, o.obs_id, o.iso_time, o.lat, o.lon, nullif(o.wmo_wind, 0) as wind_speed
 from search s join tracks t on t.sid = s.storm_id join obs o on o.sid = t.sid""")
+
+
+# ------------------------------------------------------------------ more shaping / sinks
+
+WRITE_POINTS = VIEWS + "select * from obs"
+
+WRITE_EVENTS = VIEWS + "select * from ev"
+
+EVENT_DETAIL_API = VIEWS + f"""
+select id, year, month, day, hour, minute, event_validity, cause_code,
+       nullif(cast(earthquake_magnitude as double), 0) as earthquake_magnitude, country, location_name,
+       nullif(cast(latitude as double), 0) as latitude, nullif(cast(longitude as double), 0) as longitude,
+       nullif(cast(max_water_height as double), 0) as max_water_height, num_runups,
+       nullif(cast(tsunami_magnitude_abe as double), 0) as tsunami_magnitude_abe,
+       nullif(cast(tsunami_magnitude_iida as double), 0) as tsunami_magnitude_iida,
+       deaths, missing, injuries, nullif(cast(damage_mil as double), 0) as damage_mil,
+       houses_destroyed, houses_damaged, total_deaths, total_missing, total_injuries,
+       nullif(cast(total_damage_mil as double), 0) as total_damage_mil,
+       total_houses_destroyed, total_houses_damaged
+from ev where id in ({REQUESTED_EVENT_IDS})"""
+
+TSUNAMI_STATS_API = VIEWS + """
+select total_events, reliable_events, year_min, year_max, nullif(avg_magnitude, 0) as avg_magnitude,
+       nullif(max_water_height, 0) as max_water_height, nullif(total_deaths, 0) as total_deaths,
+       events_with_height, events_with_deaths
+from (""" + TSUNAMI_STATS.replace(VIEWS, "", 1) + ") s"
+
+# fixed smoke parameters of the post-import check
+SMOKE_SITES = ("select * from (values (1, 19.0760, 72.8777, 100000.0), (2, 12.0, 80.0, 1000000.0))"
+               " v(site_id, lat, lon, radius_m)")
+
+
+def verify_search_smoke_sql() -> str:
+    seg_d = _site_segment_distances("spheroid", "select site_id, cast(lat as double) as lat,"
+                                    " cast(lon as double) as lon, cast(radius_m as double) as radius_m"
+                                    " from (" + SMOKE_SITES + ") s where site_id = 1")
+    src = ("select s.site_id, s.lat, s.lon, s.radius_m, e.* from (select site_id, cast(lat as double) as lat,"
+           " cast(lon as double) as lon, cast(radius_m as double) as radius_m from (" + SMOKE_SITES +
+           ") s0 where site_id = 2) s, (select * from ev where event_validity >= 2 and lat_d is not null"
+           " and lon_d is not null) e")
+    st = geo.point_prep_stages("p", "lat", "lon") + geo.point_prep_stages("q", "lat_d", "lon_d") \
+        + geo.distance_stages("dist_m", "p", "q")
+    return VIEWS + f"""
+select (select count(distinct sid) from ({seg_d}) d where dist_m <= radius_m) as storms_near_mumbai_100km,
+       (select count(*) from ({geo.stages_sql(src, st)}) d where dist_m <= radius_m) as tsunamis_near_12n80e_1000km"""
+
+
+RESULT_COUNT_FILTERED = with_storms("""
+select s.site_id, coalesce(a.n_all, 0) as results_total, coalesce(a.n_kept, 0) as results_shown
+from (""" + VALID_SITES + """) s left join (
+  select site_id, count(*) as n_all,
+         count(*) filter (where year >= 1950 and year <= 2000) as n_kept
+  from search group by site_id) a using (site_id)""")
+
+
+def tsunami_result_count_sql() -> str:
+    return VIEWS + f"""
+select s.site_id, coalesce(c.n, 0) as tsunamis_found
+from ({VALID_SITES}) s left join (
+  select site_id, count(*) as n from ({event_distances_sql()}) d group by site_id) c using (site_id)"""
+
+
+ORDER_BY_DISTANCE = with_storms("""
+select *, row_number() over (partition by site_id order by distance_km, storm_id) as rank from search""")
+
+TRACK_COORDINATES = VIEWS + f""", tracks as ({TRACKS})
+select v.sid, cast(row_number() over (partition by v.sid order by iso_time, lon, lat) - 1 as integer) as idx,
+       cast({gj('lon')} as double) as lon, cast({gj('lat')} as double) as lat
+from ({VALID_OBS}) v where v.sid in (select sid from tracks)"""

@@ -24,7 +24,7 @@ def test_contract_shapes():
     qs, ors = E.queries(), E.oracle_sql()
     assert set(ors) <= set(qs)
     assert len(qs) >= 50
-    assert {"gev_fit", "fitted_pdf", "wind_analysis"} == set(qs) - set(ors)
+    assert {"gev_fit", "fitted_pdf", "wind_analysis", "return_levels"} == set(qs) - set(ors)
 
 
 def _norm(v):
