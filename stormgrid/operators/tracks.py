@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .layout import spread
+from .layout import hot_key_rows, spread
 
 ORDER = ("iso_time", "lon", "lat")
 
@@ -66,9 +66,6 @@ def _chunk_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-DEFAULT_HOT_KEY_ROWS = 1_000_000
-
-
 def sequence_points(points: DataFrame, carry: list[str] | tuple = (),
                     chunks: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """Each mapped fix with its successor in storm order and its rank k of n.
@@ -85,10 +82,8 @@ def sequence_points(points: DataFrame, carry: list[str] | tuple = (),
     carry = list(carry)
     cols = ["sid", *ORDER, *carry]
     n_chunks = chunks or _chunk_count(points)
-    spark = points.sparkSession
     if hot_rows is None:
-        v = spark.conf.get("stormgrid.hotKeyRows", None)
-        hot_rows = int(v) if v else DEFAULT_HOT_KEY_ROWS
+        hot_rows = hot_key_rows(points.sparkSession)
     valid = valid_points(points).select(*cols)
     largest = valid.groupBy("sid").count().agg(F.max("count")).first()[0] or 0
     fix = F.struct(*[F.col(c) for c in (*ORDER, *carry)])

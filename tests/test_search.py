@@ -102,3 +102,18 @@ def test_events_near_validity_and_rounding(spark, data):
     assert ev.filter("distance_km != rint(distance_km)").count() == 0
     ts = S.tsunami_search(data["events"], data["sites"])
     assert ts.filter("distance_km = 0 or earthquake_magnitude = 0").count() == 0
+
+
+@pytest.mark.parametrize("hot_rows", [0, None])
+def test_rank_within_hot_group(spark, hot_rows):
+    from stormgrid.operators.layout import rank_within
+    rows = [(1, i, float((i * 37) % 101)) for i in range(500)] + [(2, i, float(i)) for i in range(7)]
+    df = spark.createDataFrame(rows, "site_id long, storm_id long, distance_km double")
+    got = {(r.site_id, r.storm_id): r.rank for r in
+           rank_within(df, "site_id", [F.asc("distance_km"), F.asc("storm_id")], hot_rows=hot_rows,
+                       chunks=6).collect()}
+    import pandas as pd
+    p = pd.DataFrame(rows, columns=["site_id", "storm_id", "distance_km"])
+    p = p.sort_values(["site_id", "distance_km", "storm_id"])
+    p["rank"] = p.groupby("site_id").cumcount() + 1
+    assert got == {(a, b): c for a, b, c in zip(p.site_id, p.storm_id, p["rank"])}
