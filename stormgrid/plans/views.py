@@ -143,8 +143,12 @@ SOURCE_TABLES = ("events", "orders", "customer")
 
 
 def register_sources(spark: SparkSession, sf_dir: str, tables=SOURCE_TABLES) -> None:
+    """Temp views over the parquet tables; a scan with fewer splits than cores is
+    spread so the derivations above it do not run in one task (no-op at scale)."""
+    from ..operators.layout import spread
+
     for t in tables:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")).createOrReplaceTempView(t)
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
