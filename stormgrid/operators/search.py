@@ -199,6 +199,8 @@ def segment_pairs_within(segments: DataFrame, sites: DataFrame, model: str = "sp
     keep = [*carry, "seq", *SEG_KEEP]
     segc = segment_cells(seg, levels, keep)
     pairs = cell_join(sc, segc, "sid")
+    # no lower-bound guard here: with it the generated code for this stage grows
+    # past what the JIT compiles and runs ~6x slower (measured); points use it
     st = geo.segment_distance_stages("dist_m", "p", "s", "a", "b", model)
     pairs = geo.apply_stages(pairs, st, fence=True)
     return geo.fenced_filter(pairs, F.col("dist_m") <= F.col("radius_m"))
@@ -224,7 +226,9 @@ def points_within(points: DataFrame, sites: DataFrame, keep: list[str], model: s
                            geo.unit_vector_stages("q", lat, lon))
     pc = point_cells(pts, levels, [*keep, "q_latr", "q_lonr", "q_beta", "q_x", "q_y", "q_z"], lat, lon)
     pairs = cell_join(sc, pc, salt_key or keep[0])
-    pairs = geo.apply_stages(pairs, geo.distance_stages("dist_m", "p", "q", model), fence=True)
+    lb = [("lb_m", geo.lower_bound_expr("p", None, "q"))]
+    pairs = geo.apply_stages(pairs, lb + geo.distance_stages("dist_m", "p", "q", model,
+                                                              guard="lb_m <= radius_m"), fence=True)
     return geo.fenced_filter(pairs, F.col("dist_m") <= F.col("radius_m"))
 
 
