@@ -117,3 +117,18 @@ def test_rank_within_hot_group(spark, hot_rows):
     p = p.sort_values(["site_id", "distance_km", "storm_id"])
     p["rank"] = p.groupby("site_id").cumcount() + 1
     assert got == {(a, b): c for a, b, c in zip(p.site_id, p.storm_id, p["rank"])}
+
+
+def test_sql_views(spark, data):
+    from stormgrid.plans import sql as Q
+    Q.register_tables(spark, data["obs"], data["events"], data["tracks"])
+    data["sites"].createOrReplaceTempView("sites")
+    spark.createDataFrame([("S8-1",), ("nope",)], "sid string").createOrReplaceTempView("storm_ids")
+    spark.sql("select id from tsunami_events limit 3").createOrReplaceTempView("event_ids")
+    Q.register_functions(spark)
+    n = spark.sql("select count(*) from cyclones_near").first()[0]
+    assert n == S.storms_near(data["obs"], data["tracks"], data["sites"]).count()
+    assert spark.sql("select count(*) from tsunami_event").first()[0] == 3
+    assert spark.sql("select count(*) from tsunamis_near").first()[0] >= 0
+    g = spark.sql("select * from cyclone_track").collect()
+    assert all(r.geojson.startswith('{"type":"LineString"') for r in g)
