@@ -449,6 +449,15 @@ def q_track_coordinates(i: Inputs) -> DataFrame:
     return EX.geojson_coordinates(EX.track_geojson(i.obs, i.tracks))
 
 
+@register("storms_near_stored", O.storms_near_sql())
+def q_storms_near_stored(i: Inputs) -> DataFrame:
+    """storms_near over tables written once (points, tracks, segments)."""
+    from ..sources.tables import materialize_storm_tables
+
+    t = materialize_storm_tables(i.obs, scratch_path(i.spark, f"tables/storms_{abs(hash(i.sf_dir))}"))
+    return S.storms_near(t["points"], t["tracks"], i.sites, segments=t["segments"])
+
+
 # closed-form levels from the fitted parameters (no oracle: parameters come from the fit)
 @register("return_levels")
 def q_return_levels(i: Inputs) -> DataFrame:
