@@ -68,19 +68,29 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(F.btrim(c, F.lit('"')), r"^\s+|\s+$", "")
 
 
-def _typed(c: Column, kind) -> tuple[Column, Column | None]:
-    """(value, overflow flag or None)."""
+def _typed(c: Column, kind, name: str) -> list[Column]:
+    """Typed value of one cell; text and decimal cells also keep what the
+    overflow check needs (the stripped text / the parsed double)."""
     v = F.when(c != "", c)
     if kind == "int":
-        return v.try_cast("int"), None
+        return [v.try_cast("int").alias(name)]
     if kind == "coord":
-        return v.try_cast("double"), None
+        return [v.try_cast("double").alias(name)]
     if isinstance(kind, int):
-        return F.when(F.length(v) <= kind, v), F.length(v) > kind
+        return [v.alias(f"{name}__raw")]
+    return [v.try_cast("double").alias(f"{name}__raw")]
+
+
+def _checked(kind, name: str) -> tuple[Column, Column | None]:
+    """(value, overflow flag) from the columns made by :func:`_typed`."""
+    raw = F.col(f"{name}__raw")
+    if kind in ("int", "coord"):
+        return F.col(name), None
+    if isinstance(kind, int):
+        return F.when(F.length(raw) <= kind, raw).alias(name), F.length(raw) > kind
     p, s = kind
-    d = v.try_cast("double")
-    dec = d.try_cast(f"decimal({p},{s})")
-    return dec, d.isNotNull() & ~F.isnan(d) & dec.isNull()
+    dec = raw.try_cast(f"decimal({p},{s})")
+    return dec.alias(name), raw.isNotNull() & ~F.isnan(raw) & dec.isNull()
 
 
 def parse_tsunami_lines(lines: DataFrame, col: str = "line", header: tuple | None = None,
@@ -97,14 +107,18 @@ def parse_tsunami_lines(lines: DataFrame, col: str = "line", header: tuple | Non
         & (F.trim(year_raw) != "")
     a = a.withColumn("stage", F.when(~read_ok, F.lit("too many cells"))
                      .when(~year_ok, F.lit("no year")))
-    exprs, flags = [], []
+    typed = []
     for h, c, kind in FIELDS:
         raw = F.element_at("cells", pos[h]) if h in pos else F.lit(None).cast("string")
-        val, flag = _typed(_strip(F.coalesce(raw, F.lit(""))), kind)
-        exprs.append(val.alias(c))
+        typed += _typed(_strip(F.coalesce(raw, F.lit(""))), kind, c)
+    t = a.select("line", "stage", *typed)
+    exprs, flags = [], []
+    for _, c, kind in FIELDS:
+        val, flag = _checked(kind, c)
+        exprs.append(val)
         if flag is not None:
             flags.append(F.when(flag, F.lit(c)))
-    t = a.select("line", "stage", *exprs, F.concat_ws(",", *flags).alias("overflow"))
+    t = t.select("line", "stage", *exprs, F.concat_ws(",", *flags).alias("overflow"))
     lat, lon = F.col("latitude"), F.col("longitude")
     coords_ok = lat.isNotNull() & lon.isNotNull() & lat.between(-90, 90) & lon.between(-180, 180)
     t = t.withColumn("reject_reason", F.coalesce(
