@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from .layout import spread
-from .tracks import track_segments, valid_points
+from .tracks import track_segments
 
 # Grid sizes (degrees); each divides 180 and 360.
 LEVELS = (1.0, 4.0, 15.0, 45.0)
