@@ -44,11 +44,14 @@ def rank_within(df: DataFrame, group: str, order: list, name: str = "rank",
     spark = df.sparkSession
     hot = hot_key_rows(spark) if hot_rows is None else hot_rows
     n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the input (typically a whole search) is read twice -- group sizes, then the
+    # ranking -- so materialise it once in the shared checkpoint folder
+    df = df.checkpoint(eager=True)
     largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
     if largest <= hot:
         w = Window.partitionBy(group).orderBy(*order)
         return df.withColumn(name, F.row_number().over(w))
-    ranged = (spread(df).repartitionByRange(n, F.col(group), *order)
+    ranged = (df.repartitionByRange(n, F.col(group), *order)
               .withColumn("_chunk", F.spark_partition_id()).checkpoint(eager=True))
     w = Window.partitionBy(group, "_chunk").orderBy(*order)
     local = ranged.repartition(n, group, "_chunk").withColumn("_rn", F.row_number().over(w))
