@@ -310,9 +310,10 @@ def nearest_storm(points: DataFrame, tracks: DataFrame, sites: DataFrame,
     Unresolved-site sets are checkpointed (shared folder) between rounds.
     """
     seg = (segments if segments is not None else track_segments(points)).checkpoint(eager=True)
-    hits = tracks_within(points, sites, model, seg)
+    # sites with any storm inside their own radius are not asked (one distinct on site_id)
+    resolved = segment_pairs_within(seg, sites, model).select("site_id").distinct()
     todo = (valid_sites(sites).select("site_id", "lat", "lon", "radius_m")
-            .join(hits.select("site_id").distinct(), "site_id", "left_anti")
+            .join(resolved, "site_id", "left_anti")
             .checkpoint(eager=True))
     found = None
     max_r = 2.1e7  # beyond half the meridian: the whole globe
@@ -330,7 +331,7 @@ def nearest_storm(points: DataFrame, tracks: DataFrame, sites: DataFrame,
         if todo.agg(F.min("radius_m")).first()[0] >= max_r:
             break  # no storms at all
     if found is None:
-        found = hits.sparkSession.createDataFrame([], "site_id long, sid string, dist_m double")
+        found = sites.sparkSession.createDataFrame([], "site_id long, sid string, dist_m double")
     t = tracks.select("sid", "name", "season")
     return found.join(t, "sid").select(
         "site_id", F.col("sid").alias("storm_id"),
