@@ -132,3 +132,16 @@ def test_sql_views(spark, data):
     assert spark.sql("select count(*) from tsunamis_near").first()[0] >= 0
     g = spark.sql("select * from cyclone_track").collect()
     assert all(r.geojson.startswith('{"type":"LineString"') for r in g)
+
+
+def test_materialized_tables(spark, data, tmpdir_path):
+    from stormgrid.sources.tables import materialize_storm_tables
+    t = materialize_storm_tables(data["obs"], os.path.join(tmpdir_path, "store"))
+    assert t["points"].count() == data["obs"].count()
+    assert t["tracks"].count() == data["tracks"].count()
+    assert t["segments"].count() == T.track_segments(data["obs"]).count()
+    assert os.path.isdir(os.path.join(tmpdir_path, "store", "cyclone_points"))
+    assert not glob.glob(os.path.join(tmpdir_path, "store", "*._writing"))
+    a = sorted(S.storms_near(t["points"], t["tracks"], data["sites"], segments=t["segments"]).collect())
+    b = sorted(S.storms_near(data["obs"], data["tracks"], data["sites"]).collect())
+    assert a == b
