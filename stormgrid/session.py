@@ -55,3 +55,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``stormgrid`` importable in Python workers (once per SparkContext).
+
+    Grouped numpy work (the GEV fit) runs in executor-side Python processes,
+    which import this package by name. The package is zipped on the driver and
+    distributed with ``addPyFile`` -- what ``--py-files`` does at submit time.
+    """
+    import tempfile
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_stormgrid_shipped", False):
+        return
+    import stormgrid
+
+    pkg_dir = os.path.dirname(os.path.abspath(stormgrid.__file__))
+    root = os.path.dirname(pkg_dir)
+    fd, path = tempfile.mkstemp(prefix="stormgrid-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    sc._stormgrid_shipped = True
