@@ -56,7 +56,9 @@ select event_id as obs_id,
 from g
 """
 
-# tsunami events: tsunami_events schema (45 columns incl. double lat/lon copies)
+# tsunami events: tsunami_events schema (45 columns incl. double lat/lon copies).
+# Decimal values are built as integer/100.0 so they carry exactly two decimals:
+# no half-cent ties, which Spark and DuckDB would round differently.
 EV_SQL = """
 with o as (
   select o_orderkey, o_custkey, o_totalprice,
@@ -93,7 +95,7 @@ with o as (
          case when o_orderkey%14=0 then 1 + cast(o_custkey%3 as int) else null end as missing_description,
          case when o_orderkey%8=0 then cast((o_custkey*7)%5000 as int) else null end as injuries,
          case when o_orderkey%8=0 then 1 + cast(o_custkey%4 as int) else null end as injuries_description,
-         case when o_orderkey%12=0 then cast(o_totalprice/1000.0 as decimal(12,2))
+         case when o_orderkey%12=0 then cast(cast((o_custkey*37 + o_orderkey)%100000 as int)/100.0 as decimal(12,2))
               when o_orderkey%12=1 then cast(0 as decimal(12,2)) else null end as damage_mil,
          case when o_orderkey%12=0 then 1 + cast(o_custkey%4 as int) else null end as damage_description,
          case when o_orderkey%15=0 then cast((o_custkey*13)%8000 as int) else null end as houses_destroyed,
@@ -107,7 +109,7 @@ with o as (
          case when o_orderkey%18=0 then 1 + cast(o_custkey%3 as int) else null end as total_missing_desc,
          case when o_orderkey%20=0 then cast((o_custkey*7)%6000 as int) else null end as total_injuries,
          case when o_orderkey%20=0 then 1 + cast(o_custkey%4 as int) else null end as total_injuries_desc,
-         case when o_orderkey%24=0 then cast(o_totalprice/500.0 as decimal(12,2))
+         case when o_orderkey%24=0 then cast(cast((o_custkey*53 + o_orderkey)%200000 as int)/100.0 as decimal(12,2))
               when o_orderkey%24=5 then cast(0 as decimal(12,2)) else null end as total_damage_mil,
          case when o_orderkey%24=0 then 1 + cast(o_custkey%4 as int) else null end as total_damage_desc,
          case when o_orderkey%25=0 then cast((o_custkey*19)%9000 as int) else null end as total_houses_destroyed,
