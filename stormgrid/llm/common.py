@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package
 
@@ -40,6 +41,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], spread_by: str, how: str = "left", salts: int = 16) -> DataFrame:
+    """Join ``rows`` with ``few`` (one row a key) on ``keys``, a key's rows dealt over ``salts`` tasks.
+
+    ``spread_by`` is the column of ``rows`` whose hash picks the salt; ``few`` is repeated per salt.
+    """
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]],
                 schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)

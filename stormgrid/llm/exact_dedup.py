@@ -6,9 +6,8 @@
    the text), and are grouped by (length, hash).
 
 Counting is pre-aggregated in the map tasks; only lengths and hashes travel for it.
-Rows join the surviving keys once; joins are equi-joins on the group key with both
-shuffles added by Spark, so that adaptive execution splits a group that holds a large
-share of all rows. The hashed rows (ids and hashes, no texts) are stored once and read
+Rows join the surviving keys, and later their groups, on the key and a salt from their
+id, so that a group that holds a large share of all rows is dealt over many tasks. The hashed rows (ids and hashes, no texts) are stored once and read
 twice, for the groups and for the decisions.
 
 Defined results: a null text is the empty text; a null ``doc_id`` is kept only if its
@@ -21,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import salted_join, stored
 
 #: Characters of the second step's hash.
 PREFIX_CHARS = 64
@@ -48,13 +47,13 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", has
     cols = ["_id", "_len", full.alias("_full")]
     if hash_all:
         cols.append(F.sha2("_text", 256).alias("text_sha256"))
-    rows = stored(sized.join(survives, ["_len", "_pre"], "left").select(*cols), "exact")
+    rows = stored(salted_join(sized, survives, ["_len", "_pre"], "_id").select(*cols), "exact")
     groups = (rows.filter("_full is not null").groupBy("_len", "_full")
               .agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"))
     out = [F.col("_id").alias("doc_id"),
            F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
            F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size")]
-    joined = rows.join(groups, ["_len", "_full"], "left").select(*out, *rows.columns[3:])
+    joined = salted_join(rows, groups, ["_len", "_full"], "_id").select(*out, *rows.columns[3:])
     return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
