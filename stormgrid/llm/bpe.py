@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, texts_of
 from .lexicon import Lexicon, build
-from .token_ids import MEMO_PIECE_CHARS, MEMO_PIECES, pieces, vocabulary_path
+from .token_ids import PieceMemo, pieces, vocabulary_path
 
 #: Words in the lexicon (the most frequent ones of the corpus).
 LEXICON_WORDS = 50_000
@@ -55,10 +55,9 @@ class Merger:
         byte_of = {c: b for b, c in enumerate(self.letters)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.first = [vocab[c] for c in self.letters]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(merges)}
+        self.result = [vocab[a + b] for a, b in merges]
         self.bytes_of = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items() if t not in self.special}
         self.bytes_of.update((i, t.encode()) for t, i in self.special.items())
         self.cut = regex.compile(PATTERN).findall
@@ -67,22 +66,21 @@ class Merger:
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token: the leftmost pair of the lowest rank is merged until none is left."""
         ids = [self.first[b] for b in word]
-        get = self.pairs.get
         if len(ids) > 200:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best = min((p for p in map(get, zip(ids, ids[1:])) if p), default=None)
-            if best is None:
+        get, result, none = self.rank.get, self.result, len(self.result)
+        ranks = [get(p, none) for p in zip(ids, ids[1:])]
+        while ranks:
+            r = min(ranks)
+            if r == none:
                 break
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and get((ids[i], ids[i + 1])) == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = ranks.index(r)
+            ids[i] = result[r]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -91,23 +89,22 @@ class Merger:
 
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        get = self.pairs.get
-        heap = [(*p, i) for i in range(n - 1) if (p := get((ids[i], ids[i + 1])))]
-        heap = [(rank, i, new) for rank, new, i in heap]
+        get = self.rank.get
+        heap = [(r, i) for i in range(n - 1) if (r := get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, i, new = heapq.heappop(heap)
+            rank, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j >= n or get((ids[i], ids[j])) != (rank, new):
+            if ids[i] < 0 or j >= n or get((ids[i], ids[j])) != rank:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = self.result[rank], -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if p := get((new, ids[k])):
-                    heapq.heappush(heap, (p[0], i, p[1]))
-            if (h := before[i]) >= 0 and (p := get((ids[h], new))):
-                heapq.heappush(heap, (p[0], h, p[1]))
+                if (r := get((ids[i], ids[k]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := get((ids[h], ids[i]))) is not None:
+                heapq.heappush(heap, (r, h))
         return [i for i in ids if i >= 0]
 
     def decode(self, ids) -> str:
@@ -115,46 +112,54 @@ class Merger:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def _joined(a: tuple[int, str, bytes], b: tuple[int, str, bytes]) -> tuple[int, str, bytes]:
+    return a[0] + b[0], f"{a[1]},{b[1]}", a[2] + b[2]
+
+
 class LexiconEncoder:
-    """Whole texts to ids through the lexicon; remembered by piece of text."""
+    """Whole texts to ids through the lexicon; remembered by piece of text.
+
+    A piece's result is (number of ids, ids joined by commas, its decoded bytes).
+    """
 
     def __init__(self, merger: Merger, lexicon: Lexicon):
         self.merger, self.lexicon = merger, lexicon
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo = PieceMemo(lambda parts: map(self.result, parts), _joined)
 
     def _words(self, text: str) -> list[int]:
+        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+            words = [text]  # one pre-token: letters after a space at most
+        else:
+            words = self.merger.cut(text)
         ids: list[int] = []
-        for w in self.merger.cut(text):
+        for w in words:
             b = w.encode("utf-8", "surrogatepass")
             got = self.lexicon.get(b)
             ids += self.merger.merge(b) if got is None else got
         return ids
 
-    def piece(self, text: str) -> tuple[int, ...]:
+    def piece(self, text: str) -> list[int]:
         special = self.merger.special
-        if not special or not any(s in text for s in special):
-            return tuple(self._words(text))
+        if not text or not special or not any(s in text for s in special):
+            return self._words(text)
         ids: list[int] = []
         for part in self.merger.split(text):
             if part in special:
                 ids.append(special[part])
             else:
                 ids += self._words(part)
-        return tuple(ids)
-
-    def encode(self, text: str) -> list[tuple[int, ...]]:
-        """Ids of the text's pieces, in order."""
-        out, memo = [], self.memo
-        for p in pieces(text):
-            got = memo.get(p)
-            if got is None:
-                got = self.piece(p)
-                if len(p) <= MEMO_PIECE_CHARS:
-                    if len(memo) >= MEMO_PIECES:
-                        memo.clear()
-                    memo[p] = got
-            out.append(got)
-        return out
+        return ids
+
+    def result(self, text: str) -> tuple[int, str, bytes]:
+        ids = self.piece(text) if text else []
+        bytes_of = self.merger.bytes_of
+        return len(ids), ",".join(map(str, ids)), b"".join([bytes_of[i] for i in ids])
+
+    def encode_batch(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
+        """The results of each text's pieces, in order."""
+        cut = [pieces(t) for t in texts]
+        get = self.memo.cover(cut).__getitem__
+        return [list(map(get, c)) for c in cut]
 
 
 def frequent_words(docs: DataFrame, text: str = "text", n: int = LEXICON_WORDS) -> list[bytes]:
@@ -202,7 +207,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(vocabulary, name)
         for b in batches:
-            ids = [[i for p in enc.encode(t) for i in p] for t in texts_of(b.column(1))]
+            ids = [[int(i) for p in found if p[0] for i in p[1].split(",")] for found in enc.encode_batch(texts_of(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run,
@@ -234,22 +239,13 @@ def round_trip_digest(docs: DataFrame, vocabulary: str | None = None, doc_id: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(vocabulary, name)
-        bytes_of = enc.merger.bytes_of
-        known: dict[tuple[int, ...], tuple[str, bytes]] = {}
         for b in batches:
             n, ids_sha, text_sha = [], [], []
-            for t in texts_of(b.column(1)):
-                parts = [p for p in enc.encode(t) if p]
-                for p in parts:
-                    if p not in known:
-                        known[p] = ",".join(map(str, p)), b"".join([bytes_of[i] for i in p])
-                got = [known[p] for p in parts]
-                n.append(sum(map(len, parts)))
-                ids_sha.append(hashlib.sha256(",".join([x[0] for x in got]).encode()).hexdigest())
-                back = b"".join([x[1] for x in got]).decode("utf-8", "replace")
+            for found in enc.encode_batch(texts_of(b.column(1))):
+                n.append(sum([p[0] for p in found]))
+                ids_sha.append(hashlib.sha256(",".join([p[1] for p in found if p[0]]).encode()).hexdigest())
+                back = b"".join([p[2] for p in found]).decode("utf-8", "replace")
                 text_sha.append(hashlib.sha256(back.encode()).hexdigest())
-                if len(known) > MEMO_PIECES // 2:
-                    known.clear()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                                              names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

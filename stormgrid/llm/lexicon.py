@@ -16,6 +16,7 @@ import numpy as np
 
 _HEAD = struct.Struct("<8s5q")
 _MAGIC = b"SGLEXIC1"
+_ONE = [bytes([b]) for b in range(256)]
 
 
 def build(entries: dict[bytes, Sequence[int]]) -> bytes:
@@ -99,13 +100,15 @@ class Lexicon:
 
     def get(self, word: bytes) -> tuple[int, ...] | None:
         """The word's ids, or None for a word that the automaton doesn't accept."""
-        state, rank, first, at, find = self.root, 0, self.first, self.labels_at, self.data.find
-        for i in range(len(word)):
-            e = find(word[i:i + 1], at + first[state], at + first[state + 1]) - at
+        state, rank = self.root, 0
+        first, ranks, targets, at, find = self.first, self.ranks, self.targets, self.labels_at, self.data.find
+        for b in word:
+            e = find(_ONE[b], at + first[state], at + first[state + 1])
             if e < 0:
                 return None
-            rank += self.ranks[e]
-            state = self.targets[e]
+            e -= at
+            rank += ranks[e]
+            state = targets[e]
         if not self.data[self.final_at + state]:
             return None
         return tuple(self.ids[self.offsets[rank]:self.offsets[rank + 1]])

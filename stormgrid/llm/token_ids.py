@@ -8,17 +8,19 @@ with the same ids. Pieces repeat, so most of them are looked up, not encoded.
 
 from __future__ import annotations
 
+import operator
 import os
 import re
+import sys
+from array import array
+from collections.abc import Callable, Iterable
 
-import numpy as np
-
-#: Pieces remembered per Python worker; when full the memory starts afresh.
-MEMO_PIECES = 500_000
+#: Pieces remembered per Python worker in each of two generations.
+MEMO_PIECES = 300_000
 #: Longer pieces are encoded each time, so that remembered pieces stay small.
 MEMO_PIECE_CHARS = 64
 
-_UNSAFE = re.compile(r"\x01|\s\s|[^\S \n]")
+_MARKS = frozenset(",.")
 _SAFE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -26,11 +28,48 @@ def pieces(text: str) -> list[str]:
     """Cut ``text`` where the pre-tokenizer cuts whatever stands on either side."""
     if not text:
         return []
-    if _UNSAFE.search(text):
-        return _SAFE_SPACE.split(text)
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or not text.replace("\n", "").isprintable():
+        return _SAFE_SPACE.split(text)  # other white space, or several together
     return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 
 
+class PieceMemo:
+    """Results by piece of text, made once for each new piece of a batch.
+
+    The generation before the current one is kept, so that frequent pieces stay known.
+    Letters that end in a comma or a full stop are two pre-tokens, so such a piece is
+    put together from the results of its word and its mark.
+    """
+
+    def __init__(self, make: Callable[[list[str]], Iterable], join: Callable):
+        self.make, self.join = make, join
+        self.now: dict = {}
+        self.before: dict = {}
+        self.long: list[str] = []
+
+    def cover(self, cut: list[list[str]]) -> dict:
+        """A dict that holds the results of all pieces of ``cut`` (until the next call)."""
+        for p in self.long:
+            self.now.pop(p, None)
+        need = set().union(*cut)
+        new = need.difference(self.now)
+        if len(self.now) + len(new) > MEMO_PIECES:
+            self.before, self.now = self.now, {}
+            new = need
+        old = self.before
+        self.now.update([(p, old[p]) for p in new if p in old])
+        rest = [p for p in new if p not in old]
+        marked = [p for p in rest if p[-1:] in _MARKS and p[1:-1].isalpha() and (p[0] == " " or p[0].isalpha())]
+        fresh = set(rest).difference(marked)
+        fresh.update([p[:-1] for p in marked], [p[-1] for p in marked])
+        fresh = [p for p in fresh if p not in self.now]
+        self.now.update(zip(fresh, self.make(fresh), strict=True))
+        now, join = self.now, self.join
+        now.update([(p, join(now[p[:-1]], now[p[-1]])) for p in marked])
+        self.long = [p for p in new if len(p) > MEMO_PIECE_CHARS]
+        return now
+
+
 class LibraryEncoder:
     """``tokenizers`` ids as little-endian unsigned 32-bit bytes."""
 
@@ -42,38 +81,21 @@ class LibraryEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self._batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        self.memo: dict[str, bytes] = {}
+        self.memo = PieceMemo(self._encode, operator.add)
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self._batch(parts, add_special_tokens=False)]
+        ids = [array("I", e.ids) for e in self._batch(parts, add_special_tokens=False)] if parts else []
+        if sys.byteorder == "big":
+            for a in ids:
+                a.byteswap()
+        return [a.tobytes() for a in ids]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         cut = [pieces(t) for t in texts]
-        seen = self.memo
-        new = list({p for c in cut for p in c if p not in seen})
-        if len(seen) + len(new) > MEMO_PIECES:
-            self.memo = seen = {}
-            new = list({p for c in cut for p in c})
-        found = dict(zip(new, self._encode(new), strict=True)) if new else {}
-        look = seen
-        if any(len(p) > MEMO_PIECE_CHARS for p in new):
-            seen.update((p, b) for p, b in found.items() if len(p) <= MEMO_PIECE_CHARS)
-            look = _Both(found, seen)
-            return [b"".join([look[p] for p in c]) for c in cut]
-        seen.update(found)
-        get = look.__getitem__
+        get = self.memo.cover(cut).__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
 
-class _Both:
-    def __init__(self, first: dict, second: dict):
-        self.first, self.second = first, second
-
-    def __getitem__(self, key: str) -> bytes:
-        got = self.second.get(key)
-        return self.first[key] if got is None else got
-
-
 _ENCODERS: dict[str, LibraryEncoder] = {}
 
 
