@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, packing, quality, token_store, vector_search
+from . import bpe, exact_dedup, language, near_dedup, packing, quality, recompression, suffix_dedup, token_store, vector_search
 from .common import prepare, table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that no repeated window of 20 words covers."""
+    prepare(spark)
+    return (recompression.remove_repeats(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts: the row of the largest doc_id stays."""
     return (exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), hash_all=True)
@@ -39,6 +46,19 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                                              F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that no repeated string of 50 bytes covers."""
+    prepare(spark)
+    return (suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose two-word shingles agree to 80 percent."""
+    prepare(spark)
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=2)
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all ids in compressed shards and read them back."""
     prepare(spark)
@@ -63,7 +83,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_packing, op4_bpe, op5_quality, op8_token_store, op9_top_k, op10_language)
+    f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_packing, op4_bpe, op5_quality, op6_suffix_dedup,
+                            op7_near_dedup, op8_token_store, op9_top_k, op10_language)
 }
 
 ORACLE: dict[str, str] = {
