@@ -10,8 +10,9 @@ similarity of 0.8 a pair shares no band with a probability of 1e-6.
 * A band's bucket is never expanded into pairs. First, each class is compared with one
   hub, the class that shares the most buckets with others among its buckets' best ones.
 * Links found that way form components. What is left are buckets with members of several
-  components: there, members outside of the bucket's largest component are compared with
-  the members of other components, so that no link between components stays unseen.
+  components. For a few rounds, members outside of a bucket's largest component are each
+  compared with one of its members; at the end those still outside are compared with all
+  members of other components, so that no link between components stays unseen.
 * Components spread their smallest id along the links until nothing changes.
 
 Joins that a hub or a bucket could crowd are dealt by a salt. Sets travel to the hub they
@@ -38,6 +39,9 @@ from .suffix_dedup import _mixed
 
 BANDS, ROWS = 36, 5
 WORDS, PERCENT = 5, 80
+#: Rounds in which members outside of a bucket's largest component meet some of its members,
+#: and how many of these each bucket offers; whatever is open then is compared in full.
+ROUNDS_OF_PARTNERS, PARTNERS = 3, 8
 #: Classes compared with one copy of a hub's set.
 SHARE = 256
 #: Shingles that numpy works on at a time.
@@ -135,7 +139,21 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(docs, run, "id long, n long, h1 long, h2 long, bands array<long>")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """id and set (sorted shingles as bytes) of the documents named in ``ids``.
+
+    Documents and ids are merged in id order whatever their sizes, so that the plan is the
+    same for a few ids and for many.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = [x.tobytes() for x in shingle_sets(b.column(1).to_pylist(), words)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], names=["id", "data"])
+
+    return stored(map_batches(docs.join(ids.hint("merge"), "id", "left_semi"), run, "id long, data binary"), "sets")
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (hub, id) whose documents' sets are similar.
 
     Each id's set goes to its share of the hub's pairs, and the hub's set to each share.
@@ -145,12 +163,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> D
              .select("id", "hub", F.pmod(F.xxhash64("id"), F.col("_shares")).cast("int").alias("share"), F.lit(1).alias("role")))
     hubs = shares.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("share"), F.lit(0).alias("role"))
     wanted = stored(dealt.unionByName(hubs), "pairs")
-    texts = docs.join(wanted, "id").select("hub", "share", "role", "id", "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = [x.tobytes() for x in shingle_sets(b.column(4).to_pylist(), words)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(s, pa.binary())], names=["hub", "share", "role", "id", "data"])
+    rows = sets.join(wanted, "id").select("hub", "share", "role", "id", "data")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, mine = None, np.zeros(0, np.uint64)
@@ -164,8 +177,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> D
                     links.append((hub, i))
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["hub", "id"])
 
-    rows = map_batches(texts, sets, "hub long, share int, role int, id long, data binary")
-    dealt_rows = rows.repartition(partitions(docs.sparkSession), "hub", "share").sortWithinPartitions("hub", "share", "role")
+    dealt_rows = rows.repartition(partitions(sets.sparkSession), "hub", "share").sortWithinPartitions("hub", "share", "role")
     return map_batches(dealt_rows, compare, "hub long, id long").distinct()
 
 
@@ -205,23 +217,25 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
               .filter(F.col("hub") != F.col("rep")).filter(_near_sizes("n", "hub_n", percent)))
     hubs = offers.groupBy("rep").agg(F.max(F.struct("hub_met", F.negative("hub").alias("h"))).alias("x"))
     first = stored(hubs.select((-F.col("x.h")).alias("hub"), F.col("rep").alias("id")), "first")
-    links = stored(_confirmed(own, first, words, percent), "links")
-
+    sets = _sets(own, members.select(F.col("rep").alias("id")).distinct(), words)
+    links = stored(_confirmed(sets, first, percent), "links")
     labels = components(links)
-    grouped = stored(salted_join(members.select("band", "rep", "n"), labels.withColumnRenamed("node", "rep"), ["rep"], "band")
-                     .select("band", "rep", "n", F.coalesce("label", "rep").alias("label")), "grouped")
-    sizes = grouped.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m"))
-    mixed = (sizes.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("m", "label")).alias("x"))
-             .filter("k > 1").select("band", F.col("x.label").alias("largest")))
-    open_rows = stored(salted_join(grouped, mixed, ["band"], "rep", "inner"), "open")
-    few = open_rows.filter("label <> largest").select("band", F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"))
-    rest = (open_rows.join(few, "band").filter("label <> a_label and (label = largest or a < rep)").filter(_near_sizes("n", "a_n", percent))
-            .select(F.least("a", "rep").alias("hub"), F.greatest("a", "rep").alias("id")).distinct())
-    tried = first.select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id"))
-    rest = stored(rest.join(tried, ["hub", "id"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        links = stored(links.unionByName(_confirmed(own, rest, words, percent)), "links")
-        labels = components(links)
+    tried = first
+    for k in range(ROUNDS_OF_PARTNERS + 1):
+        left = _unsettled(members, labels)
+        if k < ROUNDS_OF_PARTNERS:
+            pairs = _partners(left, percent, k)
+        else:
+            pairs = _all_across(left, percent)
+        done = tried.select(F.least("hub", "id").alias("_a"), F.greatest("hub", "id").alias("_b"))
+        pairs = stored(pairs.join(done, (F.least("hub", "id") == F.col("_a")) & (F.greatest("hub", "id") == F.col("_b")), "left_anti"), "pairs")
+        if not pairs.limit(1).count():
+            continue
+        new = stored(_confirmed(sets, pairs, percent), "links")
+        tried = tried.unionByName(pairs)
+        if new.limit(1).count():
+            links = stored(links.unionByName(new), "links")
+            labels = components(links)
 
     labelled = salted_join(classes.select("h1", "h2", "rep"), labels.withColumnRenamed("node", "rep"), ["rep"], "h1").select("h1", "h2", F.coalesce("label", "rep").alias("label"))
     out = salted_join(signed.select("id", "n", "h1", "h2"), labelled, ["h1", "h2"], "id")
@@ -230,6 +244,35 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with their bucket's largest one."""
+    grouped = stored(salted_join(members.select("band", "rep", "n"), labels.withColumnRenamed("node", "rep"), ["rep"], "band")
+                     .select("band", "rep", "n", F.coalesce("label", "rep").alias("label")), "grouped")
+    sizes = grouped.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m"))
+    mixed = (sizes.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("m", "label")).alias("x"))
+             .filter("k > 1").select("band", F.col("x.label").alias("largest")))
+    return stored(salted_join(grouped, mixed, ["band"], "rep", "inner"), "unsettled")
+
+
+def _partners(left: DataFrame, percent: int, k: int) -> DataFrame:
+    """For each member outside of its bucket's largest component, one of PARTNERS of that component's members there."""
+    picked = [F.max(F.struct(F.xxhash64("rep", F.lit(PARTNERS * k + j)), "rep", "n")).alias(f"p{j}") for j in range(PARTNERS)]
+    some = left.filter("label = largest").groupBy("band").agg(*picked)
+    some = some.select("band", F.array(*(f"p{j}" for j in range(PARTNERS))).alias("p"))
+    outside = left.filter("label <> largest").select("band", "rep", "n")
+    one = F.get("p", F.pmod(F.xxhash64("rep", "band"), F.lit(PARTNERS)).cast("int"))
+    return (salted_join(outside, some, ["band"], "rep", "inner").withColumn("x", one)
+            .select(F.col("x.rep").alias("hub"), F.col("rep").alias("id"), F.col("x.n").alias("hub_n"), "n")
+            .filter(_near_sizes("n", "hub_n", percent)).select("hub", "id").distinct())
+
+
+def _all_across(left: DataFrame, percent: int) -> DataFrame:
+    """All pairs that share a bucket and whose components differ."""
+    few = left.filter("label <> largest").select("band", F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"))
+    return (left.join(few, "band").filter("label <> a_label and (label = largest or a < rep)").filter(_near_sizes("n", "a_n", percent))
+            .select(F.least("a", "rep").alias("hub"), F.greatest("a", "rep").alias("id")).distinct())
+
+
 def _near_sizes(a: str, b: str, percent: int):
     """Sets of such sizes can be similar."""
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
