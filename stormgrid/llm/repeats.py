@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,16 +37,22 @@ BUCKETS_A_PARTITION = 4
 #: Bytes of text that numpy works on at a time.
 CHUNK_BYTES = 1 << 20
 PACKED = "dest int, kind int, data binary"
+#: Marks that a task gathers before it sends them.
+BATCH_MARKS = 400_000
+#: Names travel as 48 bits: a chance match only sends details that nothing equals.
+_SIX = np.uint64((1 << 48) - 1)
 #: Order of a null id: before all others.
 FIRST_ID = -(1 << 63)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed byte string."""
     head = struct.pack(f"<{len(arrays)}q", *(a.nbytes for a in arrays))
-    return head + b"".join([np.ascontiguousarray(a).tobytes() for a in arrays])
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join([np.ascontiguousarray(a).tobytes() for a in arrays]))
 
 
 def unpack(data: bytes, *types: str) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(data)
     sizes = struct.unpack_from(f"<{len(types)}q", data)
     out, at = [], 8 * len(types)
     for t, n in zip(types, sizes):
@@ -103,6 +110,7 @@ def repeated(docs: DataFrame, doc_id: str, text: str,
     ``carry`` come along in a last column, the struct ``rest``.
     """
     spark = docs.sparkSession
+    few = partitions(spark) * 2
     n = partitions(spark) * BUCKETS_A_PARTITION
     body = F.coalesce(F.col(text), F.lit(""))
     own = docs.select(F.col(doc_id).cast("long").alias("id"), body.cast("binary").alias("text"),
@@ -111,24 +119,36 @@ def repeated(docs: DataFrame, doc_id: str, text: str,
     at_home = own.withColumn("dest", F.pmod("key", F.lit(n)).cast("int"))
 
     def step_marks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[int] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def settle() -> list[pa.RecordBatch]:
+            # one entry for each name and document; names seen in several documents here are shared already
+            names, number, twice = _distinct(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
+            first = np.r_[True, names[1:] != names[:-1]] if len(names) else np.zeros(0, bool)
+            many = twice | _several(names)
+            sent = np.array(keys, np.int64)[number]
+            by = np.flatnonzero(first)[np.argsort(number[first], kind="stable")]  # by document: its key repeats in a row
+            out = deal(bucket_of(names[by], few), 0, _six(names[by]), sent[by], many[by].astype(np.uint8))
+            return rows(out + deal(home_of(sent[many], n), 1, sent[many], names[many])).to_batches()
+
         for b in it:
-            out = []
-            for keys, texts in batches_of(b.column(2).to_pylist(), b.column(1).to_pylist(), 8 * CHUNK_BYTES):
+            for own, texts in batches_of(b.column(2).to_pylist(), b.column(1).to_pylist()):
                 names, number = marks(texts)
-                # one entry for each name and document; names seen in several documents here are shared already
-                names, number, twice = _distinct(names, number)
-                first = np.r_[True, names[1:] != names[:-1]] if len(names) else np.zeros(0, bool)
-                many = twice | _several(names)
-                sent = keys[number]
-                sent_names = names[first]
-                out += deal(bucket_of(sent_names, n), 0, sent_names, sent[first], many[first].astype(np.uint8))
-                out += deal(home_of(sent[many], n), 1, sent[many], names[many])
-            for batch in rows(out).to_batches():
-                yield batch
+                found.append((names & _SIX, number + len(keys)))
+                keys += own.tolist()
+                size += len(names)
+                if size > BATCH_MARKS:
+                    yield from settle()
+                    keys, found, size = [], [], 0
+        if found:
+            yield from settle()
 
     def step_shared(t: pa.Table) -> pa.Table:
         kinds, parts = t.column("kind").to_pylist(), t.column("data").to_pylist()
-        names, keys, many = merged([p for k, p in zip(kinds, parts) if k == 0], "<u8", "<i8", "u1")
+        names, keys, many = merged([p for k, p in zip(kinds, parts) if k == 0], "u1", "<i8", "u1")
+        names = _eight(names)
         order = np.argsort(names, kind="stable")
         names, keys, many = names[order], keys[order], many[order].astype(bool)
         tell = _several(names) & ~many
@@ -154,14 +174,14 @@ def repeated(docs: DataFrame, doc_id: str, text: str,
 
         def is_shared(key: np.ndarray, name: np.ndarray) -> np.ndarray:
             """For marks (document key, name), whether the name is shared."""
-            out = np.zeros(len(key), bool)
+            out, wanted = np.zeros(len(key), bool), name & _SIX
             cut = np.flatnonzero(np.diff(key)) + 1
             for lo, hi in zip([0, *cut], [*cut, len(key)]):
                 i = np.searchsorted(bounds, key[lo]) if hi > lo else 0
                 if hi > lo and i < len(bounds) and bounds[i] == key[lo]:
                     have = names[edge[i]:edge[i + 1]]
-                    j = np.minimum(np.searchsorted(have, name[lo:hi]), len(have) - 1)
-                    out[lo:hi] = have[j] == name[lo:hi]
+                    j = np.minimum(np.searchsorted(have, wanted[lo:hi]), len(have) - 1)
+                    out[lo:hi] = have[j] == wanted[lo:hi]
             return out
 
         return rows(details(left.column("key").to_numpy(), orders, left.column("text").to_pylist(), is_shared, n))
@@ -193,6 +213,17 @@ def repeated(docs: DataFrame, doc_id: str, text: str,
     return at_home.groupBy("dest").cogroup(solved.groupBy("dest")).applyInArrow(step_finish, out_type)
 
 
+def _six(names: np.ndarray) -> np.ndarray:
+    """The low 48 bits of names, as bytes."""
+    return np.ascontiguousarray(names.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def _eight(flat: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(flat) // 6, 8), np.uint8)
+    out[:, :6] = flat.reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
 def _several(names: np.ndarray) -> np.ndarray:
     """For sorted names, whether an entry's neighbour has the same name."""
     if not len(names):

@@ -135,17 +135,18 @@ def details(keys: np.ndarray, orders: np.ndarray, texts: list[bytes], is_shared,
     group = np.cumsum(new) - 1
     later = order > order[np.flatnonzero(new)][group]
     sent = ~later
-    out = deal(bucket_of(name[sent], n), 0, name[sent], key[sent], order[sent], first[sent], left[sent], least[sent], wide[sent])
+    out = deal(bucket_of(name[sent], n), 0, key[sent], order[sent], first[sent], left[sent], least[sent], wide[sent])
     count = left.astype(np.int64) - least
     return out + deal(home_of(key[later], n), 1, key[later], first[later], first[later] + count[later])
 
 
 def solve(parts: list[bytes], n: int) -> list:
     """Repeated strings of a bucket's entries, as runs of window starts."""
-    name, key, order, first, left, least, wide = merged(parts, "<u8", "<i8", "<i8", "<i8", "u1", "u1", "u1")
-    if not len(name):
+    key, order, first, left, least, wide = merged(parts, "<i8", "<i8", "<i8", "u1", "u1", "u1")
+    if not len(key):
         return []
     wide = wide.reshape(-1, WIDE)
+    name = np.concatenate([_names(wide[lo:lo + SORTED, SIDE:SIDE + GRAM]) for lo in range(0, len(wide), SORTED)])
     by = np.argsort(name, kind="stable")
     edges = np.r_[np.flatnonzero(np.r_[True, name[by][1:] != name[by][:-1]]), len(by)]
     out, lo = [], 0
@@ -157,6 +158,15 @@ def solve(parts: list[bytes], n: int) -> list:
     return out
 
 
+def _names(grams: np.ndarray) -> np.ndarray:
+    """Names of marks from their bytes, as :func:`_segment` gives them."""
+    x = _BYTE[grams]
+    h2 = x[:, :-1] * _C[0] + x[:, 1:]
+    h4 = h2[:, :-2] * _C[1] + h2[:, 2:]
+    h8 = h4[:, :-4] * _C[2] + h4[:, 4:]
+    return _mixed((h8[:, 0] * _C[3] + h8[:, 8]) * _C[1] + h2[:, 16])
+
+
 def right_order(name: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Entries in order of (name, right bytes), from the suffix array of their symbols."""
     m = len(name)
