@@ -12,7 +12,7 @@ marks at equal places. The job has five steps, all keyed by hashes:
 
 Marks and details travel as a few packed rows for each bucket and batch. What a batch can
 settle by itself (all but the first of equal details) doesn't travel at all, so that a very
-common passage adds at most one entry for each batch to its bucket. Buckets are many times
+common passage adds at most one entry for each batch to its bucket. Buckets are twice
 the shuffle partitions and grow with them. The documents' texts are shuffled once; steps
 3 and 5 read the same exchange.
 
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from .common import chunks_by_size, partitions
 
-BUCKETS_A_PARTITION = 4
+BUCKETS_A_PARTITION = 2
 #: Bytes of text that numpy works on at a time.
 CHUNK_BYTES = 1 << 20
 PACKED = "dest int, kind int, data binary"
@@ -110,7 +110,6 @@ def repeated(docs: DataFrame, doc_id: str, text: str,
     ``carry`` come along in a last column, the struct ``rest``.
     """
     spark = docs.sparkSession
-    few = partitions(spark) * 2
     n = partitions(spark) * BUCKETS_A_PARTITION
     body = F.coalesce(F.col(text), F.lit(""))
     own = docs.select(F.col(doc_id).cast("long").alias("id"), body.cast("binary").alias("text"),
@@ -130,7 +129,7 @@ def repeated(docs: DataFrame, doc_id: str, text: str,
             many = twice | _several(names)
             sent = np.array(keys, np.int64)[number]
             by = np.flatnonzero(first)[np.argsort(number[first], kind="stable")]  # by document: its key repeats in a row
-            out = deal(bucket_of(names[by], few), 0, _six(names[by]), sent[by], many[by].astype(np.uint8))
+            out = deal(bucket_of(names[by], n), 0, _six(names[by]), sent[by], many[by].astype(np.uint8))
             return rows(out + deal(home_of(sent[many], n), 1, sent[many], names[many])).to_batches()
 
         for b in it:

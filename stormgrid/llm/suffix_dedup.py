@@ -126,7 +126,8 @@ def details(keys: np.ndarray, orders: np.ndarray, texts: list[bytes], is_shared,
     if not cols[0]:
         return []
     name, key, order, first, left, least, wide = (np.concatenate(c) for c in cols)
-    code = _mixed(wide.astype(np.uint64) @ _BYTE[:WIDE] + left * _BYTE[100] + least * _BYTE[101]) if len(wide) else name
+    code = np.concatenate([wide[lo:lo + SORTED].astype(np.uint64) @ _BYTE[:WIDE] for lo in range(0, len(wide), SORTED)])
+    code = _mixed(code + left * _BYTE[100] + least * _BYTE[101])
     by = np.lexsort((order, code, name))
     name, key, order, first, left, least, wide = (c[by] for c in (name, key, order, first, left, least, wide))
     code = code[by]
