@@ -39,11 +39,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster sets it; only when it is unset (tests, local runs) do we pick a
-    folder ourselves.
+    The cluster sets it; only when it is unset and the master is local (tests) do we
+    pick a folder ourselves. Elsewhere a machine-local folder would lose data.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = os.environ.get("STORMGRID_CHECKPOINT_DIR") or "/tmp/stormgrid-checkpoints"
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
