@@ -13,9 +13,11 @@ kept with it; hence equal word sequences have equal symbols wherever the support
 
 A window's mark (:mod:`repeats`) is the highest-level symbol of the smallest fingerprint
 whose support lies in the window (and is at most ``SUPPORT`` words long), or, where runs
-leave none, its word of the smallest fingerprint. High-level symbols that occur again reveal
-where repeats are; the windows around them are then named by 128 bits of all their words and
-compared, which settles each window.
+leave none, a word of the smallest fingerprint. Short symbols recur by chance, so a mark is
+known by its symbol and the ``SUPPORT`` words from where its support starts, which lie in the
+window too. Marks that occur again reveal where repeats are; the windows around them are then
+named by 96 bits of all their words and compared, which settles each window. All windows of
+one mark go to its bucket.
 
 Defined results: words are separated by ASCII white space; a null text has no words; a null
 id is smaller than all others; rows that repeat a ``doc_id`` count as one document; repeated
@@ -30,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .repeats import batches_of, bucket_of, deal, home_of, merged, repeated
+from .repeats import batches_of, bucket_of, deal, home_of, pack, repeated, unpack
 from .suffix_dedup import _mixed, _smallest
 
 WINDOW, ROUNDS, SUPPORT = 20, 2, 12
@@ -130,12 +132,12 @@ def window_marks(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     names = name[np.where(found, place, 0)]
     if not found.all():
         words = _mixed(ids + _WORD)
-        low = _smallest((words & ~_LOW) | here, WINDOW)[first]
+        low = _smallest((words & ~_LOW) | here, WINDOW - SUPPORT + 1)[first]
         at = (low & _LOW).astype(np.int64) + (first & ~int(_LOW))
         at += np.where(at < first, 1 << 24, 0)
         place = np.where(found, place, at)
         names = np.where(found, names, words[np.where(found, 0, at)] ^ _C1)
-    return first, place, names
+    return first, place, _mixed(names ^ sequence_names(ids, SUPPORT, _C1)[place])
 
 
 def _runs(place: np.ndarray, names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,23 +155,22 @@ def marks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return names[lo], np.repeat(np.arange(len(sizes)), sizes)[first[lo]]
 
 
-def window_names(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two fingerprints of each ``WINDOW`` (20) words in a row."""
-    out = []
-    for c in (_C1, _C2):
-        x = _mixed(ids * c + _RUN)
-        p = [_U(pow(int(c), k, 1 << 64)) for k in (1, 2, 4, 8)]
-        h2 = x[:-1] * p[0] + x[1:]
-        h4 = h2[:-2] * p[1] + h2[2:]
-        h8 = h4[:-4] * p[2] + h4[4:]
-        h16 = h8[:-8] * p[3] + h8[8:]
-        out.append(_mixed(h16[:len(ids) - 19] * p[2] + h4[16:]))
-    return out[0], out[1]
+def sequence_names(ids: np.ndarray, length: int, factor: np.uint64) -> np.ndarray:
+    """A fingerprint of each ``length`` words in a row."""
+    n = len(ids) - length + 1
+    block, size, out, done = _mixed(ids * factor + _RUN), 1, np.zeros(n, np.uint64), 0
+    while size <= length:
+        power = _U(pow(int(factor), size, 1 << 64))
+        if length & size:
+            out = out * power + block[done:done + n]
+            done += size
+        block, size = block[:-size] * power + block[size:], size * 2
+    return _mixed(out)
 
 
 def details(keys: np.ndarray, orders: np.ndarray, texts: list[bytes], is_shared, n: int) -> list:
     """Windows at shared marks; of equal ones only the first travels."""
-    cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+    cols: list[list[np.ndarray]] = [[] for _ in range(6)]
     done = 0
     for own_keys, part in batches_of(keys.tolist(), texts):
         ids, sizes = fingerprints(part)
@@ -179,28 +180,31 @@ def details(keys: np.ndarray, orders: np.ndarray, texts: list[bytes], is_shared,
             lo, hi = _runs(place, names, first)
             shared = is_shared(own_keys[doc[lo]], names[lo])
             own = np.repeat(shared, hi - lo + 1)
-            first, doc = first[own], doc[own]
-            a, b = window_names(ids)
+            first, doc, names = first[own], doc[own], names[own]
+            a, b = sequence_names(ids, WINDOW, _C1)[first], sequence_names(ids, WINDOW, _C2)[first].astype(np.uint32)
             begin = np.cumsum(sizes) - sizes
-            for c, v in zip(cols, (a[first], b[first], own_keys[doc], orders[done + doc], first - begin[doc])):
+            for c, v in zip(cols, (a, b, own_keys[doc], orders[done + doc], first - begin[doc], bucket_of(names, n))):
                 c.append(v)
         done += len(part)
     if not cols[0]:
         return []
-    a, b, key, order, at = (np.concatenate(c) for c in cols)
-    a, b, key, order, at, head, later = _firsts(a, b, key, order, at)
-    out = deal(bucket_of(a[head], n), 0, a[head], b[head], key[head], order[head], at[head])
-    return out + _spans(key[later], at[later], 1, n)
-
-
-def _firsts(a, b, key, order, at):
-    """Windows by name, document and place; the first of each name (and what ties with it), and those after."""
+    (a, b, key, order, at, dest), later = _by_window(*(np.concatenate(c) for c in cols))
+    out = _spans(key[later], at[later], 1, n)
+    by = np.flatnonzero(~later)
+    by = by[np.lexsort((at[by], key[by], dest[by]))]  # what repeats or counts up from row to row packs to next to nothing
+    a, b, key, order, at, dest = (c[by] for c in (a, b, key, order, at, dest))
+    cut = np.r_[np.flatnonzero(np.diff(dest, prepend=-1)), len(dest)]
+    return out + [(int(dest[lo]), 0, pack(a[lo:hi], b[lo:hi], *(np.diff(c[lo:hi], prepend=np.int64(0)) for c in (key, order, at))))
+                  for lo, hi in zip(cut[:-1], cut[1:])]
+
+
+def _by_window(a, b, key, order, at, *more):
+    """The columns sorted by window name, document and place; and which rows come after the first (and what ties with it)."""
     by = np.lexsort((at, order, b, a))
-    a, b, key, order, at = (c[by] for c in (a, b, key, order, at))
+    a, b, key, order, at, *more = (c[by] for c in (a, b, key, order, at, *more))
     new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
     start = np.flatnonzero(new)[np.cumsum(new) - 1] if len(a) else np.zeros(0, np.int64)
-    later = (order > order[start]) | (at > at[start])
-    return a, b, key, order, at, ~later, later
+    return (a, b, key, order, at, *more), (order > order[start]) | (at > at[start])
 
 
 def _spans(key: np.ndarray, at: np.ndarray, kind: int, n: int) -> list:
@@ -216,7 +220,12 @@ def _spans(key: np.ndarray, at: np.ndarray, kind: int, n: int) -> list:
 
 def solve(parts: list[bytes], n: int) -> list:
     """All windows of a bucket but the first of each name."""
-    _, _, key, _, at, _, later = _firsts(*merged(parts, "<u8", "<u8", "<i8", "<i8", "<i8"))
+    cols: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in ("<u8", "<u4", "<i8", "<i8", "<i8")]
+    for p in parts:
+        a, b, *steps = unpack(p, "<u8", "<u4", "<i8", "<i8", "<i8")
+        for c, v in zip(cols, (a, b, *map(np.cumsum, steps))):
+            c.append(v)
+    (_, _, key, _, at), later = _by_window(*map(np.concatenate, cols))
     return _spans(key[later], at[later], 0, n)
 
 
