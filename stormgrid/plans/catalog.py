@@ -6,6 +6,7 @@ whole tables. Derived inputs are memoised per call only as lazy frames.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -402,14 +403,14 @@ def q_tracks_for_results(i: Inputs) -> DataFrame:
 
 @register("write_points", O.WRITE_POINTS)
 def q_write_points(i: Inputs) -> DataFrame:
-    path = scratch_path(i.spark, f"tables/cyclone_points_{abs(hash(i.sf_dir))}")
+    path = scratch_path(i.spark, f"tables/cyclone_points_{uuid.uuid4().hex[:12]}")
     EX.write_table(i.obs, path, partition_by=["season"])
     return i.spark.read.parquet(path).select(*i.obs.columns)
 
 
 @register("write_events", O.WRITE_EVENTS)
 def q_write_events(i: Inputs) -> DataFrame:
-    path = scratch_path(i.spark, f"tables/tsunami_events_{abs(hash(i.sf_dir))}")
+    path = scratch_path(i.spark, f"tables/tsunami_events_{uuid.uuid4().hex[:12]}")
     EX.write_table(i.events, path)
     return i.spark.read.parquet(path)
 
@@ -454,7 +455,7 @@ def q_storms_near_stored(i: Inputs) -> DataFrame:
     """storms_near over tables written once (points, tracks, segments)."""
     from ..sources.tables import materialize_storm_tables
 
-    t = materialize_storm_tables(i.obs, scratch_path(i.spark, f"tables/storms_{abs(hash(i.sf_dir))}"))
+    t = materialize_storm_tables(i.obs, scratch_path(i.spark, f"tables/storms_{uuid.uuid4().hex[:12]}"))
     return S.storms_near(t["points"], t["tracks"], i.sites, segments=t["segments"])
 
 

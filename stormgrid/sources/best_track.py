@@ -23,6 +23,8 @@ DEFAULT_NULL_TOKENS = ("", " ", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN"
                        "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
                        "nan", "null")
 
+INTEGER_COLUMNS = ("SEASON", "NUMBER", "WMO_WIND", "WMO_PRES", "DIST2LAND", "LANDFALL")
+
 RAW_SCHEMA = ", ".join(f"{c} string" for c in BEST_TRACK_COLUMNS)
 
 
@@ -56,7 +58,7 @@ def classify_best_track(raw: DataFrame, null_tokens=DEFAULT_NULL_TOKENS) -> Data
     r = raw.select(*[_null_tokens(c, null_tokens).alias(c) for c in BEST_TRACK_COLUMNS])
     lat = F.col("LAT").try_cast("double")
     lon = F.col("LON").try_cast("double")
-    t = r.select(
+    t_columns = (
         F.col("SID").alias("sid"),
         _trunc_int(F.col("SEASON")).alias("season"),
         _trunc_int(F.col("NUMBER")).alias("number"),
@@ -71,12 +73,19 @@ def classify_best_track(raw: DataFrame, null_tokens=DEFAULT_NULL_TOKENS) -> Data
         _trunc_int(F.col("WMO_PRES")).alias("wmo_pres"),
         _trunc_int(F.col("DIST2LAND")).alias("dist2land"),
         _trunc_int(F.col("LANDFALL")).alias("landfall"))
+    # an integer beyond its column is reported with its row, not read as missing
+    too_big = F.lit(False)
+    for c in INTEGER_COLUMNS:
+        d = F.col(c).try_cast("double")
+        too_big = too_big | F.coalesce(~F.isnan(d) & (F.abs(d) >= 2147483648.0), F.lit(False))
+    t = r.select(*t_columns, too_big.alias("too_big"))
     reason = (F.when(F.col("lat").isNull() | F.col("lon").isNull(), F.lit("no position"))
               .when(F.col("iso_time").isNull(), F.lit("bad time"))
               .when(F.col("sid").isNull(), F.lit("no storm id"))
               .when(~(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)),
-                    F.lit("position out of range")))
-    return fence(t.withColumn("reject_reason", reason))
+                    F.lit("position out of range"))
+              .when(F.col("too_big"), F.lit("value does not fit its column")))
+    return fence(t.withColumn("reject_reason", reason).drop("too_big"))
 
 
 POINT_COLUMNS = ("sid", "season", "number", "basin", "subbasin", "name", "iso_time", "nature",

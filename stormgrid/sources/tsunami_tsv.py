@@ -2,10 +2,11 @@
 
 Row rules (Q21): a line with more cells than the header is skipped; rows whose
 Year is missing, blank or contains ``[`` (the search-parameter row) are
-dropped; then surrounding double quotes and spaces are stripped from every cell.
+dropped; cells that are a missing-value token read as missing (a Year ``NA`` drops its row);
+then surrounding double quotes and spaces are stripped from every cell.
 Cell rules (Q22, Q25): integers parse as integers only (``5.0`` -> null),
 decimals are rounded to the column scale, text longer than the column holds and
-decimals that overflow are nulled and reported (``strict=True`` raises instead,
+integers or decimals that overflow are nulled and reported (``strict=True`` raises instead,
 like the all-or-nothing import). Rows need an in-range position; BC years are
 kept without a datetime (Q24).
 """
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import event_datetime
 from ..functions.fence import fence, fenced_filter
+from .best_track import DEFAULT_NULL_TOKENS
+
+#: Whole raw cells that read as missing; a single space isn't one of them here.
+MISSING_CELLS = tuple(t for t in DEFAULT_NULL_TOKENS if t != " ")
 
 # File header -> column, kind. kind: int | (p, s) decimal | str length | coord
 FIELDS = (
@@ -64,6 +69,11 @@ def read_tsunami_tsv(spark: SparkSession, path: str, strict: bool = False):
     return parse_tsunami_lines(lines, header=tuple(header), strict=strict)
 
 
+def _known(c: Column) -> Column:
+    """A raw cell, or null where it reads as missing."""
+    return F.when(~c.isin(list(MISSING_CELLS)), c)
+
+
 def _strip(c: Column) -> Column:
     return F.regexp_replace(F.btrim(c, F.lit('"')), r"^\s+|\s+$", "")
 
@@ -81,11 +91,26 @@ def _typed(c: Column, kind, name: str) -> list[Column]:
     return [v.try_cast("double").alias(f"{name}__raw")]
 
 
+def _too_big(pos: dict[str, int]) -> Column:
+    """Names of the integer columns whose cell is a number that no int holds.
+
+    One lambda over an array: a test for each column would make the generated code too large.
+    """
+    ints = F.array(*[F.struct(F.lit(c).alias("c"), F.get("cells", F.lit(pos[h] - 1)).alias("v"))
+                     for h, c, k in FIELDS if k == "int" and h in pos])
+
+    def beyond(s: Column) -> Column:
+        d = _strip(s["v"]).try_cast("double")
+        return ~F.isnan(d) & (F.abs(d) >= 2147483648.0)
+
+    return F.transform(F.filter(ints, beyond), lambda s: s["c"])
+
+
 def _checked(kind, name: str) -> tuple[Column, Column | None]:
     """(value, overflow flag) from the columns made by :func:`_typed`."""
-    raw = F.col(f"{name}__raw")
     if kind in ("int", "coord"):
         return F.col(name), None
+    raw = F.col(f"{name}__raw")
     if isinstance(kind, int):
         return F.when(F.length(raw) <= kind, raw).alias(name), F.length(raw) > kind
     p, s = kind
@@ -101,7 +126,7 @@ def parse_tsunami_lines(lines: DataFrame, col: str = "line", header: tuple | Non
     cells = F.split(F.col(col), "\t", -1)
     a = lines.select(F.col(col).alias("line"), cells.alias("cells"))
     n_cells = F.size("cells")
-    year_raw = F.element_at("cells", pos["Year"])
+    year_raw = _known(F.element_at("cells", pos["Year"]))
     read_ok = n_cells <= len(names)
     year_ok = year_raw.isNotNull() & (year_raw != "") & ~year_raw.contains("[") \
         & (F.trim(year_raw) != "")
@@ -110,15 +135,15 @@ def parse_tsunami_lines(lines: DataFrame, col: str = "line", header: tuple | Non
     typed = []
     for h, c, kind in FIELDS:
         raw = F.element_at("cells", pos[h]) if h in pos else F.lit(None).cast("string")
-        typed += _typed(_strip(F.coalesce(raw, F.lit(""))), kind, c)
-    t = a.select("line", "stage", *typed)
+        typed += _typed(_strip(F.coalesce(_known(raw), F.lit(""))), kind, c)
+    t = a.select("line", "stage", _too_big(pos).alias("too_big"), *typed)
     exprs, flags = [], []
     for _, c, kind in FIELDS:
         val, flag = _checked(kind, c)
         exprs.append(val)
         if flag is not None:
             flags.append(F.when(flag, F.lit(c)))
-    t = t.select("line", "stage", *exprs, F.concat_ws(",", *flags).alias("overflow"))
+    t = t.select("line", "stage", *exprs, F.concat_ws(",", "too_big", *flags).alias("overflow"))
     lat, lon = F.col("latitude"), F.col("longitude")
     coords_ok = lat.isNotNull() & lon.isNotNull() & lat.between(-90, 90) & lon.between(-180, 180)
     t = t.withColumn("reject_reason", F.coalesce(

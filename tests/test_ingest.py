@@ -16,6 +16,7 @@ CSV_TEXT = """SID,SEASON,NUMBER,BASIN,SUBBASIN,NAME,ISO_TIME,NATURE,LAT,LON,WMO_
 2000001N10100,2000,1,NA,MM,ALPHA,,TS,11.2,101.5,45,997,50,50,45
 2000002S10100,2000,2,SI,MM,BETA,2000-02-01 00:00:00,TS,-10.0,100.0,50.0,990,-3,0,
 """
+BIG_ROW = "2000003S10100,99999999999,2,SI,MM,GAMMA,2000-02-01 00:00:00,TS,-10.0,100.0,5000000000,990,-3,0,\n"
 
 
 def test_best_track_csv(spark, tmpdir_path):
@@ -36,6 +37,25 @@ def test_best_track_csv(spark, tmpdir_path):
     assert kept.select(F.countDistinct("obs_id")).first()[0] == 3
 
 
+def test_best_track_values_that_do_not_fit(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "big.csv")
+    with open(path, "w") as f:
+        f.write(CSV_TEXT + BIG_ROW)
+    kept, rejected = BT.read_best_track_csv(spark, path)
+    assert kept.count() == 3
+    assert rejected.filter("sid = '2000003S10100'").first().reject_reason == "value does not fit its column"
+
+
+def test_tsunami_missing_tokens_and_big_integers(spark):
+    lines = [_tsv_line(Year="NA"), _tsv_line(Country="NA", **{"Location Name": "None"}), _tsv_line(Deaths="99999999999")]
+    ev, rej, rep = TSV.parse_tsunami_lines(spark.createDataFrame([(x,) for x in lines], "line string"))
+    missing, big = sorted(ev.collect(), key=lambda r: r.overflow or "")
+    assert (missing.country, missing.location_name, missing.overflow) == (None, None, None)
+    assert (big.deaths, big.overflow) == (None, "deaths")
+    assert [r.reject_reason for r in rej.collect()] == ["no year"]
+    assert rep.first().overflow_rows == 1
+
+
 def _tsv_line(**over):
     vals = {h: "" for h, _, _ in TSV.FIELDS}
     vals.update({"Year": "2004", "Mo": "12", "Dy": "26", "Hr": "0", "Mn": "58", "Sec": "53.4",

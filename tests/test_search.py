@@ -93,7 +93,7 @@ def test_csv_export_files(spark, data, tmpdir_path):
     assert text[0].startswith("# Search Location,Lat: ") and text[3] == ""
     assert text[4] == EX.CYCLONE_CSV_HEADER
     assert text[5].count('"LINESTRING(') == 1
-    assert not os.path.exists(out + "._writing")
+    assert not glob.glob(out + "._*")
 
 
 def test_events_near_validity_and_rounding(spark, data):
@@ -141,7 +141,7 @@ def test_materialized_tables(spark, data, tmpdir_path):
     assert t["tracks"].count() == data["tracks"].count()
     assert t["segments"].count() == T.track_segments(data["obs"]).count()
     assert os.path.isdir(os.path.join(tmpdir_path, "store", "cyclone_points"))
-    assert not glob.glob(os.path.join(tmpdir_path, "store", "*._writing"))
+    assert not glob.glob(os.path.join(tmpdir_path, "store", "*._*"))
     a = sorted(S.storms_near(t["points"], t["tracks"], data["sites"], segments=t["segments"]).collect())
     b = sorted(S.storms_near(data["obs"], data["tracks"], data["sites"]).collect())
     assert a == b
