@@ -101,7 +101,7 @@ def _too_big(pos: dict[str, int]) -> Column:
 
     def beyond(s: Column) -> Column:
         d = _strip(s["v"]).try_cast("double")
-        return ~F.isnan(d) & (F.abs(d) >= 2147483648.0)
+        return (F.length(s["v"]) >= 10) & ~F.isnan(d) & (F.abs(d) >= 2147483648.0)  # such a number has ten digits or more
 
     return F.transform(F.filter(ints, beyond), lambda s: s["c"])
 
