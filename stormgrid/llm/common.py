@@ -51,6 +51,16 @@ def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], spread_by: str
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def table_join(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join ``rows`` with ``few`` (one row a key), a crowded key's rows split over tasks by Spark.
+
+    Neither side may be partitioned by the keys yet (read ``few`` from a table, not from an
+    aggregate), as adaptive skew joins split only a join's own two shuffles. They repeat
+    the other side for crowded partitions only, into as many parts as their bytes ask for.
+    """
+    return rows.join(few, keys, how)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]],
                 schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)

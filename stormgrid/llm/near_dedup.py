@@ -15,7 +15,8 @@ similarity of 0.8 a pair shares no band with a probability of 1e-6.
   members of other components, so that no link between components stays unseen.
 * Components spread their smallest id along the links until nothing changes.
 
-Joins that a hub or a bucket could crowd are dealt by a salt. Sets travel to the hub they
+Joins that a hub or a bucket could crowd read both sides from tables, so that Spark splits
+a crowded key's partition over tasks (see :func:`common.table_join`). Sets travel to the hub they
 are compared with, a bounded number to a task; a hub's set is repeated for each such share.
 
 Defined results: a document without words has an empty set and is linked with nothing;
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks_by_size, map_batches, partitions, salted_join, stored
+from .common import chunks_by_size, map_batches, partitions, stored, table_join
 from .recompression import fingerprints
 from .suffix_dedup import _mixed
 
@@ -159,7 +160,8 @@ def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     Each id's set goes to its share of the hub's pairs, and the hub's set to each share.
     """
     shares = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("_shares"))
-    dealt = (salted_join(pairs, shares, ["hub"], "id", "inner")
+    shares = stored(shares, "shares")
+    dealt = (table_join(pairs, shares, ["hub"], "inner")
              .select("id", "hub", F.pmod(F.xxhash64("id"), F.col("_shares")).cast("int").alias("share"), F.lit(1).alias("role")))
     hubs = shares.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("share"), F.lit(0).alias("role"))
     wanted = stored(dealt.unionByName(hubs), "pairs")
@@ -188,10 +190,10 @@ def components(links: DataFrame, a: str = "hub", b: str = "id") -> DataFrame:
     labels = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
     while True:
         ends = labels.select(F.col("node").alias("other"), "label")
-        near = salted_join(both, ends, ["other"], "node", "inner").groupBy("node").agg(F.min("label").alias("_near"))
+        near = table_join(both, ends, ["other"], "inner").groupBy("node").agg(F.min("label").alias("_near"))
         # the label of the label: halves the way to the smallest id in each round
         far = labels.select(F.col("node").alias("label"), F.col("label").alias("_far"))
-        new = stored(salted_join(labels.join(near, "node"), far, ["label"], "node", "left")
+        new = stored(table_join(labels.join(near, "node"), far, ["label"])
                      .select("node", "label", F.least("label", "_near", F.coalesce("_far", "label")).alias("_new")), "labels")
         changed = new.filter("_new < label").limit(1).count()
         labels = new.select("node", F.col("_new").alias("label"))
@@ -206,13 +208,13 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     classes = stored(signed.filter("n > 0 and id is not null").groupBy("h1", "h2")
                      .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("rep", "n", F.explode("bands").alias("band"))
-    crowded = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    members = stored(salted_join(banded, crowded, ["band"], "rep", "inner"), "members")
+    crowded = stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "crowded")
+    members = stored(table_join(banded, crowded, ["band"], "inner"), "members")
 
     met = members.groupBy("rep").agg(F.sum("c").alias("met"))
     known = stored(members.join(met, "rep"), "met")
-    best = known.groupBy("band").agg(F.max(F.struct("met", F.negative("rep").alias("r"), "n")).alias("best"))
-    offers = (salted_join(known, best, ["band"], "rep", "inner")
+    best = stored(known.groupBy("band").agg(F.max(F.struct("met", F.negative("rep").alias("r"), "n")).alias("best")), "best")
+    offers = (table_join(known.select("band", "rep", "n"), best, ["band"], "inner")
               .select("rep", "n", F.col("best.met").alias("hub_met"), (-F.col("best.r")).alias("hub"), F.col("best.n").alias("hub_n"))
               .filter(F.col("hub") != F.col("rep")).filter(_near_sizes("n", "hub_n", percent)))
     hubs = offers.groupBy("rep").agg(F.max(F.struct("hub_met", F.negative("hub").alias("h"))).alias("x"))
@@ -237,8 +239,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
             links = stored(links.unionByName(new), "links")
             labels = components(links)
 
-    labelled = salted_join(classes.select("h1", "h2", "rep"), labels.withColumnRenamed("node", "rep"), ["rep"], "h1").select("h1", "h2", F.coalesce("label", "rep").alias("label"))
-    out = salted_join(signed.select("id", "n", "h1", "h2"), labelled, ["h1", "h2"], "id")
+    labelled = table_join(classes.select("h1", "h2", "rep"), labels.withColumnRenamed("node", "rep"), ["rep"]).select("h1", "h2", F.coalesce("label", "rep").alias("label"))
+    out = table_join(signed.select("id", "n", "h1", "h2"), labelled, ["h1", "h2"])
     group = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("label", "id")).otherwise(F.col("id"))
     return (out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), group.alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
@@ -246,22 +248,22 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that hold several components, with their bucket's largest one."""
-    grouped = stored(salted_join(members.select("band", "rep", "n"), labels.withColumnRenamed("node", "rep"), ["rep"], "band")
+    grouped = stored(table_join(members.select("band", "rep", "n"), labels.withColumnRenamed("node", "rep"), ["rep"])
                      .select("band", "rep", "n", F.coalesce("label", "rep").alias("label")), "grouped")
     sizes = grouped.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m"))
     mixed = (sizes.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("m", "label")).alias("x"))
              .filter("k > 1").select("band", F.col("x.label").alias("largest")))
-    return stored(salted_join(grouped, mixed, ["band"], "rep", "inner"), "unsettled")
+    return stored(table_join(grouped, stored(mixed, "mixed"), ["band"], "inner"), "unsettled")
 
 
 def _partners(left: DataFrame, percent: int, k: int) -> DataFrame:
     """For each member outside of its bucket's largest component, one of PARTNERS of that component's members there."""
     picked = [F.max(F.struct(F.xxhash64("rep", F.lit(PARTNERS * k + j)), "rep", "n")).alias(f"p{j}") for j in range(PARTNERS)]
     some = left.filter("label = largest").groupBy("band").agg(*picked)
-    some = some.select("band", F.array(*(f"p{j}" for j in range(PARTNERS))).alias("p"))
+    some = stored(some.select("band", F.array(*(f"p{j}" for j in range(PARTNERS))).alias("p")), "partners")
     outside = left.filter("label <> largest").select("band", "rep", "n")
     one = F.get("p", F.pmod(F.xxhash64("rep", "band"), F.lit(PARTNERS)).cast("int"))
-    return (salted_join(outside, some, ["band"], "rep", "inner").withColumn("x", one)
+    return (table_join(outside, some, ["band"], "inner").withColumn("x", one)
             .select(F.col("x.rep").alias("hub"), F.col("rep").alias("id"), F.col("x.n").alias("hub_n"), "n")
             .filter(_near_sizes("n", "hub_n", percent)).select("hub", "id").distinct())
 
