@@ -11,8 +11,10 @@ similarity of 0.8 a pair shares no band with a probability of 1e-6.
   hub, the class that shares the most buckets with others among its buckets' best ones.
 * Links found that way form components. What is left are buckets with members of several
   components. For a few rounds, members outside of a bucket's largest component are each
-  compared with one of its members; at the end those still outside are compared with all
-  members of other components, so that no link between components stays unseen.
+  compared with one of its members; at the end those still outside meet all members of
+  other components, so that no link between components stays unseen. There a sketch of
+  each set comes first: its distance bounds the sets' difference from below, so that only
+  pairs which no bound rules out leave the join and are compared.
 * Components spread their smallest id along the links until nothing changes.
 
 Joins that a hub or a bucket could crowd read both sides from tables, so that Spark splits
@@ -44,7 +46,9 @@ WORDS, PERCENT = 5, 80
 #: and how many of these each bucket offers; whatever is open then is compared in full.
 ROUNDS_OF_PARTNERS, PARTNERS = 3, 8
 #: Classes compared with one copy of a hub's set.
-SHARE = 256
+SHARE = 64
+#: 64-bit words of a set's sketch.
+SKETCH_WORDS = 16
 #: Shingles that numpy works on at a time.
 CHUNK_SHINGLES = 1 << 17
 
@@ -228,7 +232,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
         if k < ROUNDS_OF_PARTNERS:
             pairs = _partners(left, percent, k)
         else:
-            pairs = _all_across(left, percent)
+            pairs = _all_across(left, sets, percent)
         done = tried.select(F.least("hub", "id").alias("_a"), F.greatest("hub", "id").alias("_b"))
         pairs = stored(pairs.join(done, (F.least("hub", "id") == F.col("_a")) & (F.greatest("hub", "id") == F.col("_b")), "left_anti"), "pairs")
         if not pairs.limit(1).count():
@@ -268,11 +272,35 @@ def _partners(left: DataFrame, percent: int, k: int) -> DataFrame:
             .filter(_near_sizes("n", "hub_n", percent)).select("hub", "id").distinct())
 
 
-def _all_across(left: DataFrame, percent: int) -> DataFrame:
-    """All pairs that share a bucket and whose components differ."""
-    few = left.filter("label <> largest").select("band", F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"))
-    return (left.join(few, "band").filter("label <> a_label and (label = largest or a < rep)").filter(_near_sizes("n", "a_n", percent))
-            .select(F.least("a", "rep").alias("hub"), F.greatest("a", "rep").alias("id")).distinct())
+def sketch(members: np.ndarray) -> np.ndarray:
+    """For each bin of shingles, whether it holds an odd number of the set's, as bits of 64-bit words.
+
+    Two sketches differ in at most as many bits as shingles lie in one of the sets only.
+    """
+    bins = 64 * SKETCH_WORDS  # a power of two: the upper bits of a shingle are its bin
+    odd = np.bincount((members >> _U(65 - bins.bit_length())).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _all_across(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that share a bucket, whose components differ and whose sketches allow a link."""
+    words = [f"s{k}" for k in range(SKETCH_WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [sketch(np.frombuffer(x, np.uint64)) for x in b.column(1).to_pylist()]
+            flat = np.array(rows, np.int64).reshape(-1, SKETCH_WORDS)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(flat[:, k]) for k in range(SKETCH_WORDS))], names=["rep", *words])
+
+    sketches = map_batches(sets, run, ", ".join(f"{c} long" for c in ["rep", *words]))
+    known = stored(table_join(left, sketches, ["rep"], "inner"), "sketched")
+    few = known.filter("label <> largest").select("band", *(F.col(c).alias(f"a_{c}") for c in ("rep", "n", "label", *words)))
+    apart = " + ".join(f"bit_count({c} ^ a_{c})" for c in words)
+    # 100 * both >= percent * either, with both = (sum - apart) / 2 and either = (sum + apart) / 2
+    possible = F.expr(f"({apart}) * {100 + percent} <= (n + a_n) * {100 - percent}")
+    return (known.join(few, "band").filter("label <> a_label and (label = largest or a_rep < rep)")
+            .filter(_near_sizes("n", "a_n", percent)).filter(possible)
+            .select(F.least("a_rep", "rep").alias("hub"), F.greatest("a_rep", "rep").alias("id")).distinct())
 
 
 def _near_sizes(a: str, b: str, percent: int):

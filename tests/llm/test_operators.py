@@ -110,8 +110,19 @@ def test_suffix_array(letters):
         assert suffix_array.lyndon_suffix_array(np.array(s)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-@pytest.mark.parametrize("words", [2, 5])
-def test_near_groups(spark, docs, words):
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(5)
+    for n in (1, 9, 100, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        for share in (0.0, 0.1, 0.5, 1.0):
+            b = np.unique(np.concatenate([a[rng.random(len(a)) >= share], rng.integers(0, 1 << 63, int(n * share)).astype(np.uint64)]))
+            apart = sum(int(x & 0xFFFFFFFFFFFFFFFF).bit_count() for x in (near_dedup.sketch(a) ^ near_dedup.sketch(b)).tolist())
+            assert apart <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize(("words", "rounds"), [(2, 3), (5, 3), (2, 0)])
+def test_near_groups(spark, docs, words, rounds, monkeypatch):
+    monkeypatch.setattr(near_dedup, "ROUNDS_OF_PARTNERS", rounds)
     prepare(spark)
     data = corpus()
     sets, parent = {}, {}
