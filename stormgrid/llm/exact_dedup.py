@@ -59,5 +59,6 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", has
 
 def keep_unique(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that an equal text of a larger ``doc_id`` replaces (all columns stay)."""
-    gone = exact_dedup(docs, doc_id, text).filter(~F.col("kept")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti")
+    gone = (exact_dedup(docs, doc_id, text, hash_all=True).filter(~F.col("kept"))
+            .select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha256")).distinct())
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")) & (F.sha2(_text(text), 256) == F.col("_gone_sha256")), "left_anti")

@@ -21,10 +21,15 @@ Joins that a hub or a bucket could crowd read both sides from tables, so that Sp
 a crowded key's partition over tasks (see :func:`common.table_join`). Sets travel to the hub they
 are compared with, a bounded number to a task; a hub's set is repeated for each such share.
 
+Classes have numbers of their own and rows are known by id and text, so that texts that
+share an id are judged one by one.
+
 Defined results: a document without words has an empty set and is linked with nothing;
-with fewer words than a shingle the whole sequence is its one shingle; a null id takes no
-part and is a component of its own; repeated rows share their result; an empty table gives
-an empty result; extra columns are ignored.
+with fewer words than a shingle the whole sequence is its one shingle; in groups a null id
+takes no part and is a component of its own, but :func:`keep_one` drops its near copies too
+(a null id comes after all others); of a component's texts of the smallest id one is kept;
+repeated rows share their result; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks_by_size, map_batches, partitions, stored, table_join
@@ -124,11 +129,20 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _row_key(doc_id: str, text: str) -> Column:
+    """The hash of a row's id and text, as :func:`repeats.repeated` knows it."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit("")))
+
+
+def _set_hash(s: np.ndarray) -> tuple[np.int64, np.int64]:
+    return _mixed(s).sum().astype(np.int64), _mixed(s * _C + _U(1)).sum().astype(np.int64)
+
+
 def _signed(docs: DataFrame, words: int) -> DataFrame:
-    """id, n, two halves of the set's hash, and the bands (null for an empty set)."""
+    """id, key, n, two halves of the set's hash, and the bands (null for an empty set)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = shingle_sets(b.column(1).to_pylist(), words)
+            sets = shingle_sets(b.column(2).to_pylist(), words)
             full = [i for i, s in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
             h = np.zeros((len(sets), 2), np.int64)
@@ -136,26 +150,32 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
                 names = bands_of([sets[i] for i in full])
                 for i, x in zip(full, names):
                     bands[i] = x
-                    s = sets[i]
-                    h[i, 0], h[i, 1] = _mixed(s).sum().astype(np.int64), _mixed(s * _C + _U(1)).sum().astype(np.int64)
-            cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "h1", "h2", "bands"])
+                    h[i] = _set_hash(sets[i])
+            cols = [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "n", "h1", "h2", "bands"])
 
-    return map_batches(docs, run, "id long, n long, h1 long, h2 long, bands array<long>")
+    return map_batches(docs, run, "id long, key long, n long, h1 long, h2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """id and set (sorted shingles as bytes) of the documents named in ``ids``.
+def _sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """id (the class's number) and set (sorted shingles as bytes) of the classes.
 
-    Documents and ids are merged in id order whatever their sizes, so that the plan is the
-    same for a few ids and for many.
+    Documents and classes are merged in the order of the rows' keys whatever their sizes, so
+    that the plan is the same for a few classes and for many.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
         for b in batches:
-            s = [x.tobytes() for x in shingle_sets(b.column(1).to_pylist(), words)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], names=["id", "data"])
+            ids, data = [], []
+            for rep, h1, h2, s in zip(*(b.column(c).to_pylist() for c in range(3)), shingle_sets(b.column(3).to_pylist(), words)):
+                if rep != at and _set_hash(s) == (h1, h2):  # repeated rows come one after another
+                    at = rep
+                    ids.append(rep)
+                    data.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["id", "data"])
 
-    return stored(map_batches(docs.join(ids.hint("merge"), "id", "left_semi"), run, "id long, data binary"), "sets")
+    rows = docs.join(classes.hint("merge"), "key").select("rep", "h1", "h2", "text")
+    return stored(map_batches(rows, run, "id long, data binary"), "sets")
 
 
 def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -207,10 +227,18 @@ def components(links: DataFrame, a: str = "hub", b: str = "id") -> DataFrame:
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable) and kept of every document."""
-    own = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    return _decided(docs, doc_id, text, words, percent, False).drop("key")
+
+
+def _decided(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, nulls: bool) -> DataFrame:
+    """The columns of :func:`near_groups` and the row's key; with ``nulls``, null ids take part."""
+    own = docs.select(F.col(doc_id).cast("long").alias("id"), _row_key(doc_id, text).alias("key"),
+                      F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     signed = stored(_signed(own, words), "signed")
-    classes = stored(signed.filter("n > 0 and id is not null").groupBy("h1", "h2")
-                     .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    takes_part = (F.col("n") > 0) & (F.col("id").isNotNull() | F.lit(nulls))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best")
+    classes = stored(signed.filter(takes_part).groupBy("h1", "h2").agg(best, F.first("n").alias("n"), F.first("bands").alias("bands"))
+                     .withColumn("rep", F.monotonically_increasing_id()), "classes")
     banded = classes.select("rep", "n", F.explode("bands").alias("band"))
     crowded = stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "crowded")
     members = stored(table_join(banded, crowded, ["band"], "inner"), "members")
@@ -223,7 +251,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
               .filter(F.col("hub") != F.col("rep")).filter(_near_sizes("n", "hub_n", percent)))
     hubs = offers.groupBy("rep").agg(F.max(F.struct("hub_met", F.negative("hub").alias("h"))).alias("x"))
     first = stored(hubs.select((-F.col("x.h")).alias("hub"), F.col("rep").alias("id")), "first")
-    sets = _sets(own, members.select(F.col("rep").alias("id")).distinct(), words)
+    wanted = classes.select("rep", "h1", "h2", F.col("best.key").alias("key")).join(members.select("rep").distinct(), "rep", "left_semi")
+    sets = _sets(own, wanted, words)
     links = stored(_confirmed(sets, first, percent), "links")
     labels = components(links)
     tried = first
@@ -243,11 +272,14 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
             links = stored(links.unionByName(new), "links")
             labels = components(links)
 
-    labelled = table_join(classes.select("h1", "h2", "rep"), labels.withColumnRenamed("node", "rep"), ["rep"]).select("h1", "h2", F.coalesce("label", "rep").alias("label"))
-    out = table_join(signed.select("id", "n", "h1", "h2"), labelled, ["h1", "h2"])
-    group = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("label", "id")).otherwise(F.col("id"))
-    return (out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), group.alias("component_id"))
-            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    nodes = labels.withColumnRenamed("node", "rep")
+    winners = stored(table_join(nodes, classes.select("rep", "best"), ["rep"], "inner").groupBy("label").agg(F.min("best").alias("winner")), "winners")
+    nodes = stored(table_join(nodes, winners, ["label"], "inner").select("rep", "winner"), "nodes")
+    labelled = table_join(classes.select("h1", "h2", "rep", "best"), nodes, ["rep"]).select("h1", "h2", F.coalesce("winner", "best").alias("winner"))
+    out = table_join(signed.select("id", "key", "n", "h1", "h2"), labelled, ["h1", "h2"])
+    group = F.when(takes_part, F.col("winner.id")).otherwise(F.col("id"))
+    kept = ~takes_part | (F.col("id").eqNullSafe(F.col("winner.id")) & (F.col("key") == F.col("winner.key")))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), group.alias("component_id"), kept.alias("kept"), "key")
 
 
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -310,5 +342,6 @@ def _near_sizes(a: str, b: str, percent: int):
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group; all columns stay."""
-    gone = near_groups(docs, doc_id, text, words, percent).filter(~F.col("kept")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti")
+    gone = (_decided(docs, doc_id, text, words, percent, True).filter(~F.col("kept"))
+            .select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct())
+    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_gone")) & (_row_key(doc_id, text) == F.col("_gone_key")), "left_anti")

@@ -147,6 +147,22 @@ def test_near_groups(spark, docs, words, rounds, monkeypatch):
     assert near_dedup.near_groups(docs([])).count() == 0
 
 
+def test_dedup_stages_judge_rows(spark, docs):
+    """Null ids and an id on several texts: a row goes for its own text only."""
+    prepare(spark)
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    exact = exact_dedup.keep_unique(docs([(1, a), (None, a), (2, a), (1, b), (None, c), (None, ""), (3, None)]))
+    assert {(r.doc_id, r.text) for r in exact.collect()} == {(2, a), (1, b), (None, c), (3, None)}
+    rows = [(5, a), (None, a + " x"), (7, a + " y"), (7, b), (None, c), (None, c + " z"), (9, d), (9, d + " q"), (3, None), (None, "")]
+    near = near_dedup.keep_one(docs(rows))
+    assert near.columns == docs([]).columns
+    got = [(r.doc_id, r.text) for r in near.collect()]
+    assert {(5, a), (7, b), (3, None), (None, "")} <= set(got) and len(got) == 6
+    assert len({(None, c), (None, c + " z")} & set(got)) == len({(9, d), (9, d + " q")} & set(got)) == 1
+    groups = {(r.doc_id, r.component_id, r.n_shingles, r.kept) for r in near_dedup.near_groups(docs(rows[:4])).collect()}
+    assert groups == {(5, 5, 36, True), (None, None, 37, True), (7, 5, 37, False), (7, 7, 36, True)}
+
+
 def test_bpe_round_trip(spark, docs):
     prepare(spark)
     from tokenizers import Tokenizer
