@@ -17,7 +17,7 @@ leave none, a word of the smallest fingerprint. Short symbols recur by chance, s
 known by its symbol and the ``SUPPORT`` words from where its support starts, which lie in the
 window too. Marks that occur again reveal where repeats are; the windows around them are then
 named by 96 bits of all their words and compared, which settles each window. All windows of
-one mark go to its bucket.
+one mark go to its bucket, those of a hot mark to the buckets of their own names.
 
 Defined results: words are separated by ASCII white space; a null text has no words; a null
 id is smaller than all others; rows that repeat a ``doc_id`` count as one document; repeated
@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .repeats import batches_of, bucket_of, deal, home_of, pack, repeated, unpack
+from .repeats import batches_of, bucket_of, from_steps, in_steps, repeated, spans
 from .suffix_dedup import _mixed, _smallest
 
 WINDOW, ROUNDS, SUPPORT = 20, 2, 12
@@ -168,7 +168,7 @@ def sequence_names(ids: np.ndarray, length: int, factor: np.uint64) -> np.ndarra
     return _mixed(out)
 
 
-def details(keys: np.ndarray, orders: np.ndarray, texts: list[bytes], is_shared, n: int) -> list:
+def details(keys: np.ndarray, orders: np.ndarray, texts: list[bytes], is_shared, is_hot, n: int) -> list:
     """Windows at shared marks; of equal ones only the first travels."""
     cols: list[list[np.ndarray]] = [[] for _ in range(6)]
     done = 0
@@ -183,19 +183,15 @@ def details(keys: np.ndarray, orders: np.ndarray, texts: list[bytes], is_shared,
             first, doc, names = first[own], doc[own], names[own]
             a, b = sequence_names(ids, WINDOW, _C1)[first], sequence_names(ids, WINDOW, _C2)[first].astype(np.uint32)
             begin = np.cumsum(sizes) - sizes
-            for c, v in zip(cols, (a, b, own_keys[doc], orders[done + doc], first - begin[doc], bucket_of(names, n))):
+            dest = bucket_of(np.where(is_hot(names), a, names), n)
+            for c, v in zip(cols, (a, b, own_keys[doc], orders[done + doc], first - begin[doc], dest)):
                 c.append(v)
         done += len(part)
     if not cols[0]:
         return []
     (a, b, key, order, at, dest), later = _by_window(*(np.concatenate(c) for c in cols))
-    out = _spans(key[later], at[later], 1, n)
-    by = np.flatnonzero(~later)
-    by = by[np.lexsort((at[by], key[by], dest[by]))]  # what repeats or counts up from row to row packs to next to nothing
-    a, b, key, order, at, dest = (c[by] for c in (a, b, key, order, at, dest))
-    cut = np.r_[np.flatnonzero(np.diff(dest, prepend=-1)), len(dest)]
-    return out + [(int(dest[lo]), 0, pack(a[lo:hi], b[lo:hi], *(np.diff(c[lo:hi], prepend=np.int64(0)) for c in (key, order, at))))
-                  for lo, hi in zip(cut[:-1], cut[1:])]
+    sent = ~later
+    return spans(key[later], at[later], 1, n) + in_steps(dest[sent], 0, *(c[sent] for c in (a, b, key, order, at)))
 
 
 def _by_window(a, b, key, order, at, *more):
@@ -207,33 +203,17 @@ def _by_window(a, b, key, order, at, *more):
     return (a, b, key, order, at, *more), (order > order[start]) | (at > at[start])
 
 
-def _spans(key: np.ndarray, at: np.ndarray, kind: int, n: int) -> list:
-    """Window starts of documents as packed runs."""
-    if not len(key):
-        return []
-    by = np.lexsort((at, key))
-    key, at = key[by], at[by]
-    cut = np.flatnonzero((key[1:] != key[:-1]) | (np.diff(at) > 1)) + 1
-    lo, hi = np.r_[0, cut], np.r_[cut, len(at)] - 1
-    return deal(home_of(key[lo], n), kind, key[lo], at[lo], at[hi])
-
-
-def solve(parts: list[bytes], n: int) -> list:
+def solve(parts: list[bytes], more: list[bytes], n: int) -> list:
     """All windows of a bucket but the first of each name."""
-    cols: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in ("<u8", "<u4", "<i8", "<i8", "<i8")]
-    for p in parts:
-        a, b, *steps = unpack(p, "<u8", "<u4", "<i8", "<i8", "<i8")
-        for c, v in zip(cols, (a, b, *map(np.cumsum, steps))):
-            c.append(v)
-    (_, _, key, _, at), later = _by_window(*map(np.concatenate, cols))
-    return _spans(key[later], at[later], 0, n)
+    (_, _, key, _, at), later = _by_window(*from_steps(parts + more))
+    return spans(key[later], at[later], 0, n)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept (remaining words, joined by spaces) of every document."""
-    def finish(ids: list, texts: list[bytes], spans: list) -> list[pa.Array]:
+    def finish(ids: list, texts: list[bytes], found: list) -> list[pa.Array]:
         n_words, n_removed, kept = [], [], []
-        for t, (lo, hi) in zip(texts, spans):
+        for t, (lo, hi) in zip(texts, found):
             words = t.split()
             gone = 0
             if len(lo):

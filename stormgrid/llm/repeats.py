@@ -11,10 +11,12 @@ marks at equal places. The job has five steps, all keyed by hashes:
 5. ``finish``   documents drop what repeated windows cover.
 
 Marks and details travel as a few packed rows for each bucket and batch. What a batch can
-settle by itself (all but the first of equal details) doesn't travel at all, so that a very
-common passage adds at most one entry for each batch to its bucket. Buckets are twice
-the shuffle partitions and grow with them. The documents' texts are shuffled once; steps
-3 and 5 read the same exchange.
+settle by itself (all but the first of equal details) doesn't travel at all. Windows over the
+edge of a very common passage differ from document to document and can't be settled so:
+step 2 counts each name's documents and tells all homes the names of ``HOT_DOCUMENTS`` or
+more, and the windows at these go to buckets by their own names, not by their mark's, so that
+no mark fills a bucket. Buckets are twice the shuffle partitions and grow with them. The
+documents' texts are shuffled once; steps 3 and 5 read the same exchange.
 
 A row is known by the hash of its id and text; rows that repeat both share their result.
 """
@@ -39,6 +41,8 @@ CHUNK_BYTES = 1 << 20
 PACKED = "dest int, kind int, data binary"
 #: Marks that a task gathers before it sends them.
 BATCH_MARKS = 400_000
+#: Documents of a mark from which on its windows are dealt by their own names.
+HOT_DOCUMENTS = 4000
 #: Names travel as 48 bits: a chance match only sends details that nothing equals.
 _SIX = np.uint64((1 << 48) - 1)
 #: Order of a null id: before all others.
@@ -91,6 +95,38 @@ def home_of(keys: np.ndarray, n: int) -> np.ndarray:
     return keys.astype(np.int64) % n
 
 
+def spans(key: np.ndarray, at: np.ndarray, kind: int, n: int) -> list[tuple[int, int, bytes]]:
+    """Window starts of documents as packed runs."""
+    if not len(key):
+        return []
+    by = np.lexsort((at, key))
+    key, at = key[by], at[by]
+    cut = np.flatnonzero((key[1:] != key[:-1]) | (np.diff(at) > 1)) + 1
+    lo, hi = np.r_[0, cut], np.r_[cut, len(at)] - 1
+    return deal(home_of(key[lo], n), kind, key[lo], at[lo], at[hi])
+
+
+def in_steps(dest: np.ndarray, kind: int, a, b, key, order, at) -> list[tuple[int, int, bytes]]:
+    """Windows as one packed row for each destination; what repeats or counts up from row to row packs to next to nothing."""
+    if not len(dest):
+        return []
+    by = np.lexsort((at, key, dest))
+    a, b, key, order, at, dest = (c[by] for c in (a, b, key, order, at, dest))
+    cut = np.r_[np.flatnonzero(np.diff(dest, prepend=-1)), len(dest)]
+    return [(int(dest[lo]), kind, pack(a[lo:hi], b[lo:hi], *(np.diff(c[lo:hi], prepend=np.int64(0)) for c in (key, order, at))))
+            for lo, hi in zip(cut[:-1], cut[1:])]
+
+
+def from_steps(parts: list[bytes]) -> list[np.ndarray]:
+    """The windows of several rows of :func:`in_steps`: two parts of the name, key, order, start."""
+    cols: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in ("<u8", "<u4", "<i8", "<i8", "<i8")]
+    for p in parts:
+        a, b, *steps = unpack(p, "<u8", "<u4", "<i8", "<i8", "<i8")
+        for c, v in zip(cols, (a, b, *map(np.cumsum, steps))):
+            c.append(v)
+    return [np.concatenate(c) for c in cols]
+
+
 def batches_of(keys: list[int], texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     for lo, hi in chunks_by_size([len(t) + 64 for t in texts], limit):
         yield np.array(keys[lo:hi], np.int64), texts[lo:hi]
@@ -98,18 +134,20 @@ def batches_of(keys: list[int], texts: list[bytes], limit: int = CHUNK_BYTES) ->
 
 def repeated(docs: DataFrame, doc_id: str, text: str,
              marks: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]],
-             details: Callable[[np.ndarray, np.ndarray, list[bytes], Callable[[np.ndarray, np.ndarray], np.ndarray], int], list],
-             solve: Callable[[list[bytes], int], list],
+             details: Callable[[np.ndarray, np.ndarray, list[bytes], Callable[[np.ndarray, np.ndarray], np.ndarray],
+                                Callable[[np.ndarray], np.ndarray], int], list],
+             solve: Callable[[list[bytes], list[bytes], int], list],
              finish: Callable[[list, list[bytes], list[tuple[np.ndarray, np.ndarray]]], list[pa.Array]],
              schema: str, carry: list[str] | None = None) -> DataFrame:
     """Run the five steps; ``finish`` gives the columns of ``schema`` for a list of documents.
 
-    ``marks(texts)``: names and document numbers. ``details(keys, orders, texts, is_shared, n)``:
-    packed rows, kind 0 for buckets and kind 1 for documents. ``solve(parts, n)``: packed rows of
-    (key, first, last) for documents. ``finish(ids, texts, spans)``. The columns named in
-    ``carry`` come along in a last column, the struct ``rest``.
+    ``marks(texts)``: names and document numbers. ``details(keys, orders, texts, is_shared, is_hot, n)``:
+    packed rows, kinds 0 and 2 for buckets and kind 1 for documents. ``solve(parts, more, n)``, of
+    kinds 0 and 2: packed rows of (key, first, last) for documents. ``finish(ids, texts, spans)``.
+    The columns named in ``carry`` come along in a last column, the struct ``rest``.
     """
     spark = docs.sparkSession
+    hot_from = HOT_DOCUMENTS
     n = partitions(spark) * BUCKETS_A_PARTITION
     body = F.coalesce(F.col(text), F.lit(""))
     own = docs.select(F.col(doc_id).cast("long").alias("id"), body.cast("binary").alias("text"),
@@ -128,8 +166,10 @@ def repeated(docs: DataFrame, doc_id: str, text: str,
             first = np.r_[True, names[1:] != names[:-1]] if len(names) else np.zeros(0, bool)
             many = twice | _several(names)
             sent = np.array(keys, np.int64)[number]
-            by = np.flatnonzero(first)[np.argsort(number[first], kind="stable")]  # by document: its key repeats in a row
-            out = deal(bucket_of(names[by], n), 0, _six(names[by]), sent[by], many[by].astype(np.uint8))
+            count = np.diff(np.r_[np.flatnonzero(first), len(names)])
+            at = np.argsort(number[first], kind="stable")  # by document: its key repeats in a row
+            by = np.flatnonzero(first)[at]
+            out = deal(bucket_of(names[by], n), 0, _six(names[by]), sent[by], (2 * count[at] + many[by]).astype("<u4"))
             return rows(out + deal(home_of(sent[many], n), 1, sent[many], names[many])).to_batches()
 
         for b in it:
@@ -146,12 +186,18 @@ def repeated(docs: DataFrame, doc_id: str, text: str,
 
     def step_shared(t: pa.Table) -> pa.Table:
         kinds, parts = t.column("kind").to_pylist(), t.column("data").to_pylist()
-        names, keys, many = merged([p for k, p in zip(kinds, parts) if k == 0], "u1", "<i8", "u1")
+        names, keys, count = merged([p for k, p in zip(kinds, parts) if k == 0], "u1", "<i8", "<u4")
         names = _eight(names)
         order = np.argsort(names, kind="stable")
-        names, keys, many = names[order], keys[order], many[order].astype(bool)
-        tell = _several(names) & ~many
+        names, keys, count = names[order], keys[order], count[order].astype(np.int64)
+        tell = _several(names) & (count & 1 == 0)
         out = deal(home_of(keys[tell], n), 0, keys[tell], names[tell])
+        if len(names):
+            start = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+            hot = names[start][np.add.reduceat(count >> 1, start) >= hot_from]
+            if len(hot):
+                told = pack(hot)
+                out += [(d, 2, told) for d in range(n)]
         # settled before: these rows are with their documents' bucket already
         out += [(d, 0, p) for d, k, p in zip(t.column("dest").to_pylist(), kinds, parts) if k == 1]
         return rows(out)
@@ -159,7 +205,11 @@ def repeated(docs: DataFrame, doc_id: str, text: str,
     def step_details(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return rows([])
-        keys, names = merged(right.column("data").to_pylist(), "<i8", "<u8")
+        kinds, parts = right.column("kind").to_pylist(), right.column("data").to_pylist()
+        keys, names = merged([p for k, p in zip(kinds, parts) if k == 0], "<i8", "<u8")
+        (hot,) = merged([p for k, p in zip(kinds, parts) if k == 2], "<u8")
+        if not len(keys):
+            return rows([])
         order = np.lexsort((names, keys))
         keys, names = keys[order], names[order]
         bounds, edge = np.unique(keys, return_index=True)
@@ -183,12 +233,15 @@ def repeated(docs: DataFrame, doc_id: str, text: str,
                     out[lo:hi] = have[j] == wanted[lo:hi]
             return out
 
-        return rows(details(left.column("key").to_numpy(), orders, left.column("text").to_pylist(), is_shared, n))
+        def is_hot(name: np.ndarray) -> np.ndarray:
+            return np.isin(name & _SIX, hot)
+
+        return rows(details(left.column("key").to_numpy(), orders, left.column("text").to_pylist(), is_shared, is_hot, n))
 
     def step_solve(t: pa.Table) -> pa.Table:
         kinds, parts = t.column("kind").to_pylist(), t.column("data").to_pylist()
         out = [(d, 0, p) for d, k, p in zip(t.column("dest").to_pylist(), kinds, parts) if k == 1]
-        return rows(out + solve([p for k, p in zip(kinds, parts) if k == 0], n))
+        return rows(out + solve(*([p for k, p in zip(kinds, parts) if k == own_kind] for own_kind in (0, 2)), n))
 
     out_type = T.StructType(list(T.StructType.fromDDL(schema)) + ([own.schema["rest"]] if carry else []))
 

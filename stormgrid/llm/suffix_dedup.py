@@ -10,7 +10,9 @@ each mark's name before them, form one string; its suffix array, built by groupi
 suffixes by their Lyndon prefix (:mod:`suffix_array`), puts marks with equal bytes to the
 right side by side. The common prefixes of neighbours give, for each offset of a mark in
 its string, the classes of equal right parts, which the bytes on the left divide further.
-The smallest document of each class stays.
+The smallest document of each class stays. Strings at hot marks are compared by 96 bits of
+all their bytes instead, in the buckets of these names, so that a mark's strings are divided
+before they meet.
 
 Defined results: a null text is the empty text; a null id is smaller than all others; rows
 that repeat a ``doc_id`` never make each other's strings repeated; repeated rows share
@@ -27,17 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import CHUNK_BYTES, batches_of, bucket_of, deal, home_of, merged, repeated
+from .repeats import CHUNK_BYTES, batches_of, bucket_of, deal, from_steps, home_of, in_steps, merged, repeated, spans
 from .suffix_array import lyndon_suffix_array
 
 WINDOW, GRAM = 50, 18
 SIDE = WINDOW - GRAM  # bytes of a string on either side of its mark at most
 WIDE = SIDE + WINDOW  # bytes that all strings around a mark span
-#: Entries of whole marks whose suffixes are sorted together (more if one mark has more).
+#: Entries of whole marks whose suffixes are sorted together (more if one mark, of fewer than
+#: ``HOT_DOCUMENTS`` documents, has more).
 SORTED = 20_000
 
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = _RNG.integers(1, 1 << 63, (2, WINDOW), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _C = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4, 8)]
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64((1 << 24) - 1)
@@ -103,7 +107,7 @@ def marks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x[4] for x in found]), np.concatenate([x[0] for x in found])
 
 
-def details(keys: np.ndarray, orders: np.ndarray, texts: list[bytes], is_shared, n: int) -> list:
+def details(keys: np.ndarray, orders: np.ndarray, texts: list[bytes], is_shared, is_hot, n: int) -> list:
     """Entries of shared marks; of equal ones only those of the smallest document travel."""
     cols: list[list[np.ndarray]] = [[] for _ in range(7)]
     done = 0
@@ -126,6 +130,11 @@ def details(keys: np.ndarray, orders: np.ndarray, texts: list[bytes], is_shared,
     if not cols[0]:
         return []
     name, key, order, first, left, least, wide = (np.concatenate(c) for c in cols)
+    hot = is_hot(name)
+    found = _hot_strings(*(c[hot] for c in (key, order, first, left, least, wide)), n) if hot.any() else []
+    name, key, order, first, left, least, wide = (c[~hot] for c in (name, key, order, first, left, least, wide))
+    if not len(name):
+        return found
     code = np.concatenate([wide[lo:lo + SORTED].astype(np.uint64) @ _BYTE[:WIDE] for lo in range(0, len(wide), SORTED)])
     code = _mixed(code + left * _BYTE[100] + least * _BYTE[101])
     by = np.lexsort((order, code, name))
@@ -138,11 +147,42 @@ def details(keys: np.ndarray, orders: np.ndarray, texts: list[bytes], is_shared,
     sent = ~later
     out = deal(bucket_of(name[sent], n), 0, key[sent], order[sent], first[sent], left[sent], least[sent], wide[sent])
     count = left.astype(np.int64) - least
-    return out + deal(home_of(key[later], n), 1, key[later], first[later], first[later] + count[later])
+    return found + out + deal(home_of(key[later], n), 1, key[later], first[later], first[later] + count[later])
 
 
-def solve(parts: list[bytes], n: int) -> list:
-    """Repeated strings of a bucket's entries, as runs of window starts."""
+def _hot_strings(key, order, first, left, least, wide, n: int) -> list:
+    """Strings around hot marks, each to the bucket of its name; of equal ones only those of the smallest document travel."""
+    cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+    for l in range(SIDE + 1):  # the string starts l bytes before the mark
+        own = np.flatnonzero((least <= l) & (l <= left))
+        for lo in range(0, len(own), SORTED):
+            i = own[lo:lo + SORTED]
+            x = _BYTE[wide[i, SIDE - l:SIDE - l + WINDOW]]
+            b = (_mixed(x @ _PLACE[1]) >> np.uint64(32)).astype(np.uint32)
+            for c, v in zip(cols, (_mixed(x @ _PLACE[0]), b, key[i], order[i], first[i] + left[i] - l)):
+                c.append(v)
+    (a, b, key, order, at), later = _by_string(*(np.concatenate(c) for c in cols))
+    sent = ~later
+    return spans(key[later], at[later], 1, n) + in_steps(bucket_of(a[sent], n), 2, *(c[sent] for c in (a, b, key, order, at)))
+
+
+def _by_string(a, b, key, order, at):
+    """The columns sorted by string and document, and which rows come in a later document than the first."""
+    by = np.lexsort((order, b, a))
+    a, b, key, order, at = (c[by] for c in (a, b, key, order, at))
+    if not len(a):
+        return (a, b, key, order, at), np.zeros(0, bool)
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    return (a, b, key, order, at), order > order[np.flatnonzero(new)][np.cumsum(new) - 1]
+
+
+def solve(parts: list[bytes], more: list[bytes], n: int) -> list:
+    """Repeated strings of a bucket's entries and of its strings at hot marks, as runs of window starts."""
+    (_, _, key, _, at), later = _by_string(*from_steps(more))
+    return spans(key[later], at[later], 0, n) + _solve_entries(parts, n)
+
+
+def _solve_entries(parts: list[bytes], n: int) -> list:
     key, order, first, left, least, wide = merged(parts, "<i8", "<i8", "<i8", "u1", "u1", "u1")
     if not len(key):
         return []
@@ -243,8 +283,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     ``whole_chars`` keeps characters of which only a part is covered.
     """
-    def finish(ids: list, texts: list[bytes], spans: list) -> list[pa.Array]:
-        done = [kept_bytes(t, lo, hi, whole_chars) for t, (lo, hi) in zip(texts, spans)]
+    def finish(ids: list, texts: list[bytes], found: list) -> list[pa.Array]:
+        done = [kept_bytes(t, lo, hi, whole_chars) for t, (lo, hi) in zip(texts, found)]
         return [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([d[1] for d in done], pa.int64()),
                 pa.array([d[2] for d in done], pa.int64()), pa.array([d[0] for d in done], pa.binary())]
 

@@ -7,8 +7,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 
-from stormgrid.llm import (bpe, exact_dedup, language, lexicon, near_dedup, packing, quality, recompression, suffix_array,
+from stormgrid.llm import (bpe, exact_dedup, language, lexicon, near_dedup, packing, quality, recompression, repeats, suffix_array,
                            suffix_dedup, token_ids, token_store, vector_search)
 from stormgrid.llm.common import prepare
 
@@ -102,6 +103,30 @@ def test_byte_repeats(spark, docs):
     assert suffix_dedup.remove_repeats(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("operator", [suffix_dedup, recompression])
+def test_hot_marks_are_divided(spark, docs, operator, monkeypatch):
+    """With hot marks the results are the same, and no bucket gets all windows of a mark."""
+    prepare(spark)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    passage = " ".join(word() for _ in range(30))
+    data = corpus() + [(1000 + i, " ".join([*(word() for _ in range(25)), passage, *(word() for _ in range(25))])) for i in range(60)]
+    texts = [t.encode() for i, t in data if i >= 1000]
+    always = lambda *x: np.ones(len(x[-1]), bool)
+    never = lambda *x: np.zeros(len(x[-1]), bool)
+    most = {}
+    for hot in (never, always):
+        got = defaultdict(int)
+        for dest, kind, packed in operator.details(np.arange(60), np.arange(60), texts, always, hot, 1 << 20):
+            if kind != 1:
+                got[dest] += int(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<i8", 1)[0]) // 8
+        most[hot] = max(got.values())
+    assert most[never] >= 50 and most[always] < 20
+    want = sorted(map(tuple, operator.remove_repeats(docs(data)).collect()), key=str)
+    monkeypatch.setattr(repeats, "HOT_DOCUMENTS", 2)
+    assert sorted(map(tuple, operator.remove_repeats(docs(data)).collect()), key=str) == want
+
+
 @pytest.mark.parametrize("letters", [1, 2, 5])
 def test_suffix_array(letters):
     rng = random.Random(letters)
