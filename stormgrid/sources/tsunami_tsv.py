@@ -7,7 +7,7 @@ then surrounding double quotes and spaces are stripped from every cell.
 Cell rules (Q22, Q25): integers parse as integers only (``5.0`` -> null),
 decimals are rounded to the column scale, text longer than the column holds and
 integers or decimals that overflow are nulled and reported (``strict=True`` raises instead,
-like the all-or-nothing import). Rows need an in-range position; BC years are
+like the all-or-nothing import; ``reject_overflow=True`` rejects the whole row). Rows need an in-range position; BC years are
 kept without a datetime (Q24).
 """
 
@@ -61,12 +61,12 @@ FIELDS = (
 HEADER = "\t".join(h for h, _, _ in FIELDS)
 
 
-def read_tsunami_tsv(spark: SparkSession, path: str, strict: bool = False):
+def read_tsunami_tsv(spark: SparkSession, path: str, strict: bool = False, reject_overflow: bool = False):
     """(events, rejected, report) from a tab-separated file or folder of them."""
     lines = spark.read.text(path).withColumnRenamed("value", "line")
     header = spark.read.option("sep", "\t").option("header", True).csv(path).columns
     lines = lines.filter(F.col("line") != "\t".join(header))
-    return parse_tsunami_lines(lines, header=tuple(header), strict=strict)
+    return parse_tsunami_lines(lines, header=tuple(header), strict=strict, reject_overflow=reject_overflow)
 
 
 def _known(c: Column) -> Column:
@@ -119,7 +119,7 @@ def _checked(kind, name: str) -> tuple[Column, Column | None]:
 
 
 def parse_tsunami_lines(lines: DataFrame, col: str = "line", header: tuple | None = None,
-                        strict: bool = False):
+                        strict: bool = False, reject_overflow: bool = False):
     """Parse TSV text lines (header already removed). Returns (events, rejected, report)."""
     names = list(header) if header else [h for h, _, _ in FIELDS]
     pos = {h: i + 1 for i, h in enumerate(names)}
@@ -148,6 +148,11 @@ def parse_tsunami_lines(lines: DataFrame, col: str = "line", header: tuple | Non
     coords_ok = lat.isNotNull() & lon.isNotNull() & lat.between(-90, 90) & lon.between(-180, 180)
     t = t.withColumn("reject_reason", F.coalesce(
         F.col("stage"), F.when(~coords_ok, F.lit("no coordinates"))))
+    over = F.col("reject_reason").isNull() & (F.col("overflow") != "")
+    t = t.withColumn("over", over)
+    if reject_overflow:
+        t = t.withColumn("reject_reason", F.when(
+            F.col("over"), F.concat(F.lit("value does not fit its column: "), F.col("overflow"))).otherwise(F.col("reject_reason")))
     if strict:
         t = t.withColumn("overflow", F.when(
             F.col("overflow") == "", F.col("overflow")).otherwise(
@@ -170,5 +175,5 @@ def parse_tsunami_lines(lines: DataFrame, col: str = "line", header: tuple | Non
         F.count_if(F.col("stage").isNull() & (F.col("reject_reason") == "no coordinates"))
          .alias("skipped_no_coords"),
         F.count_if(F.col("reject_reason").isNull() & (F.col("year") <= 0)).alias("bc_events"),
-        F.count_if(F.col("reject_reason").isNull() & (F.col("overflow") != "")).alias("overflow_rows"))
+        F.count_if("over").alias("overflow_rows"))
     return events, rejected, report

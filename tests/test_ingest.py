@@ -56,6 +56,16 @@ def test_tsunami_missing_tokens_and_big_integers(spark):
     assert rep.first().overflow_rows == 1
 
 
+def test_tsunami_rows_that_do_not_fit_are_rejected_whole(spark):
+    lines = [_tsv_line(), _tsv_line(Deaths="99999999999"), _tsv_line(Country="X" * 101, Sec="123456.7"), _tsv_line(Latitude="91", Deaths="99999999999")]
+    ev, rej, rep = TSV.parse_tsunami_lines(spark.createDataFrame([(x,) for x in lines], "line string"), reject_overflow=True)
+    assert [(r.deaths, r.overflow) for r in ev.collect()] == [(227899, None)]
+    reason = "value does not fit its column: "
+    assert {(r.line, r.reject_reason) for r in rej.collect()} == {(lines[1], reason + "deaths"), (lines[2], reason + "second,country"), (lines[3], "no coordinates")}
+    r = rep.first()
+    assert (r.records_built, r.overflow_rows, r.skipped_no_coords) == (1, 2, 1)
+
+
 def _tsv_line(**over):
     vals = {h: "" for h, _, _ in TSV.FIELDS}
     vals.update({"Year": "2004", "Mo": "12", "Dy": "26", "Hr": "0", "Mn": "58", "Sec": "53.4",
