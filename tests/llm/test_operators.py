@@ -16,6 +16,15 @@ from stormgrid.llm.common import prepare
 VOCABULARY = token_ids.vocabulary_path()
 
 
+@pytest.fixture()
+def docs(spark):
+    """Documents from (doc_id, text) rows, with columns that clash with internal names."""
+    def make(rows):
+        rows = [(i, t, "en", "s", 0, 1, "x", 2) for i, t in rows]
+        return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id long, key string, band int").repartition(3)
+    return make
+
+
 def corpus(seed=3):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5)))
