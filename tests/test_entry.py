@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 
-from conftest import SF_SMALL
+from sample_data import SF_SMALL
 
 # quick subset compared against DuckDB here; tools/oracle_check.py runs them all
 QUICK = ["storms_near", "events_near", "build_tracks", "track_segments", "cyclone_stats",

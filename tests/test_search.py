@@ -14,7 +14,7 @@ from stormgrid.operators import tracks as T
 from stormgrid.plans import views as V
 from stormgrid.sources import export as EX
 
-from conftest import SF_SMALL
+from sample_data import SF_SMALL
 
 
 @pytest.fixture(scope="module")
