@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, near_dedup, packing, quality, recompression, suffix_dedup, token_store, vector_search
+from . import (bpe, exact_dedup, language, near_dedup, packing, periodic_runs, pivot_index, quality, recompression, suffix_dedup,
+               token_store, vector_search)
 from .common import prepare, table
 
 
@@ -82,12 +83,36 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label with a cosine of 0.98 or more."""
+    prepare(spark)
+    return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words with at least four periods, in texts of which a tenth are given one."""
+    prepare(spark)
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_packing, op4_bpe, op5_quality, op6_suffix_dedup,
-                            op7_near_dedup, op8_token_store, op9_top_k, op10_language)
+                            op7_near_dedup, op8_token_store, op9_top_k, op10_language, op11_embedding_dedup, op12_periodic_runs)
 }
 
 ORACLE: dict[str, str] = {
+    "op11_embedding_dedup": """
+        WITH RECURSIVE rows AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+             v AS (SELECT * FROM rows WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+                     AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+             links AS (SELECT a.r, b.r AS o FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+                       WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+             reach AS (SELECT r, r AS o FROM v UNION SELECT reach.r, links.o FROM reach JOIN links ON links.r = reach.o),
+             best AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.o GROUP BY 1),
+             degree AS (SELECT r, count(*) AS n FROM links GROUP BY 1)
+        SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
+               coalesce(vec_id = coalesce(component_id, vec_id), false) AS kept
+        FROM rows LEFT JOIN best USING (r) LEFT JOIN degree USING (r)""",
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
