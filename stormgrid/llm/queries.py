@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, exact_dedup, language, near_dedup, packing, periodic_runs, pivot_index, quality, recompression, suffix_dedup,
-               token_store, vector_search)
+from . import (bpe, exact_dedup, language, near_dedup, packing, periodic_runs, pivot_index, prefix_trie, quality, recompression,
+               suffix_dedup, token_store, vector_search)
 from .common import prepare, table
 
 
@@ -95,9 +95,16 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations."""
+    prepare(spark)
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), rebuild=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_packing, op4_bpe, op5_quality, op6_suffix_dedup,
-                            op7_near_dedup, op8_token_store, op9_top_k, op10_language, op11_embedding_dedup, op12_periodic_runs)
+                            op7_near_dedup, op8_token_store, op9_top_k, op10_language, op11_embedding_dedup, op12_periodic_runs,
+                            op13_conversation_trie)
 }
 
 ORACLE: dict[str, str] = {
@@ -126,4 +133,28 @@ ORACLE: dict[str, str] = {
                    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
              r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    # crc32 of the decimal id: xor with each digit, then eight steps (-1) of the reflected polynomial
+    "op13_conversation_trie": """
+        WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(coalesce(role, ''), 64), left(coalesce(text, ''), 64),
+                                             sha256(coalesce(role, '') || chr(0) || coalesce(text, ''))) AS i
+                   FROM conversations WHERE conv_id IS NOT NULL),
+             c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY i) AS turns FROM t GROUP BY conv_id),
+             h AS (SELECT conv_id, turns, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+                            lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                            lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) % 6 AS h FROM c),
+             r AS (SELECT h.conv_id, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns
+                   FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 100),
+             p AS (SELECT conv_id, len(turns) AS n, d, turns[1:d] AS prefix, turns[d].text AS last
+                   FROM r, LATERAL (SELECT unnest(generate_series(0, len(turns))) AS d)),
+             nodes AS (SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(length(last)), 0) AS chars,
+                              sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+                       FROM p GROUP BY prefix, d),
+             kids AS (SELECT prefix[1:d - 1] AS prefix, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+             known AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (prefix)),
+             above AS (SELECT prefix[1:k] AS prefix, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens
+                       FROM known, LATERAL (SELECT unnest(generate_series(0, d)) AS k) GROUP BY 1)
+        SELECT known.conv_id, known.d::BIGINT AS depth, up.conv_id AS parent_conv_id, known.n_convs, known.n_children, n_leaves::BIGINT AS n_leaves,
+               saved_tokens::BIGINT AS saved_tokens, known.ends_sha256
+        FROM known JOIN above USING (prefix) LEFT JOIN nodes up ON known.d > 0 AND up.prefix = known.prefix[1:known.d - 1]""",
 }
