@@ -24,6 +24,8 @@ from ..operators import tracks as T
 from ..functions import classify as CL
 from ..sources import best_track as BT
 from ..sources import export as EX
+from ..sources import tables as TB
+from ..sources import versions as VE
 from ..sources import tsunami_tsv as TSV
 
 
@@ -404,15 +406,12 @@ def q_tracks_for_results(i: Inputs) -> DataFrame:
 @register("write_points", O.WRITE_POINTS)
 def q_write_points(i: Inputs) -> DataFrame:
     path = scratch_path(i.spark, f"tables/cyclone_points_{uuid.uuid4().hex[:12]}")
-    EX.write_table(i.obs, path, partition_by=["season"])
-    return i.spark.read.parquet(path).select(*i.obs.columns)
+    return VE.write_version(VE.dealt(i.obs, ["season"]), path, partition_by=["season"]).select(*i.obs.columns)
 
 
 @register("write_events", O.WRITE_EVENTS)
 def q_write_events(i: Inputs) -> DataFrame:
-    path = scratch_path(i.spark, f"tables/tsunami_events_{uuid.uuid4().hex[:12]}")
-    EX.write_table(i.events, path)
-    return i.spark.read.parquet(path)
+    return VE.write_version(i.events, scratch_path(i.spark, f"tables/tsunami_events_{uuid.uuid4().hex[:12]}"))
 
 
 @register("event_detail_api", O.EVENT_DETAIL_API)
@@ -450,13 +449,24 @@ def q_track_coordinates(i: Inputs) -> DataFrame:
     return EX.geojson_coordinates(EX.track_geojson(i.obs, i.tracks))
 
 
+def _fresh(i: Inputs) -> str:
+    return scratch_path(i.spark, f"tables/{uuid.uuid4().hex[:12]}")
+
+
 @register("storms_near_stored", O.storms_near_sql())
 def q_storms_near_stored(i: Inputs) -> DataFrame:
     """storms_near over tables written once (points, tracks, segments)."""
-    from ..sources.tables import materialize_storm_tables
+    return TB.storms_near_stored(TB.materialize_storm_tables(i.obs, _fresh(i)), i.sites)
+
+
+@register("obs_near_stored", O.OBS_NEAR)
+def q_obs_near_stored(i: Inputs) -> DataFrame:
+    return TB.obs_near_stored(TB.store_points_by_place(i.obs, _fresh(i)), i.sites)
+
 
-    t = materialize_storm_tables(i.obs, scratch_path(i.spark, f"tables/storms_{uuid.uuid4().hex[:12]}"))
-    return S.storms_near(t["points"], t["tracks"], i.sites, segments=t["segments"])
+@register("events_near_stored", O.events_near_sql())
+def q_events_near_stored(i: Inputs) -> DataFrame:
+    return TB.events_near_stored(TB.store_events_by_place(i.events, _fresh(i)), i.sites)
 
 
 # closed-form levels from the fitted parameters (no oracle: parameters come from the fit)
