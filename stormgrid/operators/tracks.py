@@ -132,6 +132,25 @@ def track_segments(points: DataFrame) -> DataFrame:
                     F.col("nxt.lon").alias("b_lon")))
 
 
+#: Fixes in one piece of a track line.
+PIECE = 512
+
+
+def track_line(points: DataFrame, carry: list[str] | tuple = ()) -> DataFrame:
+    """The ordered line of every storm, in pieces: sid, piece (from 0), n_points, line.
+
+    ``line`` is an array of structs (iso_time, lon, lat, carry...) of ``PIECE`` fixes (the last
+    piece has the rest), cut at the fixes' numbers in storm order; a storm of any length
+    is spread over its pieces, never collected whole.
+    """
+    names = [*ORDER, *carry]
+    s = sequence_points(points, carry=list(carry)).withColumn("piece", F.floor((F.col("k") - 1) / PIECE))
+    fixes = F.array_sort(F.collect_list(F.struct("k", *names)))
+    pieces = s.groupBy("sid", "piece").agg(fixes.alias("fixes"))
+    line = F.transform("fixes", lambda e: F.struct(*(e[c].alias(c) for c in names)))
+    return pieces.select("sid", "piece", F.size("fixes").alias("n_points"), line.alias("line"))
+
+
 def obs_position(points: DataFrame) -> DataFrame:
     """Observation k of n with first/last flags and the (Start)/(End) label."""
     s = sequence_points(points, carry=["obs_id"])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.fence import fenced_filter
 from ..session import scratch_path
 from . import oracle as O
+from . import table_functions as TF
 from . import views as V
 from ..operators import results as R
 from ..operators import risk as RK
@@ -469,6 +470,40 @@ def q_events_near_stored(i: Inputs) -> DataFrame:
     return TB.events_near_stored(TB.store_events_by_place(i.events, _fresh(i)), i.sites)
 
 
+@register("track_line", O.TRACK_LINE)
+def q_track_line(i: Inputs) -> DataFrame:
+    """Pieces of the ordered lines, stored and read back."""
+    return EX.line_pieces(VE.write_version(VE.dealt(T.track_line(i.obs), ["sid"]), _fresh(i)))
+
+
+@register("sql_find_cyclones_near_point", O.storms_near_sql())
+def q_sql_find_cyclones(i: Inputs) -> DataFrame:
+    TF.register(i.spark, TB.materialize_storm_tables(i.obs, _fresh(i)))
+    i.sites.createOrReplaceTempView("sites")
+    return i.spark.sql("select s.site_id, f.* from sites s, lateral find_cyclones_near_point(s.lat, s.lon, s.radius_m) f")
+
+
+@register("sql_find_tsunamis_near_point", O.events_near_sql())
+def q_sql_find_tsunamis(i: Inputs) -> DataFrame:
+    TF.register(i.spark, events=i.events)
+    i.sites.createOrReplaceTempView("sites")
+    return i.spark.sql("select s.site_id, f.* from sites s, lateral find_tsunamis_near_point(s.lat, s.lon, s.radius_m) f")
+
+
+@register("sql_get_cyclone_track", O.TRACKS_BY_FUNCTION)
+def q_sql_get_track(i: Inputs) -> DataFrame:
+    TF.register(i.spark, TB.materialize_storm_tables(i.obs, _fresh(i)))
+    i.requested_sids().createOrReplaceTempView("storm_ids")
+    return i.spark.sql("select f.* from storm_ids s, lateral get_cyclone_track(s.sid) f")
+
+
+@register("sql_get_tsunami_event", O.EVENT_DETAIL)
+def q_sql_get_event(i: Inputs) -> DataFrame:
+    TF.register(i.spark, events=i.events)
+    i.requested_event_ids().createOrReplaceTempView("event_ids")
+    return i.spark.sql("select f.* from event_ids s, lateral get_tsunami_event(s.id) f")
+
+
 # closed-form levels from the fitted parameters (no oracle: parameters come from the fit)
 @register("return_levels")
 def q_return_levels(i: Inputs) -> DataFrame:

@@ -537,6 +537,13 @@ wkt as (
 
 TRACK_WKT = VIEWS + WKT_CTE + "select * from wkt"
 
+# pieces of 512 fixes
+TRACK_LINE = VIEWS + f"""
+select sid, (k - 1) // 512 as piece, cast(count(*) as integer) as n_points, min(iso_time) as start_time, max(iso_time) as end_time,
+       string_agg(concat({fx('lon', 4)}, ' ', {fx('lat', 4)}), ', ' order by k) as coordinates
+from (select sid, lon, lat, iso_time, row_number() over (partition by sid order by iso_time, lon, lat) as k from ({VALID_OBS}) v) x
+group by sid, (k - 1) // 512"""
+
 TRACK_GEOJSON = VIEWS + f""", tracks as ({TRACKS}),
 gj as (
   select sid, concat('{{"type":"LineString","coordinates":[',
@@ -723,3 +730,5 @@ TRACK_COORDINATES = VIEWS + f""", tracks as ({TRACKS})
 select v.sid, cast(row_number() over (partition by v.sid order by iso_time, lon, lat) - 1 as integer) as idx,
        cast({gj('lon')} as double) as lon, cast({gj('lat')} as double) as lat
 from ({VALID_OBS}) v where v.sid in (select sid from tracks)"""
+
+TRACKS_BY_FUNCTION = TRACK_GEOJSON + f" where t.sid in ({REQUESTED_SIDS})"
