@@ -22,10 +22,11 @@ handling stays on as well).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.fence import fence, fenced_filter
 from .layout import spread
 from .tracks import track_segments
 
@@ -220,10 +221,8 @@ def points_within(points: DataFrame, sites: DataFrame, keep: list[str], model: s
     ps = prepare_sites(sites)
     levels = used_levels(ps)
     sc = site_cells(ps)
-    pts = geo.apply_stages(spread(points).filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()
-                                         & F.col(lat).between(-90, 90)
-                                         & F.col(lon).between(-180, 180)),
-                           geo.unit_vector_stages("q", lat, lon))
+    placed = F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180)
+    pts = geo.apply_stages(fenced_filter(fence(spread(points)), placed), geo.unit_vector_stages("q", lat, lon))
     pc = point_cells(pts, levels, [*keep, "q_latr", "q_lonr", "q_beta", "q_x", "q_y", "q_z"], lat, lon)
     pairs = cell_join(sc, pc, salt_key or keep[0])
     lb = [("lb_m", geo.lower_bound_expr("p", None, "q"))]
@@ -298,40 +297,74 @@ def result_count(sites: DataFrame, hits: DataFrame, name: str = "cyclones_found"
             .select("site_id", F.coalesce(F.col(name), F.lit(0)).alias(name)))
 
 
+#: Degrees of the cells of the occupancy summary: 69 352 rows at most, whatever the tracks.
+OCCUPANCY = (1.0, 4.0, 12.0, 36.0, 180.0)
+
+
+def _occupancy_cell(lvl: Column, row: Column, col: Column) -> Column:
+    return (row * (360 / lvl) + F.pmod(col, 360 / lvl)).cast("int")
+
+
+def _row_of(lat: Column, lvl: Column) -> Column:
+    return F.least(F.floor((lat + 90) / lvl), 180 / lvl - 1)
+
+
+def occupied_cells(segments: DataFrame) -> DataFrame:
+    """lvl, cell, q_lat and q_lon: one track fix of each occupied cell of each level."""
+    lvl = F.lit(OCCUPANCY[0])
+    own = _occupancy_cell(lvl, _row_of(F.col("a_lat"), lvl), F.floor((F.col("a_lon") + 180) / lvl))
+    finest = segments.groupBy(own.alias("cell")).agg(F.min(F.struct("a_lat", "a_lon")).alias("fix"))
+    lvl = F.col("lvl")
+    placed = _explode_levels(finest.select("fix"), list(OCCUPANCY))
+    cell = _occupancy_cell(lvl, _row_of(F.col("fix.a_lat"), lvl), F.floor((F.col("fix.a_lon") + 180) / lvl))
+    return (placed.groupBy("lvl", cell.alias("cell")).agg(F.min("fix").alias("fix"))
+            .select("lvl", "cell", F.col("fix.a_lat").alias("q_lat"), F.col("fix.a_lon").alias("q_lon")))
+
+
+def nearest_bound(sites: DataFrame, segments: DataFrame, model: str = "spheroid") -> DataFrame:
+    """The sites (one row a site_id) with ``bound_m``: the distance to some track fix, so that
+    the nearest storm is no further.
+
+    A site looks at the fixes of its own cell and the eight around it, on each level up to
+    the half globe, and takes the distance to the one at the smallest angle: 45 looks at most, an
+    equi-join with a broadcast summary. Sites are missing where there are no tracks at all.
+    """
+    lvl = F.col("lvl")
+    looks = _explode_levels(geo.apply_stages(sites, geo.unit_vector_stages("p", "lat", "lon")), list(OCCUPANCY))
+    row, col = _row_of(F.col("lat"), lvl), F.floor((F.col("lon") + 180) / lvl)
+    looks = looks.withColumn("_row", F.explode(F.sequence(F.greatest(row - 1, F.lit(0)).cast("int"), F.least(row + 1, 180 / lvl - 1).cast("int"))))
+    # two columns at the top: the one beside is the one on the other side
+    looks = looks.withColumn("_col", F.explode(F.sequence((col - 1).cast("int"), F.when(lvl < 180, col + 1).otherwise(col).cast("int"))))
+    looks = looks.withColumn("cell", _occupancy_cell(lvl, F.col("_row"), F.col("_col")))
+    met = looks.join(F.broadcast(occupied_cells(segments)), ["lvl", "cell"])
+    met = geo.apply_stages(met, geo.unit_vector_stages("q", "q_lat", "q_lon"))
+    dot = F.col("q_x") * F.col("p_x") + F.col("q_y") * F.col("p_y") + F.col("q_z") * F.col("p_z")
+    near = met.groupBy("site_id").agg(F.max(F.struct(dot.alias("dot"), "q_lat", "q_lon", "lat", "lon", "radius_m")).alias("x"))
+    near = near.select("site_id", "x.lat", "x.lon", "x.radius_m", "x.q_lat", "x.q_lon")
+    near = geo.apply_stages(near, geo.point_prep_stages("p", "lat", "lon") + geo.point_prep_stages("q", "q_lat", "q_lon")
+                            + geo.distance_stages("bound_m", "p", "q", model))
+    return near.select("site_id", "lat", "lon", "radius_m", "bound_m")
+
+
 def nearest_storm(points: DataFrame, tracks: DataFrame, sites: DataFrame,
-                  model: str = "spheroid", segments: DataFrame | None = None,
-                  growth: float = 4.0) -> DataFrame:
+                  model: str = "spheroid", segments: DataFrame | None = None) -> DataFrame:
     """For sites with no storm inside their radius: the single nearest storm.
 
-    Ring search: the unresolved sites are searched again with a radius grown by
-    ``growth`` each round (the level grows with it, so cells per site stay
-    bounded) until every site has a candidate. Whatever a round finds within
-    radius r includes the true nearest, so the minimum is exact. No cross join.
-    Unresolved-site sets are checkpointed (shared folder) between rounds.
+    Branch and bound in one pass: an occupancy summary bounds each site's nearest distance
+    from above (:func:`nearest_bound`). A site whose bound lies within its radius has a
+    storm there and is not asked; each other one is searched once, exactly, with its bound
+    as the radius, which holds its nearest storm and few others. Sites whose nearest storm
+    turns out to lie within their radius drop out at the end. No cross join, no rounds.
     """
-    seg = (segments if segments is not None else track_segments(points)).checkpoint(eager=True)
-    # sites with any storm inside their own radius are not asked (one distinct on site_id)
-    resolved = segment_pairs_within(seg, sites, model).select("site_id").distinct()
-    todo = (valid_sites(sites).select("site_id", "lat", "lon", "radius_m")
-            .join(resolved, "site_id", "left_anti")
-            .checkpoint(eager=True))
-    found = None
-    max_r = 2.1e7  # beyond half the meridian: the whole globe
-    while not todo.isEmpty():
-        todo = todo.withColumn("radius_m", F.least(F.col("radius_m") * growth, F.lit(max_r)))
-        got = segment_pairs_within(seg, todo, model).select("site_id", "sid", "dist_m")
-        best = (got.groupBy("site_id")
-                .agg(F.min(F.struct("dist_m", "sid")).alias("b"))
-                .select("site_id", F.col("b.sid").alias("sid"), F.col("b.dist_m").alias("dist_m"))
-                .checkpoint(eager=True))
-        found = best if found is None else found.unionByName(best)
-        todo = todo.join(best.select("site_id"), "site_id", "left_anti").checkpoint(eager=True)
-        if todo.isEmpty():
-            break
-        if todo.agg(F.min("radius_m")).first()[0] >= max_r:
-            break  # no storms at all
-    if found is None:
-        found = sites.sparkSession.createDataFrame([], "site_id long, sid string, dist_m double")
+    # read twice (summary, search): written once to the shared checkpoint folder
+    seg = segments if segments is not None else track_segments(points).checkpoint(eager=True)
+    asked = nearest_bound(valid_sites(sites).select("site_id", "lat", "lon", "radius_m"), seg, model)
+    asked = asked.filter(F.col("bound_m") > F.col("radius_m")).checkpoint(eager=True)
+    reach = F.col("bound_m") * (1 + 1e-9) + 0.01
+    near = segment_pairs_within(seg, asked.withColumn("radius_m", reach), model)
+    best = (near.groupBy("site_id").agg(F.min(F.struct("dist_m", "sid")).alias("b"))
+            .select("site_id", F.col("b.sid").alias("sid"), F.col("b.dist_m").alias("dist_m")))
+    found = best.join(asked.select("site_id", "radius_m"), "site_id").filter("dist_m > radius_m")
     t = tracks.select("sid", "name", "season")
     return found.join(t, "sid").select(
         "site_id", F.col("sid").alias("storm_id"),

@@ -15,16 +15,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fence import fence, fenced_filter
 from .layout import hot_key_rows, spread
 
 ORDER = ("iso_time", "lon", "lat")
 
 
 def valid_points(points: DataFrame) -> DataFrame:
-    """Rows that can be placed on a map (non-null, in-range coordinates)."""
-    return points.filter(
-        F.col("lat").isNotNull() & F.col("lon").isNotNull()
-        & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180))
+    """Rows that can be placed on a map (non-null, in-range coordinates).
+
+    Fenced: over derived points (parsed text, a view), Catalyst would push the four comparisons
+    below the derivation and repeat it in each, before any redistribution. Filters on
+    stored columns belong below this one (scans by place or id do that).
+    """
+    return fenced_filter(fence(points), F.col("lat").isNotNull() & F.col("lon").isNotNull()
+                         & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180))
 
 
 def duration_hours(start: str, end: str):
