@@ -17,6 +17,7 @@ from ..session import scratch_path
 from . import oracle as O
 from . import table_functions as TF
 from . import views as V
+from ..operators import counts as CN
 from ..operators import results as R
 from ..operators import risk as RK
 from ..operators import search as S
@@ -126,6 +127,12 @@ def q_events_near(i: Inputs) -> DataFrame:
     return S.events_near(i.events, i.sites)
 
 
+@register("obs_count", O.OBS_COUNT)
+def q_obs_count(i: Inputs) -> DataFrame:
+    """Observations within each site's radius, counted without pairs."""
+    return CN.points_counted(i.obs, i.sites, "observations_found")
+
+
 @register("tsunami_search", O.tsunami_search_sql())
 def q_tsunami_search(i: Inputs) -> DataFrame:
     return S.tsunami_search(i.events, i.sites)
@@ -437,7 +444,7 @@ def q_result_count_filtered(i: Inputs) -> DataFrame:
 
 @register("tsunami_result_count", O.tsunami_result_count_sql())
 def q_tsunami_result_count(i: Inputs) -> DataFrame:
-    return S.result_count(i.sites, S.events_near(i.events, i.sites), "tsunamis_found")
+    return CN.events_counted(i.events, i.sites)
 
 
 @register("order_by_distance", O.ORDER_BY_DISTANCE)

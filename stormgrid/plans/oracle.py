@@ -343,6 +343,10 @@ maxima as (
 OBS_NEAR = VIEWS + (f"select site_id, obs_id, sid, wmo_wind, round(dist_m / 1000.0, 2) as distance_km"
                     f" from ({obs_distances_sql()}) d")
 
+OBS_COUNT = VIEWS + f"""
+select s.site_id, coalesce(c.n, 0) as observations_found
+from ({VALID_SITES}) s left join (select site_id, count(*) as n from ({obs_distances_sql()}) d group by site_id) c using (site_id)"""
+
 BLOCK_MAXIMA = with_storms(MAXIMA_CTE + "select * from maxima")
 
 SAMPLE_STATS = with_storms(MAXIMA_CTE + """
