@@ -437,77 +437,31 @@ select count(*) as rows_read, count(*) filter (where reject_reason is null) as r
 from classified"""
 
 
-def tsunami_parsed_sql() -> str:
-    from ..sources.tsunami_tsv import FIELDS
-    strip = "regexp_replace(trim(coalesce(cells[{i}], ''), '\"'), '^\\s+|\\s+$', '', 'g')"
-    exprs, flags = [], []
-    for i, (_, c, kind) in enumerate(FIELDS, start=1):
-        v = f"nullif({strip.format(i=i)}, '')"
-        if kind == "int":
-            e = (f"case when regexp_full_match({v}, '\\s*[+-]?[0-9]+\\s*')"
-                 f" then try_cast({v} as integer) end")
-        elif kind == "coord":
-            e = f"try_cast({v} as double)"
-        elif isinstance(kind, int):
-            e = f"case when length({v}) <= {kind} then {v} end"
-            flags.append(f"case when length({v}) > {kind} then '{c}' end")
-        else:
-            p, s = kind
-            d = f"try_cast({v} as double)"
-            e = f"try_cast({d} as decimal({p},{s}))"
-            flags.append(f"case when {d} is not null and not isnan({d}) and {e} is null then '{c}' end")
-        exprs.append(f"{e} as {c}")
-    n = len(FIELDS)
-    return f"""
-lines as ({views.tsv_lines_sql()}),
-split_ as (select line, string_split(line, chr(9)) as cells from lines),
-staged as (
-  select *, case when len(cells) > {n} then 'too many cells'
-                 when cells[1] is null or cells[1] = '' or contains(cells[1], '[')
-                      or trim(cells[1]) = '' then 'no year' end as stage
-  from split_),
-typed as (select line, stage, {', '.join(exprs)},
-                 concat_ws(',', {', '.join(flags)}) as overflow from staged),
-parsed as (
-  select *, coalesce(stage, case when latitude is null or longitude is null
-                                  or not (latitude between -90 and 90 and longitude between -180 and 180)
-                                 then 'no coordinates' end) as reject_reason
-  from typed)
+# What the text of views.tsv_lines_sql must read as, from the rows it was written from: no
+# text is parsed here.
+TSV_ROWS = """
+tsv_rows as (
+  select *, id % 107 <> 0 as loaded, id % 107 <> 0 and id % 101 <> 0 and year is not null as cleaned,
+         id % 113 <> 0 as placed, not (id % 127 = 0 or id % 131 = 0 or id % 137 = 0) as fits
+  from ev)
 """
 
-
-def _tsunami_event_cols() -> str:
-    from ..sources.tsunami_tsv import FIELDS
-    out = []
-    for _, c, k in FIELDS:
-        if c in ("latitude", "longitude"):
-            out.append(f"cast({c} as decimal(8,5)) as {c}")
-        else:
-            out.append(c)
-    return ", ".join(out)
-
-
-READ_TSUNAMI_TSV = VIEWS + ", " + tsunami_parsed_sql() + f"""
-select {_tsunami_event_cols()}, latitude as lat_d, longitude as lon_d,
-       nullif(overflow, '') as overflow,
-       case when year is not null and year > 0 and year <= 9999
-            and dd_ <= day(last_day(make_date(year, mo_, 1)))
-            then make_timestamp(year, mo_, dd_, hh_, mi_, ss_) end as event_datetime
-from (select *, greatest(1, least(12, coalesce(nullif(month, 0), 1))) as mo_,
-             greatest(1, least(31, coalesce(nullif(day, 0), 1))) as dd_,
-             greatest(0, least(23, coalesce(hour, 0))) as hh_,
-             greatest(0, least(59, coalesce(minute, 0))) as mi_,
-             floor(greatest(0, least(59.9, coalesce(cast(second as double), 0)))) as ss_
-      from parsed where reject_reason is null) p"""
-
-TSUNAMI_INGEST_REPORT = VIEWS + ", " + tsunami_parsed_sql() + """
-select count(*) filter (where stage is null or stage = 'no year') as rows_loaded,
-       count(*) filter (where stage is null) as rows_after_cleaning,
-       count(*) filter (where reject_reason is null) as records_built,
-       count(*) filter (where stage is null and reject_reason = 'no coordinates') as skipped_no_coords,
-       count(*) filter (where reject_reason is null and year <= 0) as bc_events,
-       count(*) filter (where reject_reason is null and overflow <> '') as overflow_rows
-from parsed"""
+READ_TSUNAMI_TSV = VIEWS + ", " + TSV_ROWS + """
+select * exclude (id, loaded, cleaned, placed, fits)
+       replace (case when id % 43 <> 0 then country end as country,
+                case when id % 61 = 0 then location_name || ' "X"' || chr(9) || 'EAST'
+                     when id % 67 = 0 then location_name || chr(10) || 'NORTH' else location_name end as location_name,
+                case when id % 109 <> 0 then deaths end as deaths),
+       cast(null as varchar) as overflow
+from tsv_rows where cleaned and placed and fits"""
+
+TSUNAMI_INGEST_REPORT = VIEWS + ", " + TSV_ROWS + """
+select count(*) filter (where loaded) as rows_loaded, count(*) filter (where cleaned) as rows_after_cleaning,
+       count(*) filter (where cleaned and placed and fits) as records_built,
+       count(*) filter (where cleaned and not placed) as skipped_no_coords,
+       count(*) filter (where cleaned and placed and fits and year <= 0) as bc_events,
+       count(*) filter (where cleaned and placed and not fits) as overflow_rows
+from tsv_rows"""
 
 
 # ------------------------------------------------------------------ exports

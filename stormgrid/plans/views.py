@@ -213,9 +213,13 @@ def _tsv_cell(col: str, kind) -> str:
         return ("case when id % 127 = 0 then '12345.6'"
                 " else coalesce(cast(earthquake_magnitude as string), '') end")
     if col == "country":
-        return "case when country is null then '' else concat(' ', country, ' ') end"
+        return ("case when id % 137 = 0 then repeat('C', 101) when id % 43 = 0 then 'NA'"
+                " when country is null then '' else concat(' ', country, ' ') end")
     if col == "location_name":
-        return "case when location_name is null then '' else concat('\"', location_name, '\"') end"
+        return ("case when location_name is null then '' when id % 61 = 0 then concat('\"', location_name, ' \"\"X\"\"', chr(9), 'EAST\"')"
+                " when id % 67 = 0 then concat('\"', location_name, chr(10), 'NORTH\"') else concat('\"', location_name, '\"') end")
+    if col == "injuries":
+        return "case when id % 131 = 0 then '2147483649' else coalesce(cast(injuries as string), '') end"
     if col == "latitude":
         return "case when id % 113 = 0 then '91.5' else printf('%.6f', lat_d) end"
     if col == "longitude":
@@ -228,8 +232,8 @@ def _tsv_cell(col: str, kind) -> str:
 
 def tsv_lines_sql() -> str:
     """Tsunami TSV text built from ev (valid in both engines), with a search-parameter
-    row marker, quoted and padded cells, '5.0' integers, an overflowing magnitude,
-    latitudes beyond 90 and lines with an extra cell."""
+    row marker, quoted and padded cells, quoted tabs, quotes and line breaks, 'NA' countries, '5.0' integers, an
+    overflowing magnitude, integer and text, latitudes beyond 90 and lines with an extra cell."""
     from ..sources.tsunami_tsv import FIELDS
 
     cells = ",\n  ".join(_tsv_cell(c, k) for _, c, k in FIELDS)

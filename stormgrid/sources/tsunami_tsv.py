@@ -1,13 +1,21 @@
-"""Tsunami TSV ingest: text lines -> cleaned, typed tsunami_events rows.
-
-Row rules (Q21): a line with more cells than the header is skipped; rows whose
-Year is missing, blank or contains ``[`` (the search-parameter row) are
-dropped; cells that are a missing-value token read as missing (a Year ``NA`` drops its row);
-then surrounding double quotes and spaces are stripped from every cell.
-Cell rules (Q22, Q25): integers parse as integers only (``5.0`` -> null),
-decimals are rounded to the column scale, text longer than the column holds and
-integers or decimals that overflow are nulled and reported (``strict=True`` raises instead,
-like the all-or-nothing import; ``reject_overflow=True`` rejects the whole row). Rows need an in-range position; BC years are
+"""Tsunami TSV ingest: tab-separated text -> cleaned, typed tsunami_events rows.
+
+Reading: cells may be quoted; a quoted cell may hold tabs, doubled quotes and line breaks, and
+header names may be quoted. A file is one record stream (``multi_line``), so that a line
+break in a cell is part of the cell; folders are read file by file in parallel. Each file's
+header is checked against the first one's; ``header_per_file`` reads files of other column
+orders by their own headers.
+
+Row rules (Q21): empty lines are ignored; a row with more cells than the header is skipped;
+missing cells at the end are empty; rows whose Year is missing, blank or contains ``[`` (the
+search-parameter row) are dropped; cells that are a missing-value token, quoted or not, read as missing
+(a Year ``NA`` drops its row); then surrounding double quotes and spaces are stripped from
+every cell.
+Cell rules (Q22, Q25): integers parse as integers only (``5.0`` -> null), decimals are rounded
+to the column scale. A row with a text longer than its column holds, or a number that
+overflows it, goes to the rejected frame whole, with its line and the columns' names
+(``strict=True`` raises instead, like the all-or-nothing import; ``reject_overflow=False`` nulls such
+values and names them in ``overflow``). Rows need an in-range position; BC years are
 kept without a datetime (Q24).
 """
 
@@ -61,12 +69,47 @@ FIELDS = (
 HEADER = "\t".join(h for h, _, _ in FIELDS)
 
 
-def read_tsunami_tsv(spark: SparkSession, path: str, strict: bool = False, reject_overflow: bool = False):
-    """(events, rejected, report) from a tab-separated file or folder of them."""
-    lines = spark.read.text(path).withColumnRenamed("value", "line")
-    header = spark.read.option("sep", "\t").option("header", True).csv(path).columns
-    lines = lines.filter(F.col("line") != "\t".join(header))
-    return parse_tsunami_lines(lines, header=tuple(header), strict=strict, reject_overflow=reject_overflow)
+#: Columns that tell a header from a row where files may have different ones.
+HEADER_MARKS = ("Year", "Latitude", "Longitude")
+_CSV = {"sep": "\t", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+
+
+def _schema(n: int) -> str:
+    return ", ".join(f"c{k} string" for k in range(n)) + ", _corrupt string"
+
+
+def read_tsunami_tsv(spark: SparkSession, path: str, strict: bool = False, reject_overflow: bool = True,
+                     multi_line: bool = True, header_per_file: bool = False):
+    """(events, rejected, report) from a tab-separated file or folder of them.
+
+    Without ``multi_line`` large files are split over tasks, and line breaks in cells aren't
+    understood. ``header_per_file`` costs a scan for headers; otherwise a file whose header
+    differs from the first one's fails the read.
+    """
+    reader = spark.read.options(**_CSV).option("header", True).option("multiLine", multi_line).option("columnPruning", False)
+    if header_per_file:
+        layouts = _layouts(spark, path)
+    else:
+        layouts = [(tuple(reader.csv(path).columns), path)]
+    parsed = None
+    for names, files in layouts:
+        raw = reader.option("enforceSchema", header_per_file).schema(", ".join(f"`{n.replace('`', '``')}` string" for n in names) + ", _corrupt string").csv(files)
+        cells = raw.toDF(*(f"c{k}" for k in range(len(names))), "_corrupt")
+        text = F.concat_ws("\t", *(F.coalesce(f"c{k}", F.lit("")) for k in range(len(names))))
+        one = _classified(cells.withColumn("line", F.coalesce("_corrupt", text)), names, strict, reject_overflow)
+        parsed = one if parsed is None else parsed.unionByName(one)
+    return _results(parsed)
+
+
+def _layouts(spark: SparkSession, path: str) -> list[tuple[tuple, list[str]]]:
+    """The distinct headers of the files, each with its files (a row for each file reaches the driver, as in any file listing)."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    marked = lines.filter(F.forall(F.array(*(F.lit(m) for m in HEADER_MARKS)), lambda m: F.contains(F.col("value"), m))).distinct()
+    found: dict[str, list[str]] = {}
+    for r in marked.collect():
+        found.setdefault(r["value"], []).append(r["file"])
+    split = lambda line: tuple(c[1:-1].replace('""', '"') if len(c) > 1 and c[0] == c[-1] == '"' else c for c in line.split("\t"))
+    return [(split(line), sorted(files)) for line, files in sorted(found.items())]
 
 
 def _known(c: Column) -> Column:
@@ -91,13 +134,12 @@ def _typed(c: Column, kind, name: str) -> list[Column]:
     return [v.try_cast("double").alias(f"{name}__raw")]
 
 
-def _too_big(pos: dict[str, int]) -> Column:
+def _too_big(cells: dict[str, Column]) -> Column:
     """Names of the integer columns whose cell is a number that no int holds.
 
     One lambda over an array: a test for each column would make the generated code too large.
     """
-    ints = F.array(*[F.struct(F.lit(c).alias("c"), F.get("cells", F.lit(pos[h] - 1)).alias("v"))
-                     for h, c, k in FIELDS if k == "int" and h in pos])
+    ints = F.array(*[F.struct(F.lit(c).alias("c"), cells[h].alias("v")) for h, c, k in FIELDS if k == "int" and h in cells])
 
     def beyond(s: Column) -> Column:
         d = _strip(s["v"]).try_cast("double")
@@ -119,24 +161,33 @@ def _checked(kind, name: str) -> tuple[Column, Column | None]:
 
 
 def parse_tsunami_lines(lines: DataFrame, col: str = "line", header: tuple | None = None,
-                        strict: bool = False, reject_overflow: bool = False):
-    """Parse TSV text lines (header already removed). Returns (events, rejected, report)."""
+                        strict: bool = False, reject_overflow: bool = True):
+    """Parse TSV text, one record a row (header already removed). Returns (events, rejected, report)."""
     names = list(header) if header else [h for h, _, _ in FIELDS]
-    pos = {h: i + 1 for i, h in enumerate(names)}
-    cells = F.split(F.col(col), "\t", -1)
-    a = lines.select(F.col(col).alias("line"), cells.alias("cells"))
-    n_cells = F.size("cells")
-    year_raw = _known(F.element_at("cells", pos["Year"]))
-    read_ok = n_cells <= len(names)
+    rows = lines.filter(F.col(col) != "").select(F.col(col).alias("line"), F.from_csv(F.col(col), _schema(len(names)), _CSV).alias("r"))
+    return _results(_classified(rows.select("line", "r.*"), tuple(names), strict, reject_overflow))
+
+
+def _cell_count(line: Column) -> Column:
+    """Cells of a record: its tabs outside of quoted cells, and one."""
+    unquoted = F.regexp_replace(line, r'(^|\t)"[^"]*+(?:""[^"]*+)*+"(?=\t|$)', "$1")
+    return F.length(unquoted) - F.length(F.replace(unquoted, F.lit("\t"), F.lit(""))) + 1
+
+
+def _classified(rows: DataFrame, names: tuple, strict: bool, reject_overflow: bool) -> DataFrame:
+    """Typed columns, reject_reason and overflow of records (line, c0.., _corrupt: set where the cells aren't as many as the names)."""
+    cells = {h: F.col(f"c{k}") for k, h in enumerate(names)}
+    read_ok = F.col("_corrupt").isNull() | (_cell_count(F.col("line")) <= len(names))
+    year_raw = _known(cells["Year"])
     year_ok = year_raw.isNotNull() & (year_raw != "") & ~year_raw.contains("[") \
         & (F.trim(year_raw) != "")
-    a = a.withColumn("stage", F.when(~read_ok, F.lit("too many cells"))
-                     .when(~year_ok, F.lit("no year")))
+    a = rows.withColumn("stage", F.when(~read_ok, F.lit("too many cells"))
+                        .when(~F.coalesce(year_ok, F.lit(False)), F.lit("no year")))
     typed = []
     for h, c, kind in FIELDS:
-        raw = F.element_at("cells", pos[h]) if h in pos else F.lit(None).cast("string")
+        raw = cells.get(h, F.lit(None).cast("string"))
         typed += _typed(_strip(F.coalesce(_known(raw), F.lit(""))), kind, c)
-    t = a.select("line", "stage", _too_big(pos).alias("too_big"), *typed)
+    t = a.select("line", "stage", _too_big(cells).alias("too_big"), *typed)
     exprs, flags = [], []
     for _, c, kind in FIELDS:
         val, flag = _checked(kind, c)
@@ -157,6 +208,12 @@ def parse_tsunami_lines(lines: DataFrame, col: str = "line", header: tuple | Non
         t = t.withColumn("overflow", F.when(
             F.col("overflow") == "", F.col("overflow")).otherwise(
             F.raise_error(F.concat(F.lit("value does not fit its column: "), F.col("overflow")))))
+    return t
+
+
+def _results(t: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, rejected, report) of classified rows."""
+    lat, lon = F.col("latitude"), F.col("longitude")
     t = fence(t)
     events = fenced_filter(t, F.col("reject_reason").isNull()).select(
         F.xxhash64("line").alias("id"),

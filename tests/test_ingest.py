@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from stormgrid.sources import best_track as BT
@@ -47,18 +48,60 @@ def test_best_track_values_that_do_not_fit(spark, tmpdir_path):
 
 
 def test_tsunami_missing_tokens_and_big_integers(spark):
-    lines = [_tsv_line(Year="NA"), _tsv_line(Country="NA", **{"Location Name": "None"}), _tsv_line(Deaths="99999999999")]
-    ev, rej, rep = TSV.parse_tsunami_lines(spark.createDataFrame([(x,) for x in lines], "line string"))
-    missing, big = sorted(ev.collect(), key=lambda r: r.overflow or "")
-    assert (missing.country, missing.location_name, missing.overflow) == (None, None, None)
-    assert (big.deaths, big.overflow) == (None, "deaths")
-    assert [r.reject_reason for r in rej.collect()] == ["no year"]
-    assert rep.first().overflow_rows == 1
+    lines = [_tsv_line(Year="NA"), _tsv_line(Country="NA", **{"Location Name": "None"}), _tsv_line(Deaths="99999999999"), _tsv_line(Deaths="2147483649"),
+             _tsv_line(Deaths="9e9", Country='"NA"'), _tsv_line(Year='"NA"')]
+    frame = spark.createDataFrame([(x,) for x in lines], "line string")
+    ev, rej, rep = TSV.parse_tsunami_lines(frame)
+    assert [(r.country, r.location_name, r.deaths, r.overflow) for r in ev.orderBy("deaths").collect()] == [(None, "SUMATRA", None, None), (None, None, 227899, None)]
+    reasons = {r.line: r.reject_reason for r in rej.collect()}
+    too_big = "value does not fit its column: deaths"
+    assert reasons == {lines[0]: "no year", lines[2]: too_big, lines[3]: too_big, lines[5]: "no year"}
+    assert (rep.first().overflow_rows, rep.first().records_built) == (2, 2)
+    ev, rej, rep = TSV.parse_tsunami_lines(frame, reject_overflow=False)  # on request: null, and named
+    assert sorted((r.deaths, r.overflow) for r in ev.collect() if r.overflow) == [(None, "deaths")] * 2
+
+
+def _written(folder, **files):
+    for name, lines in files.items():
+        with open(os.path.join(folder, f"{name}.tsv"), "w") as f:
+            f.write("\n".join(lines) + "\n")
+    return folder
+
+
+def test_tsunami_quoted_cells(spark, tmpdir_path):
+    """Tabs, quotes and line breaks in quoted cells, quoted headers, short and empty lines."""
+    header = "\t".join(f'"{h}"' if k % 3 == 0 else h for k, (h, _, _) in enumerate(TSV.FIELDS))
+    good = [_tsv_line(Deaths="1", **{"Location Name": '"KII\tOWASE"'}), _tsv_line(Deaths="2", **{"Location Name": '"SO ""CALLED"" BAY"'}),
+            _tsv_line(Deaths="3", **{"Location Name": '"NORTH\nSOUTH"', "Year": '"1999"'}), _tsv_line(Deaths="4", Country='MID"DLE'),
+            "\t".join(_tsv_line(Deaths="5").split("\t")[:20])]
+    bad = [_tsv_line() + "\tmore", _tsv_line(**{"Location Name": '"A\tB"'}) + "\t", _tsv_line(Year='"[""Year >= 1970""]"'), _tsv_line(Latitude="91", Country='"X\tY"')]
+    path = _written(tmpdir_path, one=[header, *good, "", *bad])
+    ev, rej, rep = TSV.read_tsunami_tsv(spark, path)
+    got = {r.deaths: r for r in ev.collect()}
+    assert [got[k].location_name for k in (1, 2, 3)] == ["KII\tOWASE", 'SO "CALLED" BAY', "NORTH\nSOUTH"]
+    assert got[3].year == 1999 and got[4].country == 'MID"DLE' and got[5].total_deaths is None and len(got) == 5
+    assert sorted(r.reject_reason for r in rej.collect()) == ["no coordinates", "no year", "too many cells", "too many cells"]
+    assert {r.line for r in rej.filter("reject_reason = 'too many cells'").collect()} == set(bad[:2])
+    r = rep.first()
+    assert (r.rows_loaded, r.rows_after_cleaning, r.records_built) == (7, 6, 5)
+    lines = spark.createDataFrame([(x,) for x in good + bad], "line string")
+    ev2, rej2, _ = TSV.parse_tsunami_lines(lines)
+    assert sorted(map(str, ev2.drop("id").collect())) == sorted(map(str, ev.drop("id").collect())) and rej2.count() == 4
+
+
+def test_tsunami_header_of_each_file(spark, tmpdir_path):
+    """Files of other column orders are read by their own headers, or fail the read."""
+    turned = lambda line: "\t".join(reversed(line.split("\t")))
+    path = _written(tmpdir_path, a=[TSV.HEADER, _tsv_line(Deaths="1")], b=[turned(TSV.HEADER), turned(_tsv_line(Deaths="2"))], c=[TSV.HEADER, _tsv_line(Deaths="3")])
+    ev, rej, _ = TSV.read_tsunami_tsv(spark, path, header_per_file=True)
+    assert sorted((r.deaths, r.country, r.year) for r in ev.collect()) == [(k, "INDONESIA", 2004) for k in (1, 2, 3)] and rej.count() == 0
+    with pytest.raises(Exception, match="(?i)header"):
+        TSV.read_tsunami_tsv(spark, path)[0].collect()
 
 
 def test_tsunami_rows_that_do_not_fit_are_rejected_whole(spark):
     lines = [_tsv_line(), _tsv_line(Deaths="99999999999"), _tsv_line(Country="X" * 101, Sec="123456.7"), _tsv_line(Latitude="91", Deaths="99999999999")]
-    ev, rej, rep = TSV.parse_tsunami_lines(spark.createDataFrame([(x,) for x in lines], "line string"), reject_overflow=True)
+    ev, rej, rep = TSV.parse_tsunami_lines(spark.createDataFrame([(x,) for x in lines], "line string"))
     assert [(r.deaths, r.overflow) for r in ev.collect()] == [(227899, None)]
     reason = "value does not fit its column: "
     assert {(r.line, r.reject_reason) for r in rej.collect()} == {(lines[1], reason + "deaths"), (lines[2], reason + "second,country"), (lines[3], "no coordinates")}
@@ -90,15 +133,15 @@ def test_tsunami_tsv(spark, tmpdir_path):
         _tsv_line(Deaths="5.0"),                              # not an integer -> null
         _tsv_line() + "\textra",                              # too many cells: skipped
         _tsv_line(Latitude="91"),                             # out of range: no coordinates
-        _tsv_line(**{"Earthquake Magnitude": "12345.6"}),     # overflow -> null, reported
-        _tsv_line(Country="X" * 101),                         # too long -> null, reported
+        _tsv_line(**{"Earthquake Magnitude": "12345.6"}),     # overflow: rejected whole
+        _tsv_line(Country="X" * 101),                         # too long: rejected whole
     ]
     path = os.path.join(tmpdir_path, "ts.tsv")
     with open(path, "w") as f:
         f.write("\n".join(lines) + "\n")
     ev, rej, rep = TSV.read_tsunami_tsv(spark, path)
     rows = ev.orderBy("year", "month", "deaths").collect()
-    assert len(rows) == 8
+    assert len(rows) == 6
     bc = [r for r in rows if r.year == -1250][0]
     assert bc.event_datetime is None and bc.month is None
     feb = [r for r in rows if r.month == 2][0]
@@ -109,12 +152,12 @@ def test_tsunami_tsv(spark, tmpdir_path):
     assert m13.event_datetime.month == 12
     assert m13.country == '"PERU"'   # quotes are stripped before spaces, as the importer does
     assert any(r.deaths is None for r in rows)
-    over = [r for r in rows if r.overflow]
-    assert sorted(r.overflow for r in over) == ["country", "earthquake_magnitude"]
+    assert all(r.overflow is None for r in rows)
     assert all(r.location_name == "SUMATRA" for r in rows)
     assert float(rows[-1].latitude) == 3.316 and rows[-1].lat_d == 3.316
     r = rep.first()
-    assert (r.rows_loaded, r.rows_after_cleaning, r.records_built, r.skipped_no_coords, r.bc_events) \
-        == (11, 9, 8, 1, 1)
+    assert (r.rows_loaded, r.rows_after_cleaning, r.records_built, r.skipped_no_coords, r.bc_events, r.overflow_rows) \
+        == (11, 9, 6, 1, 1, 2)
     assert sorted(x.reject_reason for x in rej.collect()) == \
-        ["no coordinates", "no year", "no year", "too many cells"]
+        ["no coordinates", "no year", "no year", "too many cells",
+         "value does not fit its column: country", "value does not fit its column: earthquake_magnitude"]
