@@ -46,8 +46,29 @@ def _conf_int(spark, key: str, default: int) -> int:
 # ------------------------------------------------------------------ sites
 
 def valid_sites(sites: DataFrame) -> DataFrame:
+    """Sites that can be searched; :func:`rejected_sites` has the others."""
     return sites.filter(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
-                        & (F.col("radius_m") > 0))
+                        & (F.col("radius_m") > 0) & ~F.isnan("radius_m"))
+
+
+def _site_fault():
+    """Why a site can't be searched (null: it can)."""
+    def out(c: str, bound: int, title: str):
+        return F.when(F.col(c).isNull() | ~F.col(c).between(-bound, bound), F.concat(F.lit(f"{title} out of range: "), F.coalesce(F.col(c).cast("string"), F.lit("null"))))
+
+    radius = F.when(F.col("radius_m").isNull() | ~(F.col("radius_m") > 0) | F.isnan("radius_m"), F.concat(F.lit("Radius must be positive: "), F.coalesce(F.col("radius_m").cast("string"), F.lit("null"))))
+    return F.coalesce(out("lat", 90, "Latitude"), out("lon", 180, "Longitude"), radius)
+
+
+def rejected_sites(sites: DataFrame) -> DataFrame:
+    """The sites that the searches and counts leave out, with ``reject_reason``."""
+    return sites.withColumn("reject_reason", _site_fault()).filter(F.col("reject_reason").isNotNull())
+
+
+def checked_sites(sites: DataFrame) -> DataFrame:
+    """``sites`` for a strict search: reading a row that can't be searched raises its reason."""
+    fault = _site_fault()
+    return sites.withColumn("lat", F.when(fault.isNotNull(), F.raise_error(fault).cast("double")).otherwise(F.col("lat")))
 
 
 def search_args(sites: DataFrame, kind: str = "cyclone") -> tuple[DataFrame, DataFrame]:

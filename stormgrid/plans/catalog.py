@@ -523,5 +523,40 @@ def q_return_levels(i: Inputs) -> DataFrame:
     return RK.return_levels(RK.gev_fit(_maxima(i)))
 
 
+@register("rejected_sites", O.REJECTED_SITES)
+def q_rejected_sites(i: Inputs) -> DataFrame:
+    """Requests derived from all customers, some of them with bad arguments: those that no search answers."""
+    k = F.col("site_id")
+    asked = i.sites.select("site_id", F.when(k % 11 == 0, F.col("lat") + 200).when(k % 13 != 0, F.col("lat")).alias("lat"),
+                           F.when(k % 17 == 0, F.col("lon") - 400).otherwise(F.col("lon")).alias("lon"),
+                           F.when(k % 19 == 0, -F.col("radius_m")).otherwise(F.col("radius_m")).alias("radius_m"))
+    return S.rejected_sites(asked).select("site_id", F.regexp_extract("reject_reason", "^[^:]*", 0).alias("reject_reason"))
+
+
+def _given_fits(i: Inputs) -> DataFrame:
+    """Parameters by site number, in place of a fit: what follows a fit can then be checked."""
+    c = F.col("c_custkey")
+    given = i.customer().select(c.alias("site_id"), ((c % 7 - 3) * F.lit(0.05)).alias("shape"), (F.lit(40.0) + c % 23).alias("loc"), (F.lit(5.0) + c % 11).alias("scale"))
+    return given.select("*", RK.return_level(0.98).alias("w50"), RK.return_level(0.99).alias("w100"), F.lit(False).alias("gev_fallback"), F.lit("gev").alias("fit_method"))
+
+
+@register("return_levels_given", O.RETURN_LEVELS_GIVEN)
+def q_return_levels_given(i: Inputs) -> DataFrame:
+    return RK.return_levels(_given_fits(i))
+
+
+@register("fitted_pdf_given", O.FITTED_PDF_GIVEN)
+def q_fitted_pdf_given(i: Inputs) -> DataFrame:
+    return RK.fitted_pdf(_maxima(i), _given_fits(i))
+
+
+@register("wind_analysis_given", O.WIND_ANALYSIS_GIVEN)
+def q_wind_analysis_given(i: Inputs) -> DataFrame:
+    """The scalar columns of the analysis from given parameters (histogram and curve have keys of their own)."""
+    r = RK.wind_analysis_given(i.obs, i.sites, _given_fits(i))
+    return r.select("site_id", "sample_count", "storm_count", "insufficient_data", "message", "wind_mean", "wind_std", "wind_min", "wind_max", "wind_median",
+                    F.col("gev_params.shape").alias("shape"), F.col("return_levels.w50").alias("w50"), F.col("return_levels.w100").alias("w100"), "distance_km")
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: (lambda spark, sf_dir, _f=f: _f(Inputs(spark, sf_dir))) for k, f in QUERIES.items()}

@@ -349,14 +349,17 @@ from ({VALID_SITES}) s left join (select site_id, count(*) as n from ({obs_dista
 
 BLOCK_MAXIMA = with_storms(MAXIMA_CTE + "select * from maxima")
 
-SAMPLE_STATS = with_storms(MAXIMA_CTE + """
-select site_id, count(*) as sample_count,
-       round_even(avg(cast(max_wind as double)), 1) as wind_mean,
-       round_even(stddev_pop(cast(max_wind as double)), 1) as wind_std,
-       round_even(min(cast(max_wind as double)), 1) as wind_min,
-       round_even(max(cast(max_wind as double)), 1) as wind_max,
-       round_even(quantile_cont(cast(max_wind as double), 0.5), 1) as wind_median
-from maxima group by site_id""")
+def binary_round(x: str, digits: int) -> str:
+    """Rounding of the exact binary value: correctly rounded text, read back."""
+    return f"cast(printf('%.{digits}f', cast({x} as double)) as double)"
+
+
+SAMPLE_STATS_SEL = f"""
+select site_id, count(*) as sample_count, {binary_round("avg(cast(max_wind as double))", 1)} as wind_mean,
+       {binary_round("stddev_pop(cast(max_wind as double))", 1)} as wind_std, {binary_round("min(max_wind)", 1)} as wind_min,
+       {binary_round("max(max_wind)", 1)} as wind_max, {binary_round("quantile_cont(cast(max_wind as double), 0.5)", 1)} as wind_median
+from maxima group by site_id"""
+SAMPLE_STATS = with_storms(MAXIMA_CTE + SAMPLE_STATS_SEL)
 
 WIND_PERCENTILES = with_storms(MAXIMA_CTE + """
 select site_id, quantile_cont(cast(max_wind as double), cast(0.98 as double)) as p98,
@@ -372,7 +375,7 @@ rng as (
 edges as (
   select site_id, b as bin, lo + b * ((hi - lo) / 25) as e0, lo + (b + 1) * ((hi - lo) / 25) as e1, hi
   from rng, (select unnest(generate_series(0, 24)) as b) g)
-select e.site_id, e.bin, round_even((e.e0 + e.e1) / 2, 1) as bin_center,
+select e.site_id, e.bin, """ + binary_round("(e.e0 + e.e1) / 2", 1) + """ as bin_center,
        (select count(*) from maxima m where m.site_id = e.site_id
           and cast(m.max_wind as double) >= e.e0
           and (cast(m.max_wind as double) < e.e1 or (e.bin = 24 and cast(m.max_wind as double) <= e.hi))
@@ -380,6 +383,56 @@ select e.site_id, e.bin, round_even((e.e0 + e.e1) / 2, 1) as bin_center,
 from edges e""")
 
 
+REJECTED_SITES = VIEWS + """
+select site_id, case when site_id % 11 = 0 or site_id % 13 = 0 then 'Latitude out of range' when site_id % 17 = 0 then 'Longitude out of range'
+                     else 'Radius must be positive' end as reject_reason
+from sites where site_id % 11 = 0 or site_id % 13 = 0 or site_id % 17 = 0 or site_id % 19 = 0"""
+
+# Given parameters: no fit, so everything after it can be checked.
+GIVEN_FITS = """
+given as (
+  select c_custkey as site_id, (c_custkey % 7 - 3) * 0.05e0 as shape, 40e0 + c_custkey % 23 as loc, 5e0 + c_custkey % 11 as scale
+  from customer),
+levels as (
+  select *, case when shape = 0 then loc - scale * ln(-ln(0.98e0)) else loc + scale * (1 - pow(-ln(0.98e0), shape)) / shape end as w50,
+         case when shape = 0 then loc - scale * ln(-ln(0.99e0)) else loc + scale * (1 - pow(-ln(0.99e0), shape)) / shape end as w100
+  from given)"""
+
+RETURN_LEVELS_GIVEN = f"""with {GIVEN_FITS}
+select site_id, 'gev' as fit_method, {binary_round("w50", 1)} as w50, {binary_round("w100", 1)} as w100 from levels"""
+
+PDF_CTE = f"""
+ends as (
+  select site_id, count(*) as n, cast(min(max_wind) as double) as mn, cast(max(max_wind) as double) as mx,
+         case when min(max_wind) = max(max_wind) then 1e0 / 25 else (cast(max(max_wind) as double) - min(max_wind)) / 25 end as width
+  from maxima group by site_id),
+grid as (
+  select e.*, g.i, case when g.i = 299 then mx * 1.15e0 else greatest(0e0, mn - width) + g.i * ((mx * 1.15e0 - greatest(0e0, mn - width)) / 299) end as x
+  from ends e, (select unnest(generate_series(0, 299)) as i) g),
+curve as (
+  select *, case when shape = 0 then exp(-(x - loc) / scale - exp(-(x - loc) / scale)) / scale
+                 when 1 - shape * (x - loc) / scale > 0
+                 then pow(1 - shape * ((x - loc) / scale), 1 / shape - 1) * exp(-pow(1 - shape * ((x - loc) / scale), 1 / shape)) / scale else 0 end as density
+  from grid join levels using (site_id))"""
+
+FITTED_PDF_GIVEN = with_storms(MAXIMA_CTE + "," + GIVEN_FITS + "," + PDF_CTE + f"""
+select site_id, i, {binary_round("x", 1)} as x, {binary_round("density * width * n", 2)} as y from curve""")
+
+WIND_ANALYSIS_GIVEN = with_storms(MAXIMA_CTE + "," + GIVEN_FITS + f""",
+stats as ({SAMPLE_STATS_SEL}),
+found as (select site_id, count(*) as storm_count from hits group by site_id),
+r as (select s.site_id, s.radius_m, coalesce(f.storm_count, 0) as sc, coalesce(t.sample_count, 0) as n, t.*  exclude (site_id, sample_count), g.* exclude (site_id)
+      from ({VALID_SITES}) s left join found f using (site_id) left join stats t using (site_id) left join levels g using (site_id))
+select site_id, n as sample_count, sc as storm_count, sc = 0 or n < 5 as insufficient_data,
+       case when sc = 0 then 'No storms pass within this radius — try a larger search radius.'
+            when n < 5 then 'Only ' || n || ' storms have wind data inside the radius — need ≥5 for a reliable GEV fit.' end as message,
+       case when n >= 5 then wind_mean end as wind_mean, case when n >= 5 then wind_std end as wind_std, case when n >= 5 then wind_min end as wind_min,
+       case when n >= 5 then wind_max end as wind_max, case when n >= 5 then wind_median end as wind_median,
+       case when n >= 5 then {binary_round("shape", 4)} end as shape, case when n >= 5 then {binary_round("w50", 1)} end as w50,
+       case when n >= 5 then {binary_round("w100", 1)} end as w100, cast(floor(radius_m / 1000) as bigint) as distance_km
+from r""")
+
+
 # ------------------------------------------------------------------ ingest
 
 def _tokens_sql() -> str:
