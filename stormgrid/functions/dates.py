@@ -56,3 +56,11 @@ def tsunami_date(year, month, day) -> Column:
 def iso_date(ts) -> Column:
     """UTC calendar date of a timestamp as YYYY-MM-DD."""
     return F.date_format(_c(ts), "yyyy-MM-dd")
+
+
+def iso_text(ts) -> Column:
+    """ISO text of a timestamp as Python writes it: microseconds only where there are any; null -> ''."""
+    t = _c(ts)
+    micros = F.date_format(t, "SSSSSS")
+    text = F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros)))
+    return F.coalesce(text, F.lit(""))

@@ -24,6 +24,7 @@ from ..operators import search as S
 from ..operators import stats as ST
 from ..operators import tracks as T
 from ..functions import classify as CL
+from ..functions import dates as D
 from ..sources import best_track as BT
 from ..sources import export as EX
 from ..sources import tables as TB
@@ -523,6 +524,19 @@ def q_return_levels(i: Inputs) -> DataFrame:
     return RK.return_levels(RK.gev_fit(_maxima(i)))
 
 
+@register("track_iso_times", O.TRACK_ISO_TIMES)
+def q_track_iso_times(i: Inputs) -> DataFrame:
+    """Start and end of every track as the API writes them."""
+    return i.tracks.select("sid", D.iso_text("start_time").alias("start_date"), D.iso_text("end_time").alias("end_date"))
+
+
+@register("wind_level_classes", O.WIND_LEVEL_CLASSES)
+def q_wind_level_classes(i: Inputs) -> DataFrame:
+    """Short classes of each site's mean and strongest wind."""
+    stats = RK.sample_stats(_maxima(i))
+    return stats.select("site_id", CL.saffir_simpson_short("wind_mean").alias("mean_class"), CL.saffir_simpson_short("wind_max").alias("max_class"))
+
+
 @register("rejected_sites", O.REJECTED_SITES)
 def q_rejected_sites(i: Inputs) -> DataFrame:
     """Requests derived from all customers, some of them with bad arguments: those that no search answers."""

@@ -383,6 +383,21 @@ select e.site_id, e.bin, """ + binary_round("(e.e0 + e.e1) / 2", 1) + """ as bin
 from edges e""")
 
 
+def _iso(ts: str) -> str:
+    return f"coalesce(strftime({ts}, '%Y-%m-%dT%H:%M:%S') || case when microsecond({ts}) % 1000000 = 0 then '' else strftime({ts}, '.%f') end, '')"
+
+
+TRACK_ISO_TIMES = VIEWS + f", tracks as ({TRACKS})\nselect sid, {_iso('start_time')} as start_date, {_iso('end_time')} as end_date from tracks"
+
+
+def _short_class(x: str) -> str:
+    return (f"case when {x} < 34 then 'TD' when {x} < 64 then 'TS' when {x} < 83 then 'Cat 1' when {x} < 96 then 'Cat 2'"
+            f" when {x} < 113 then 'Cat 3' when {x} < 137 then 'Cat 4' else 'Cat 5' end")
+
+
+WIND_LEVEL_CLASSES = with_storms(MAXIMA_CTE + f", stats as ({SAMPLE_STATS_SEL})\n"
+                                 f"select site_id, {_short_class('wind_mean')} as mean_class, {_short_class('wind_max')} as max_class from stats")
+
 REJECTED_SITES = VIEWS + """
 select site_id, case when site_id % 11 = 0 or site_id % 13 = 0 then 'Latitude out of range' when site_id % 17 = 0 then 'Longitude out of range'
                      else 'Radius must be positive' end as reject_reason

@@ -1,5 +1,7 @@
 """Class boundaries, labels and date formats (golden cases)."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +73,10 @@ def test_event_datetime(spark, parts, expected):
     df = spark.createDataFrame([parts], "y int, mo int, d int, h int, mi int, s double")
     v = df.select(D.event_datetime("y", "mo", "d", "h", "mi", "s").alias("t")).first().t
     assert (v.strftime("%Y-%m-%d %H:%M:%S") if v else None) == expected
+
+
+def test_iso_text(spark):
+    """As Python's isoformat, with microseconds only where there are any."""
+    times = [dt.datetime(2004, 12, 26, 0, 58, 53), dt.datetime(1842, 10, 25, 6), dt.datetime(2001, 2, 3, 4, 5, 6, 70), None]
+    frame = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz").select("t", D.iso_text("t").alias("s"))
+    assert all(r.s == (r.t.isoformat() if r.t else "") for r in frame.collect())
