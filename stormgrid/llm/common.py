@@ -81,3 +81,14 @@ def chunks_by_size(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         total += s
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be no column of ``df`` (case ignored)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, stored
+from .common import fresh_names, salted_join, stored
 
 #: Characters of the second step's hash.
 PREFIX_CHARS = 64
@@ -59,6 +59,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", has
 
 def keep_unique(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that an equal text of a larger ``doc_id`` replaces (all columns stay)."""
+    gone_id, gone_hash = fresh_names(docs, "_gone", "_gone_sha256")
     gone = (exact_dedup(docs, doc_id, text, hash_all=True).filter(~F.col("kept"))
-            .select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha256")).distinct())
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")) & (F.sha2(_text(text), 256) == F.col("_gone_sha256")), "left_anti")
+            .select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_hash)).distinct())
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col(gone_id)) & (F.sha2(_text(text), 256) == F.col(gone_hash)), "left_anti")

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks_by_size, map_batches, partitions, stored, table_join
+from .common import chunks_by_size, fresh_names, map_batches, partitions, stored, table_join
 from .recompression import fingerprints
 from .suffix_dedup import _mixed
 
@@ -342,6 +342,7 @@ def _near_sizes(a: str, b: str, percent: int):
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group; all columns stay."""
+    gone_id, gone_key = fresh_names(docs, "_gone", "_gone_key")
     gone = (_decided(docs, doc_id, text, words, percent, True).filter(~F.col("kept"))
-            .select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct())
-    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_gone")) & (_row_key(doc_id, text) == F.col("_gone_key")), "left_anti")
+            .select(F.col("doc_id").alias(gone_id), F.col("key").alias(gone_key)).distinct())
+    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col(gone_id)) & (_row_key(doc_id, text) == F.col(gone_key)), "left_anti")
