@@ -203,9 +203,9 @@ def _by_window(a, b, key, order, at, *more):
     return (a, b, key, order, at, *more), (order > order[start]) | (at > at[start])
 
 
-def solve(parts: list[bytes], more: list[bytes], n: int) -> list:
+def solve(parts: list[bytes], n: int) -> list:
     """All windows of a bucket but the first of each name."""
-    (_, _, key, _, at), later = _by_window(*from_steps(parts + more))
+    (_, _, key, _, at), later = _by_window(*from_steps(parts))
     return spans(key[later], at[later], 0, n)
 
 

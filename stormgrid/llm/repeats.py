@@ -10,19 +10,23 @@ marks at equal places. The job has five steps, all keyed by hashes:
 4. ``solve``    a bucket finds the repeated windows and returns them to their documents;
 5. ``finish``   documents drop what repeated windows cover.
 
-Marks and details travel as a few packed rows for each bucket and batch. What a batch can
+Marks and details travel as a packed row for each bucket and batch. What a batch can
 settle by itself (all but the first of equal details) doesn't travel at all. Windows over the
 edge of a very common passage differ from document to document and can't be settled so:
 step 2 counts each name's documents and tells all homes the names of ``HOT_DOCUMENTS`` or
-more, and the windows at these go to buckets by their own names, not by their mark's, so that
-no mark fills a bucket. Buckets are twice the shuffle partitions and grow with them. The
-documents' texts are shuffled once; steps 3 and 5 read the same exchange.
+more, and the windows at these go to buckets by their own content, not by their mark's
+name, so that no mark fills a bucket. A hot name also has a document for every ``2 ** HOT_SHIFT``
+bytes of all texts, which bounds the names that homes are told. Buckets are the square root of the text's bytes over
+``ROW_BYTES``, whatever the cluster's partitions: a step makes one row at most for every pair
+of a home and a bucket, so its rows grow in proportion to the text, and a bucket with the square
+root of it. The documents' texts are shuffled once; steps 3 and 5 read the same exchange.
 
 A row is known by the hash of its id and text; rows that repeat both share their result.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Callable, Iterator
 
@@ -33,16 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks_by_size, partitions
+from .common import chunks_by_size
 
-BUCKETS_A_PARTITION = 2
+#: Bytes of text for each packed row of a step at most.
+ROW_BYTES = 4096
 #: Bytes of text that numpy works on at a time.
 CHUNK_BYTES = 1 << 20
 PACKED = "dest int, kind int, data binary"
 #: Marks that a task gathers before it sends them.
 BATCH_MARKS = 400_000
-#: Documents of a mark from which on its windows are dealt by their own names.
-HOT_DOCUMENTS = 4000
+#: Documents of a mark from which on its windows are dealt by their own content.
+HOT_DOCUMENTS, HOT_SHIFT = 4000, 24
 #: Names travel as 48 bits: a chance match only sends details that nothing equals.
 _SIX = np.uint64((1 << 48) - 1)
 #: Order of a null id: before all others.
@@ -86,6 +91,15 @@ def deal(dest: np.ndarray, kind: int, *columns: np.ndarray) -> list[tuple[int, i
     return [(int(at[lo]), kind, pack(*(c[order[lo:hi]] for c in columns))) for lo, hi in zip([0, *cut], [*cut, len(at)])]
 
 
+def text_bytes(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(text))).alias("size")).first()["size"] or 0
+
+
+def buckets_for(size: int) -> int:
+    """Buckets of a table, from the bytes of its texts alone."""
+    return max(1, math.isqrt(size // ROW_BYTES))
+
+
 def bucket_of(names: np.ndarray, n: int) -> np.ndarray:
     return (names.astype(np.uint64) % np.uint64(n)).astype(np.int64)
 
@@ -136,19 +150,20 @@ def repeated(docs: DataFrame, doc_id: str, text: str,
              marks: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]],
              details: Callable[[np.ndarray, np.ndarray, list[bytes], Callable[[np.ndarray, np.ndarray], np.ndarray],
                                 Callable[[np.ndarray], np.ndarray], int], list],
-             solve: Callable[[list[bytes], list[bytes], int], list],
+             solve: Callable[[list[bytes], int], list],
              finish: Callable[[list, list[bytes], list[tuple[np.ndarray, np.ndarray]]], list[pa.Array]],
-             schema: str, carry: list[str] | None = None) -> DataFrame:
+             schema: str, carry: list[str] | None = None, within: bool = True) -> DataFrame:
     """Run the five steps; ``finish`` gives the columns of ``schema`` for a list of documents.
 
     ``marks(texts)``: names and document numbers. ``details(keys, orders, texts, is_shared, is_hot, n)``:
-    packed rows, kinds 0 and 2 for buckets and kind 1 for documents. ``solve(parts, more, n)``, of
-    kinds 0 and 2: packed rows of (key, first, last) for documents. ``finish(ids, texts, spans)``.
-    The columns named in ``carry`` come along in a last column, the struct ``rest``.
+    packed rows, kind 0 for buckets and kind 1 for documents. ``solve(parts, n)``, of kind 0: packed
+    rows of (key, first, last) for documents. ``finish(ids, texts, spans)``. The columns named in
+    ``carry`` come along in a last column, the struct ``rest``. Without ``within``, a name that one
+    document alone has several times isn't shared.
     """
-    spark = docs.sparkSession
-    hot_from = HOT_DOCUMENTS
-    n = partitions(spark) * BUCKETS_A_PARTITION
+    size = text_bytes(docs, text)
+    hot_from = max(HOT_DOCUMENTS, size >> HOT_SHIFT)
+    n = buckets_for(size)
     body = F.coalesce(F.col(text), F.lit(""))
     own = docs.select(F.col(doc_id).cast("long").alias("id"), body.cast("binary").alias("text"),
                       F.xxhash64(F.col(doc_id).cast("long"), body).alias("key"),
@@ -164,7 +179,7 @@ def repeated(docs: DataFrame, doc_id: str, text: str,
             # one entry for each name and document; names seen in several documents here are shared already
             names, number, twice = _distinct(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
             first = np.r_[True, names[1:] != names[:-1]] if len(names) else np.zeros(0, bool)
-            many = twice | _several(names)
+            many = (twice & within) | _several(names)
             sent = np.array(keys, np.int64)[number]
             count = np.diff(np.r_[np.flatnonzero(first), len(names)])
             at = np.argsort(number[first], kind="stable")  # by document: its key repeats in a row
@@ -210,29 +225,13 @@ def repeated(docs: DataFrame, doc_id: str, text: str,
         (hot,) = merged([p for k, p in zip(kinds, parts) if k == 2], "<u8")
         if not len(keys):
             return rows([])
-        order = np.lexsort((names, keys))
-        keys, names = keys[order], names[order]
-        bounds, edge = np.unique(keys, return_index=True)
-        edge = np.r_[edge, len(keys)]
+        is_shared = _lookup(keys, names)
         mine = left.column("key").to_numpy()
-        at = np.searchsorted(bounds, mine)
-        known = np.flatnonzero((at < len(bounds)) & (bounds[np.minimum(at, len(bounds) - 1)] == mine))
+        known = np.flatnonzero(np.isin(mine, keys))
         _, unique = np.unique(mine[known], return_index=True)
         left = left.take(known[np.sort(unique)])
         orders = np.array([FIRST_ID if i is None else i for i in left.column("id").to_pylist()], np.int64)
 
-        def is_shared(key: np.ndarray, name: np.ndarray) -> np.ndarray:
-            """For marks (document key, name), whether the name is shared."""
-            out, wanted = np.zeros(len(key), bool), name & _SIX
-            cut = np.flatnonzero(np.diff(key)) + 1
-            for lo, hi in zip([0, *cut], [*cut, len(key)]):
-                i = np.searchsorted(bounds, key[lo]) if hi > lo else 0
-                if hi > lo and i < len(bounds) and bounds[i] == key[lo]:
-                    have = names[edge[i]:edge[i + 1]]
-                    j = np.minimum(np.searchsorted(have, wanted[lo:hi]), len(have) - 1)
-                    out[lo:hi] = have[j] == wanted[lo:hi]
-            return out
-
         def is_hot(name: np.ndarray) -> np.ndarray:
             return np.isin(name & _SIX, hot)
 
@@ -241,7 +240,7 @@ def repeated(docs: DataFrame, doc_id: str, text: str,
     def step_solve(t: pa.Table) -> pa.Table:
         kinds, parts = t.column("kind").to_pylist(), t.column("data").to_pylist()
         out = [(d, 0, p) for d, k, p in zip(t.column("dest").to_pylist(), kinds, parts) if k == 1]
-        return rows(out + solve(*([p for k, p in zip(kinds, parts) if k == own_kind] for own_kind in (0, 2)), n))
+        return rows(out + solve([p for k, p in zip(kinds, parts) if k == 0], n))
 
     out_type = T.StructType(list(T.StructType.fromDDL(schema)) + ([own.schema["rest"]] if carry else []))
 
@@ -265,6 +264,29 @@ def repeated(docs: DataFrame, doc_id: str, text: str,
     return at_home.groupBy("dest").cogroup(solved.groupBy("dest")).applyInArrow(step_finish, out_type)
 
 
+def _lookup(keys: np.ndarray, names: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether marks (document key, name), a document's side by side, are among the given ones."""
+    order = np.lexsort((names, keys))
+    keys, names = keys[order], names[order]
+    bounds, edge = np.unique(keys, return_index=True)
+    edge = np.r_[edge, len(keys)]
+
+    def among(key: np.ndarray, name: np.ndarray) -> np.ndarray:
+        out, wanted = np.zeros(len(key), bool), name & _SIX
+        if not len(bounds) or not len(key):
+            return out
+        cut = np.flatnonzero(np.diff(key)) + 1
+        for lo, hi in zip([0, *cut], [*cut, len(key)]):
+            i = np.searchsorted(bounds, key[lo])
+            if i < len(bounds) and bounds[i] == key[lo]:
+                have = names[edge[i]:edge[i + 1]]
+                j = np.minimum(np.searchsorted(have, wanted[lo:hi]), len(have) - 1)
+                out[lo:hi] = have[j] == wanted[lo:hi]
+        return out
+
+    return among
+
+
 def _six(names: np.ndarray) -> np.ndarray:
     """The low 48 bits of names, as bytes."""
     return np.ascontiguousarray(names.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]

@@ -10,9 +10,10 @@ each mark's name before them, form one string; its suffix array, built by groupi
 suffixes by their Lyndon prefix (:mod:`suffix_array`), puts marks with equal bytes to the
 right side by side. The common prefixes of neighbours give, for each offset of a mark in
 its string, the classes of equal right parts, which the bytes on the left divide further.
-The smallest document of each class stays. Strings at hot marks are compared by 96 bits of
-all their bytes instead, in the buckets of these names, so that a mark's strings are divided
-before they meet.
+The smallest document of each class stays; a string is removed only if its bytes equal those
+of its class's first one. Of a hot mark, each string travels by itself to a bucket of its own
+content and is settled there in the same way, so that a mark's strings are divided before they
+meet. Equal right parts of a mark enter the suffix array once.
 
 Defined results: a null text is the empty text; a null id is smaller than all others; rows
 that repeat a ``doc_id`` never make each other's strings repeated; repeated rows share
@@ -29,19 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import CHUNK_BYTES, batches_of, bucket_of, deal, from_steps, home_of, in_steps, merged, repeated, spans
+from .repeats import CHUNK_BYTES, batches_of, bucket_of, deal, home_of, merged, repeated
 from .suffix_array import lyndon_suffix_array
 
 WINDOW, GRAM = 50, 18
 SIDE = WINDOW - GRAM  # bytes of a string on either side of its mark at most
 WIDE = SIDE + WINDOW  # bytes that all strings around a mark span
-#: Entries of whole marks whose suffixes are sorted together (more if one mark, of fewer than
-#: ``HOT_DOCUMENTS`` documents, has more).
+#: Entries of whole marks whose suffixes are sorted together (more if one mark's entries in a bucket are more).
 SORTED = 20_000
 
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACE = _RNG.integers(1, 1 << 63, (2, WINDOW), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _C = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4, 8)]
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64((1 << 24) - 1)
@@ -131,64 +130,53 @@ def details(keys: np.ndarray, orders: np.ndarray, texts: list[bytes], is_shared,
         return []
     name, key, order, first, left, least, wide = (np.concatenate(c) for c in cols)
     hot = is_hot(name)
-    found = _hot_strings(*(c[hot] for c in (key, order, first, left, least, wide)), n) if hot.any() else []
-    name, key, order, first, left, least, wide = (c[~hot] for c in (name, key, order, first, left, least, wide))
-    if not len(name):
-        return found
+    entries = name, key, order, first, left, least, wide
+    split = _strings(*(c[hot] for c in entries))
+    name, key, order, first, left, least, wide = (np.concatenate([c[~hot], d]) for c, d in zip(entries, split))
+    whole = np.arange(len(name)) < len(hot) - hot.sum()  # entries of marks that aren't hot
     code = np.concatenate([wide[lo:lo + SORTED].astype(np.uint64) @ _BYTE[:WIDE] for lo in range(0, len(wide), SORTED)])
     code = _mixed(code + left * _BYTE[100] + least * _BYTE[101])
+    dest = bucket_of(np.where(whole, name, code), n)
     by = np.lexsort((order, code, name))
-    name, key, order, first, left, least, wide = (c[by] for c in (name, key, order, first, left, least, wide))
-    code = code[by]
+    name, key, order, first, left, least, wide, code, dest = (c[by] for c in (name, key, order, first, left, least, wide, code, dest))
     new = np.ones(len(name), bool)
     new[1:] = (name[1:] != name[:-1]) | (code[1:] != code[:-1]) | (left[1:] != left[:-1]) | (least[1:] != least[:-1]) | (wide[1:] != wide[:-1]).any(1)
     group = np.cumsum(new) - 1
     later = order > order[np.flatnonzero(new)][group]
     sent = ~later
-    out = deal(bucket_of(name[sent], n), 0, key[sent], order[sent], first[sent], left[sent], least[sent], wide[sent])
+    out = deal(dest[sent], 0, key[sent], order[sent], first[sent], left[sent], least[sent], wide[sent])
     count = left.astype(np.int64) - least
-    return found + out + deal(home_of(key[later], n), 1, key[later], first[later], first[later] + count[later])
+    return out + deal(home_of(key[later], n), 1, key[later], first[later], first[later] + count[later])
 
 
-def _hot_strings(key, order, first, left, least, wide, n: int) -> list:
-    """Strings around hot marks, each to the bucket of its name; of equal ones only those of the smallest document travel."""
-    cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+def _strings(name, key, order, first, left, least, wide) -> list[np.ndarray]:
+    """Entries of one string each for all strings of the given entries."""
+    place = np.arange(-SIDE, WINDOW)
+    cols: list[list[np.ndarray]] = [[x[:0]] for x in (name, key, order, first, left, least, wide)]
     for l in range(SIDE + 1):  # the string starts l bytes before the mark
         own = np.flatnonzero((least <= l) & (l <= left))
-        for lo in range(0, len(own), SORTED):
-            i = own[lo:lo + SORTED]
-            x = _BYTE[wide[i, SIDE - l:SIDE - l + WINDOW]]
-            b = (_mixed(x @ _PLACE[1]) >> np.uint64(32)).astype(np.uint32)
-            for c, v in zip(cols, (_mixed(x @ _PLACE[0]), b, key[i], order[i], first[i] + left[i] - l)):
-                c.append(v)
-    (a, b, key, order, at), later = _by_string(*(np.concatenate(c) for c in cols))
-    sent = ~later
-    return spans(key[later], at[later], 1, n) + in_steps(bucket_of(a[sent], n), 2, *(c[sent] for c in (a, b, key, order, at)))
-
-
-def _by_string(a, b, key, order, at):
-    """The columns sorted by string and document, and which rows come in a later document than the first."""
-    by = np.lexsort((order, b, a))
-    a, b, key, order, at = (c[by] for c in (a, b, key, order, at))
-    if not len(a):
-        return (a, b, key, order, at), np.zeros(0, bool)
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-    return (a, b, key, order, at), order > order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        inside = (place >= -l) & (place < WINDOW - l)
+        size = np.full(len(own), l, np.uint8)
+        for c, v in zip(cols, (name[own], key[own], order[own], first[own] + left[own] - l, size, size, np.where(inside, wide[own], 0).astype(np.uint8))):
+            c.append(v)
+    return [np.concatenate(c) for c in cols]
 
 
-def solve(parts: list[bytes], more: list[bytes], n: int) -> list:
-    """Repeated strings of a bucket's entries and of its strings at hot marks, as runs of window starts."""
-    (_, _, key, _, at), later = _by_string(*from_steps(more))
-    return spans(key[later], at[later], 0, n) + _solve_entries(parts, n)
-
-
-def _solve_entries(parts: list[bytes], n: int) -> list:
+def solve(parts: list[bytes], n: int) -> list:
+    """Repeated strings of a bucket's entries, as runs of window starts."""
     key, order, first, left, least, wide = merged(parts, "<i8", "<i8", "<i8", "u1", "u1", "u1")
     if not len(key):
         return []
     wide = wide.reshape(-1, WIDE)
     name = np.concatenate([_names(wide[lo:lo + SORTED, SIDE:SIDE + GRAM]) for lo in range(0, len(wide), SORTED)])
-    by = np.argsort(name, kind="stable")
+    by = np.lexsort((order, name))
+    start = np.flatnonzero(np.r_[True, name[by][1:] != name[by][:-1]])
+    ends = np.r_[start[1:], len(by)]
+    # a mark of a single document has nothing to compare with
+    several = order[by][start] < order[by][ends - 1]
+    by = by[np.repeat(several, ends - start)]
+    if not len(by):
+        return []
     edges = np.r_[np.flatnonzero(np.r_[True, name[by][1:] != name[by][:-1]]), len(by)]
     out, lo = [], 0
     for k in range(1, len(edges)):
@@ -209,12 +197,27 @@ def _names(grams: np.ndarray) -> np.ndarray:
 
 
 def right_order(name: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Entries in order of (name, right bytes), from the suffix array of their symbols."""
-    m = len(name)
+    """Entries in order of (name, right bytes), from the suffix array of the distinct ones' symbols."""
     symbols = np.ascontiguousarray(right).view(">u8").astype(np.uint64)
+    code = name
+    for k in range(symbols.shape[1]):
+        code = _mixed(code * _C[0] + symbols[:, k])
+    by = np.argsort(code, kind="stable")
+    new = np.r_[True, (name[by][1:] != name[by][:-1]) | (symbols[by][1:] != symbols[by][:-1]).any(1)]
+    own = np.empty(len(name), np.int64)
+    own[by] = np.cumsum(new) - 1
+    heads = by[new]
+    rank = np.empty(len(heads), np.int64)
+    rank[_suffix_order(name[heads], symbols[heads])] = np.arange(len(heads))
+    return np.argsort(rank[own], kind="stable")
+
+
+def _suffix_order(name: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Rows in order of (name, symbols), from the suffix array of all of them in one string."""
+    m = len(name)
     values, ranked = np.unique(symbols, return_inverse=True)
     _, named = np.unique(name, return_inverse=True)
-    text = np.ones((m, symbols.shape[1] + 2), np.int64)  # 1 separates entries
+    text = np.ones((m, symbols.shape[1] + 2), np.int64)  # 1 separates rows
     text[:, 0] = 2 + len(values) + named.reshape(-1)
     text[:, 1:-1] = 2 + ranked.reshape(symbols.shape)
     suffixes = lyndon_suffix_array(np.r_[text.reshape(-1), 0])
@@ -246,7 +249,11 @@ def _repeats(name, key, order, first, left, least, wide, n: int) -> list:
         both = _mixed(before[own] + klass * _MIX)
         at = np.lexsort((order[own], klass, both))
         b, k, o = both[at], klass[at], order[own][at]
-        new = np.r_[True, (b[1:] != b[:-1]) | (k[1:] != k[:-1])]
+        same = (b[1:] == b[:-1]) & (k[1:] == k[:-1])
+        pair = np.flatnonzero(same)
+        x = wide[own[at]][:, SIDE - l:SIDE]
+        same[pair] = (x[pair] == x[pair + 1]).all(1)
+        new = np.r_[True, ~same]
         later = o > o[np.flatnonzero(new)][np.cumsum(new) - 1]
         hit[own[at[later]], SIDE - l] = True
     edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
@@ -289,7 +296,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 pa.array([d[2] for d in done], pa.int64()), pa.array([d[0] for d in done], pa.binary())]
 
     return repeated(docs, doc_id, text, marks, details, solve, finish,
-                    "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", carry)
+                    "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", carry, False)
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:

@@ -324,3 +324,43 @@ def test_pipeline(spark, docs):
     assert not kept & {102, 103, 104, 112} and 108 in kept
     assert corpus_pipeline.STAGES[-1][1](spark, at, "").count() >= len(kept)
     assert len(kept) <= len({t for _, t in data})
+
+
+@pytest.mark.parametrize("parts", [8, 128])
+def test_exchange_rows_follow_the_text(spark, docs, parts, monkeypatch):
+    """Packed rows are bounded by the bytes of the texts, whatever the shuffle partitions."""
+    prepare(spark)
+    rng = random.Random(21)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage = text(60)
+    data = [(i, f"{text(100)} {passage} {text(100)}") for i in range(60)]
+    size = sum(len(t) for _, t in data)
+    table, got = docs(data), {}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        n = repeats.buckets_for(repeats.text_bytes(table, "text"))
+        assert 1 <= n and n * n <= size / repeats.ROW_BYTES
+        for operator in (suffix_dedup, recompression):
+            got[operator] = {r.doc_id: r.n_removed for r in operator.remove_repeats(table).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(v >= len(passage) for i, v in got[suffix_dedup].items() if i)
+    assert all(v == 60 for i, v in got[recompression].items() if i) and got[recompression][0] == got[suffix_dedup][0] == 0
+
+
+def test_repeats_of_very_long_texts_and_null_ids(spark, docs, monkeypatch):
+    """A text of 3 MiB that starts with a hot passage; a null id comes before all others."""
+    prepare(spark)
+    monkeypatch.setattr(repeats, "HOT_DOCUMENTS", 3)
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage = text(40)
+    own = text(450_000)
+    data = [(5, f"{passage} {own}"), (None, f"{passage} x"), *((10 + i, f"{text(9)} {passage} {text(9)}") for i in range(6)), (99, own[-70_000:])]
+    assert len(data[0][1]) > 3 << 20
+    found = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs(data)).collect()}
+    assert found[None].n_removed == 0 and found[99].n_removed == 70_000 and found[5].n_removed in (len(passage), len(passage) + 1)
+    assert all(len(passage) <= found[10 + i].n_removed <= len(passage) + 4 for i in range(6))
+    words = {r.doc_id: r.n_removed for r in recompression.remove_repeats(docs(data)).collect()}
+    assert words[None] == 0 and words[5] == 40 and all(words[10 + i] == 40 for i in range(6)) and words[99] in (9999, 10000)
