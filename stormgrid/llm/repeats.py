@@ -16,10 +16,14 @@ edge of a very common passage differ from document to document and can't be sett
 step 2 counts each name's documents and tells all homes the names of ``HOT_DOCUMENTS`` or
 more, and the windows at these go to buckets by their own content, not by their mark's
 name, so that no mark fills a bucket. A hot name also has a document for every ``2 ** HOT_SHIFT``
-bytes of all texts, which bounds the names that homes are told. Buckets are the square root of the text's bytes over
-``ROW_BYTES``, whatever the cluster's partitions: a step makes one row at most for every pair
-of a home and a bucket, so its rows grow in proportion to the text, and a bucket with the square
-root of it. The documents' texts are shuffled once; steps 3 and 5 read the same exchange.
+bytes of all texts, which bounds the names that homes are told.
+
+Buckets are the square root of the text's bytes over ``ROW_BYTES``, whatever the cluster's
+partitions: a step makes one row at most for every pair of a home and a bucket, so its rows
+grow in proportion to the text, and a bucket with the square root of it. From the size on at
+which a bucket would hold ``BUCKET_BYTES`` of text (2 TB) buckets stay so large, and rows are
+bounded by the marks that they hold. The documents' texts are shuffled once, compressed;
+steps 3 and 5 read the same exchange.
 
 A row is known by the hash of its id and text; rows that repeat both share their result.
 """
@@ -39,8 +43,10 @@ from pyspark.sql import types as T
 
 from .common import chunks_by_size
 
-#: Bytes of text for each packed row of a step at most.
-ROW_BYTES = 4096
+#: Bytes of text for each packed row of a step, and in a bucket at most.
+ROW_BYTES, BUCKET_BYTES = 1 << 15, 1 << 28
+#: Compression of packed rows and of texts.
+LEVEL = 3
 #: Bytes of text that numpy works on at a time.
 CHUNK_BYTES = 1 << 20
 PACKED = "dest int, kind int, data binary"
@@ -57,7 +63,7 @@ FIRST_ID = -(1 << 63)
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed byte string."""
     head = struct.pack(f"<{len(arrays)}q", *(a.nbytes for a in arrays))
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join([np.ascontiguousarray(a).tobytes() for a in arrays]))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + b"".join([np.ascontiguousarray(a).tobytes() for a in arrays]))
 
 
 def unpack(data: bytes, *types: str) -> list[np.ndarray]:
@@ -97,7 +103,7 @@ def text_bytes(docs: DataFrame, text: str) -> int:
 
 def buckets_for(size: int) -> int:
     """Buckets of a table, from the bytes of its texts alone."""
-    return max(1, math.isqrt(size // ROW_BYTES))
+    return max(1, math.isqrt(size // ROW_BYTES), size // BUCKET_BYTES)
 
 
 def bucket_of(names: np.ndarray, n: int) -> np.ndarray:
@@ -168,7 +174,18 @@ def repeated(docs: DataFrame, doc_id: str, text: str,
     own = docs.select(F.col(doc_id).cast("long").alias("id"), body.cast("binary").alias("text"),
                       F.xxhash64(F.col(doc_id).cast("long"), body).alias("key"),
                       *([F.struct(*carry).alias("rest")] if carry else []))
-    at_home = own.withColumn("dest", F.pmod("key", F.lit(n)).cast("int"))
+
+    def compressed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=LEVEL)
+        for b in it:
+            small = pa.array([z.compress(t) for t in b.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), small, *b.columns[2:]], names=b.schema.names)
+
+    def texts_in(t: pa.Table) -> list[bytes]:
+        z = zstandard.ZstdDecompressor()
+        return [z.decompress(x) for x in t.column("text").to_pylist()]
+
+    at_home = own.mapInArrow(compressed, own.schema).withColumn("dest", F.pmod("key", F.lit(n)).cast("int"))
 
     def step_marks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[int] = []
@@ -235,7 +252,7 @@ def repeated(docs: DataFrame, doc_id: str, text: str,
         def is_hot(name: np.ndarray) -> np.ndarray:
             return np.isin(name & _SIX, hot)
 
-        return rows(details(left.column("key").to_numpy(), orders, left.column("text").to_pylist(), is_shared, is_hot, n))
+        return rows(details(left.column("key").to_numpy(), orders, texts_in(left), is_shared, is_hot, n))
 
     def step_solve(t: pa.Table) -> pa.Table:
         kinds, parts = t.column("kind").to_pylist(), t.column("data").to_pylist()
@@ -254,7 +271,7 @@ def repeated(docs: DataFrame, doc_id: str, text: str,
             return first[lo:hi], last[lo:hi]
 
         spans = [spans_of(k) for k in left.column("key").to_pylist()]
-        cols = finish(left.column("id").to_pylist(), left.column("text").to_pylist(), spans)
+        cols = finish(left.column("id").to_pylist(), texts_in(left), spans)
         return pa.table([*cols, *([left.column("rest")] if carry else [])], names=out_type.names)
 
     sent = own.select("id", "text", "key").mapInArrow(step_marks, PACKED)

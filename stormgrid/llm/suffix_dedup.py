@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_names
 from .repeats import CHUNK_BYTES, batches_of, bucket_of, deal, home_of, merged, repeated
 from .suffix_array import lyndon_suffix_array
 
@@ -302,14 +303,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
     """``docs`` with repeated strings taken out of the texts (whole characters only); other columns
     stay, the text's size in characters is set anew, and a null text stays null."""
-    left = remove_repeats(docs, doc_id, text, True, docs.columns)
-    kept = F.when(F.col("rest")[text].isNotNull(), F.col("kept").cast("string"))
+    (none,) = fresh_names(docs, "_none")
+    left = remove_repeats(docs.withColumn(none, F.col(text).isNull()), doc_id, text, True, [*(c for c in docs.columns if c != text), none])
+    kept = F.when(~F.col("rest")[none], F.col("kept").cast("string"))
     out = []
     for c in docs.columns:
         if c == text:
             out.append(kept.alias(c))
         elif c == size:
-            out.append(F.when(F.col("rest")[text].isNull() | (F.col("n_removed") == 0), F.col("rest")[c])
+            out.append(F.when(F.col("rest")[none] | (F.col("n_removed") == 0), F.col("rest")[c])
                        .otherwise(F.length(F.col("kept").cast("string"))).cast(docs.schema[c].dataType).alias(c))
         else:
             out.append(F.col("rest")[c].alias(c))
