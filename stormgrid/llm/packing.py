@@ -1,8 +1,8 @@
 """Order-preserving packing of documents into sequences by dynamic programming.
 
 The documents of one input split are one stream of ids in their stored order, each
-closed by an end id. A cut may fall at a document's end, after a sentence, or, where
-neither comes for long, at one of evenly spaced positions. With positions p and costs
+closed by an end id. A cut may fall at a document's end, after a sentence, or, where neither
+comes for ``STRIDE`` ids, at one of evenly spaced positions. With positions p and costs
 D, the best way to end a sequence at p is
 
     D(p) = penalty(p) + cost of a sequence + min over q in [p - length, p) of D(q) + padding(p - q)
@@ -21,6 +21,7 @@ are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections import deque
@@ -41,7 +42,11 @@ SENTENCE_CUT, OTHER_CUT, EACH_SEQUENCE = 8, 64, 4
 #: Tokens solved at a time.
 STRETCH_TOKENS = 1 << 19
 #: Without a document's or sentence's end for so many ids, cuts elsewhere are allowed, so far apart.
-GAP, STRIDE = 512, 128
+STRIDE = 32
+#: Full-width marks that end a sentence, and what may close it.
+WIDE_MARKS, WIDE_CLOSERS = "。！？｡", "」』）”’"
+_WIDE_MARK = re.compile(f"[{WIDE_MARKS}]")
+_WIDE_END = re.compile(f"[{WIDE_MARKS}][{WIDE_CLOSERS}]*")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -56,14 +61,35 @@ def sentence_ends(path: str) -> np.ndarray:
     return ends
 
 
+def byte_widths(path: str) -> np.ndarray:
+    """Bytes of text behind each id: a letter of the byte-level vocabulary each, UTF-8 for added tokens."""
+    tok = encoder(path).tok
+    out = np.array([len(tok.id_to_token(i) or "") for i in range(tok.get_vocab_size())], np.int64)
+    for i, t in tok.get_added_tokens_decoder().items():
+        out[i] = len(t.content.encode())
+    return out
+
+
+def wide_ends(text: str, ids: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Positions after ids whose bytes end with a full-width sentence end (one mark may be several ids)."""
+    if not len(ids) or not _WIDE_MARK.search(text):
+        return np.zeros(0, np.int64)
+    at = np.cumsum(widths[ids])
+    ends = [m.end() for m in _WIDE_END.finditer(text)]
+    sizes = [len(text[lo:hi].encode("utf-8", "surrogatepass")) for lo, hi in zip([0, *ends], ends)]
+    marks = np.cumsum(sizes)
+    i = np.minimum(np.searchsorted(at, marks), len(at) - 1)
+    return i[at[i] == marks] + 1
+
+
 def cut_points(n: int, doc_ends: np.ndarray, sentence: np.ndarray, length: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
     """Allowed cut positions (ascending, from 0 to n) and their penalties.
 
     ``doc_ends``: positions after each document; ``sentence``: positions after sentences.
     """
-    gap, stride = max(1, min(GAP, length // 2)), max(1, min(STRIDE, length // 4))
+    stride = max(1, min(STRIDE, length // 4))
     known = np.unique(np.concatenate([[0, n], doc_ends, sentence])).astype(np.int64)
-    wide = np.flatnonzero(np.diff(known) > gap)
+    wide = np.flatnonzero(np.diff(known) > stride)
     other = [np.arange(known[i] + stride, known[i + 1], stride) for i in wide]
     pos = np.unique(np.concatenate([known, *other])).astype(np.int64)
     cost = np.full(len(pos), OTHER_CUT, np.int64)
@@ -106,13 +132,19 @@ def best_cuts(pos: np.ndarray, cost: np.ndarray, length: int = SEQUENCE) -> list
     return out[::-1]
 
 
-def pack_stretch(ids: list[np.ndarray], ends: np.ndarray, length: int = SEQUENCE) -> Iterator[tuple[int, int, int, int, int]]:
-    """Pieces (document's index, start, length, sequence, offset) of consecutive documents."""
+def pack_stretch(ids: list[np.ndarray], ends: np.ndarray, length: int = SEQUENCE,
+                 more: dict[int, np.ndarray] | None = None) -> Iterator[tuple[int, int, int, int, int]]:
+    """Pieces (document's index, start, length, sequence, offset) of consecutive documents.
+
+    ``more``: by document's index, positions after sentences that ``ends`` doesn't show.
+    """
     sizes = [len(x) for x in ids]
     doc_ends = np.cumsum(sizes)
     n = int(doc_ends[-1])
     stream = np.concatenate(ids)
     sentence = np.flatnonzero(ends[stream]) + 1
+    if more:
+        sentence = np.unique(np.concatenate([sentence, *(doc_ends[d] - sizes[d] + x for d, x in more.items())]))
     cuts = best_cuts(*cut_points(n, doc_ends, sentence, length), length)
     starts = (doc_ends - sizes).tolist()
     for s, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
@@ -132,16 +164,17 @@ def pack(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "doc_id",
     vocabulary = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, ends = encoder(vocabulary), sentence_ends(vocabulary)
+        enc, ends, widths = encoder(vocabulary), sentence_ends(vocabulary), byte_widths(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 40
         keys: list = []
         held: list[np.ndarray] = []
+        more: dict[int, np.ndarray] = {}
         size = 0
 
         def solve() -> pa.RecordBatch:
             nonlocal sequence
-            rows = list(pack_stretch(held, ends, length))
+            rows = list(pack_stretch(held, ends, length, more))
             crc = [zlib.crc32(held[d][at:at + n].tobytes()) for d, at, n, _, _ in rows]
             out = [[keys[r[0]] for r in rows], [r[1] for r in rows], [r[2] for r in rows], crc,
                    [len(held[r[0]]) for r in rows], [sequence + r[3] for r in rows], [r[4] for r in rows]]
@@ -149,11 +182,14 @@ def pack(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "doc_id",
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for b in batches:
-            for k, e in zip(b.column(0).to_pylist(), enc.encode_batch(texts_of(b.column(1)))):
+            texts = texts_of(b.column(1))
+            for k, t, e in zip(b.column(0).to_pylist(), texts, enc.encode_batch(texts)):
                 x = np.frombuffer(e + end, "<u4")
                 if held and size + len(x) > STRETCH_TOKENS:
                     yield solve()
-                    keys, held, size = [], [], 0
+                    keys, held, more, size = [], [], {}, 0
+                if not t.isascii() and len(at := wide_ends(t, x[:-1], widths)):
+                    more[len(held)] = at
                 keys.append(k)
                 held.append(x)
                 size += len(x)
