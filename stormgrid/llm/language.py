@@ -5,9 +5,9 @@ on hashed byte n-grams. A text's language is the codeword with the least loss-we
 distance to the bits' margins. The share of that codeword in the softmax of the negative
 losses is the score; a text whose best two codewords are close is flagged ambiguous.
 
-The classifiers are trained on a bounded sample: up to ``TRAIN_PER_LANGUAGE`` documents of
-each of up to ``MOST_LANGUAGES`` languages, those of the smallest id hashes, whole texts.
-Everything else covers all documents.
+The classifiers are trained on a sample bounded per language: up to ``TRAIN_PER_LANGUAGE``
+documents of each labelled language, those of the smallest id hashes, whole texts. The model
+grows with the number of languages only. Everything else covers all documents.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and not
 ambiguous; with no labelled row at all every text is ``und``; with one language every text
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import map_batches
 from .ngrams import count_blocks, normal_rows
 
-TRAIN_PER_LANGUAGE, MOST_LANGUAGES = 400, 200
+TRAIN_PER_LANGUAGE = 400
 BUCKETS = 4096
 #: Difference of the best two codewords' mean losses below which a text is ambiguous.
 AMBIGUOUS = 0.05
@@ -120,14 +120,14 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], li
 def fit(docs: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """Train on a bounded sample of the rows for which ``usable`` holds."""
     rows = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    names = sorted(r[lang] for r in rows.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang).limit(MOST_LANGUAGES).collect())
-    if not names:
-        return None
     # ids are chosen without their texts; the window's rank is applied before its shuffle too
     w = Window.partitionBy("_lang").orderBy("_h")
     ids = (rows.select(F.col(lang).alias("_lang"), F.xxhash64(doc_id).alias("_h")).withColumn("_r", F.row_number().over(w))
            .filter(F.col("_r") <= TRAIN_PER_LANGUAGE).groupBy("_lang").agg(F.max("_h").alias("_most")).collect())
-    most = {r["_lang"]: r["_most"] for r in ids if r["_lang"] in names}
+    most = {r["_lang"]: r["_most"] for r in ids}
+    names = sorted(most)
+    if not names:
+        return None
     pick = F.lit(False)
     for name, h in most.items():
         pick = pick | ((F.col(lang) == name) & (F.xxhash64(doc_id) <= h))
@@ -170,13 +170,21 @@ def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose language can't be told (no letter, or no model); all columns stay."""
+    """``docs`` without the rows whose language can't be told; all columns stay.
+
+    That are the rows without a letter: of the others the decoder names the nearest codeword,
+    and ambiguous ones stay, as they are clean documents. Without a model, rows with a letter stay too.
+    """
     bc = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, _, _ = predict(bc.value, b.column(at).to_pylist())
-            yield b.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+            texts = b.column(at).to_pylist()
+            if bc.value is None:
+                keep = [bool(t and _LETTER.search(t)) for t in texts]
+            else:
+                keep = [x != UNKNOWN for x in predict(bc.value, texts)[0]]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
