@@ -15,7 +15,7 @@ A second small table holds the dictionary itself. A document is read by its shar
 offset index without touching other frames.
 
 Defined results: a null or empty text is the end id alone; rows with a null ``doc_id``
-come first; repeated rows are stored once each; an empty table gives empty files; extra
+come first; texts of one id follow each other by length, then by their frames; repeated rows are stored once each; an empty table gives empty files; extra
 columns are ignored.
 """
 
@@ -37,9 +37,9 @@ from ..session import scratch_path
 from .common import map_batches, partitions, texts_of
 from .token_ids import encoder, vocabulary_path
 
-#: Documents that the dictionary is trained on (those of the smallest id hashes), the
-#: bytes of each that are used, and the dictionary's own bytes.
-TRAIN_DOCS, TRAIN_BYTES, DICTIONARY_BYTES = 1000, 1 << 14, 64 << 10
+#: Documents that the dictionary is trained on (those of the smallest id hashes), the bytes
+#: of one sample and the samples of one document, spread over all of it, and the dictionary's own bytes.
+TRAIN_DOCS, SAMPLE_BYTES, SAMPLES, DICTIONARY_BYTES = 1000, 1 << 12, 4, 64 << 10
 SHARD_BYTES = 4 << 20
 LEVEL = 3
 
@@ -52,13 +52,22 @@ def train_dictionary(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", t
         return b""
     rows = docs.filter(F.xxhash64(F.col(doc_id)) <= chosen).select(F.col(text).alias("text")).limit(TRAIN_DOCS).collect()
     parts = encoder(vocabulary).encode_batch([r.text or "" for r in rows])
-    parts = [p[:TRAIN_BYTES] for p in parts if len(p) >= 64]
-    if len(parts) < 16:
-        return b""
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
-    except zstandard.ZstdError:  # too little material
-        return b""
+    parts = sorted(x for p in parts for x in samples(p))
+    if len(parts) >= 16:
+        try:
+            return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
+        except zstandard.ZstdError:  # too little material
+            pass
+    return b"".join(parts)[-DICTIONARY_BYTES:]  # the samples themselves, as a dictionary of raw content
+
+
+def samples(data: bytes) -> list[bytes]:
+    """Stretches of whole ids, evenly spaced over all of ``data`` (all of it if it is short)."""
+    if len(data) <= SAMPLE_BYTES * SAMPLES:
+        return [data[i:i + SAMPLE_BYTES] for i in range(0, len(data), SAMPLE_BYTES)]
+    last = (len(data) - SAMPLE_BYTES) // 4
+    starts = [4 * (last * k // (SAMPLES - 1)) for k in range(SAMPLES)]
+    return [data[i:i + SAMPLE_BYTES] for i in starts]
 
 
 def _bounds(docs: DataFrame, doc_id: str, n: int) -> list[int]:
@@ -123,7 +132,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, doc_i
 
     packed = map_batches(docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text")), compress,
                          "range int, _id long, n long, frame binary")
-    dealt = packed.repartition(n, "range").sortWithinPartitions("range", "_id")
+    dealt = packed.repartitionById(n, F.col("range")).sortWithinPartitions("range", "_id", "n", "frame")
     map_batches(dealt, shards, SHARD_SCHEMA).write.parquet(f"{path}/shards")
 
 
