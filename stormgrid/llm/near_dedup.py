@@ -255,9 +255,10 @@ def _decided(docs: DataFrame, doc_id: str, text: str, words: int, percent: int,
     sets = _sets(own, wanted, words)
     links = stored(_confirmed(sets, first, percent), "links")
     labels = components(links)
-    tried = first
+    tried, left = first, _unsettled(members, labels)
     for k in range(ROUNDS_OF_PARTNERS + 1):
-        left = _unsettled(members, labels)
+        if not left.limit(1).count():
+            break  # every bucket lies in one component
         if k < ROUNDS_OF_PARTNERS:
             pairs = _partners(left, percent, k)
         else:
@@ -271,6 +272,8 @@ def _decided(docs: DataFrame, doc_id: str, text: str, words: int, percent: int,
         if new.limit(1).count():
             links = stored(links.unionByName(new), "links")
             labels = components(links)
+            if k < ROUNDS_OF_PARTNERS:
+                left = _unsettled(members, labels)
 
     nodes = labels.withColumnRenamed("node", "rep")
     winners = stored(table_join(nodes, classes.select("rep", "best"), ["rep"], "inner").groupBy("label").agg(F.min("best").alias("winner")), "winners")
