@@ -11,38 +11,77 @@ from __future__ import annotations
 import operator
 import os
 import re
+import string
 import sys
 from array import array
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import chunks_by_size
+
 #: Pieces remembered per Python worker in each of two generations.
 MEMO_PIECES = 300_000
+#: The same for ids alone, which take less room than the other results (about 0.1 kB a piece with its text).
+MEMO_IDS = 1_000_000
 #: Longer pieces are encoded each time, so that remembered pieces stay small.
 MEMO_PIECE_CHARS = 64
-
-_MARKS = frozenset(",.")
+#: Characters cut and looked up at a time (or one text).
+CHUNK_CHARS = 1 << 23
+#: One pre-token of Latin letters, which are letters in every version of Unicode that the library may follow.
+_LATIN_WORD = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 _SAFE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
 
+def _odd(text: str) -> bool:
+    """Whether ``text`` holds other white space than single blanks and newlines, or several together."""
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or not text.replace("\n", "").isprintable()
+
+
 def pieces(text: str) -> list[str]:
     """Cut ``text`` where the pre-tokenizer cuts whatever stands on either side."""
     if not text:
         return []
-    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or not text.replace("\n", "").isprintable():
-        return _SAFE_SPACE.split(text)  # other white space, or several together
+    if _odd(text):
+        return _SAFE_SPACE.split(text)
     return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 
 
+def pieces_of(texts: list[str]) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The :func:`pieces` of all texts, one after another, and where each text's begin (one entry more than texts)."""
+    odd = [i for i, t in enumerate(texts) if _odd(t)]
+    plain = pa.array(texts, pa.large_string())
+    if odd:  # cut by the expression, then joined by the mark, which such a piece may hold itself
+        skip = np.zeros(len(texts), bool)
+        skip[odd] = True
+        plain = pc.if_else(pa.array(skip), pa.scalar("", pa.large_string()), plain)
+    marked = pc.replace_substring(pc.replace_substring(plain, " ", "\x01 "), "\n", "\x01\n\x01")
+    cut = pc.split_pattern(marked, "\x01")
+    flat, at = cut.flatten(), np.asarray(cut.offsets).astype(np.int64)
+    at = at - at[0]
+    if not odd:
+        return flat, at
+    own = {i: _SAFE_SPACE.split(texts[i]) for i in odd}
+    parts, counts, done = [], np.diff(at), 0
+    for i in odd:
+        parts += [flat.slice(done, at[i] - done), pa.array(own[i], pa.large_string())]
+        counts[i], done = len(own[i]), at[i + 1]
+    parts.append(flat.slice(done))
+    return pa.concat_arrays(parts), np.concatenate([[0], np.cumsum(counts)])
+
+
 class PieceMemo:
     """Results by piece of text, made once for each new piece of a batch.
 
     The generation before the current one is kept, so that frequent pieces stay known.
-    Letters that end in a comma or a full stop are two pre-tokens, so such a piece is
-    put together from the results of its word and its mark.
+    Letters that end in ASCII punctuation are two pre-tokens, so such a piece is
+    put together from the results of its word and its marks.
     """
 
-    def __init__(self, make: Callable[[list[str]], Iterable], join: Callable):
-        self.make, self.join = make, join
+    def __init__(self, make: Callable[[list[str]], Iterable], join: Callable, size: int = 0):
+        self.make, self.join, self.size = make, join, size or MEMO_PIECES
         self.now: dict = {}
         self.before: dict = {}
         self.long: list[str] = []
@@ -53,23 +92,34 @@ class PieceMemo:
             self.now.pop(p, None)
         need = set().union(*cut)
         new = need.difference(self.now)
-        if len(self.now) + len(new) > MEMO_PIECES:
+        if len(self.now) + len(new) > self.size:
             self.before, self.now = self.now, {}
             new = need
         old = self.before
         self.now.update([(p, old[p]) for p in new if p in old])
         rest = [p for p in new if p not in old]
-        marked = [p for p in rest if p[-1:] in _MARKS and p[1:-1].isalpha() and (p[0] == " " or p[0].isalpha())]
-        fresh = set(rest).difference(marked)
-        fresh.update([p[:-1] for p in marked], [p[-1] for p in marked])
+        marked = []
+        for p in rest:
+            word = p.rstrip(string.punctuation)
+            if len(word) < len(p) and (word[1:] if word[:1] == " " else word).isalpha():
+                marked.append((p, word, p[len(word):]))
+        fresh = set(rest).difference([m[0] for m in marked])
+        fresh.update([m[1] for m in marked], [m[2] for m in marked])
         fresh = [p for p in fresh if p not in self.now]
         self.now.update(zip(fresh, self.make(fresh), strict=True))
         now, join = self.now, self.join
-        now.update([(p, join(now[p[:-1]], now[p[-1]])) for p in marked])
+        now.update([(p, join(now[word], now[marks])) for p, word, marks in marked])
         self.long = [p for p in new if len(p) > MEMO_PIECE_CHARS]
         return now
 
 
+def _little(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 class LibraryEncoder:
     """``tokenizers`` ids as little-endian unsigned 32-bit bytes."""
 
@@ -81,19 +131,62 @@ class LibraryEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self._batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        self.memo = PieceMemo(self._encode, operator.add)
+        self.memo = PieceMemo(self._encode, operator.add, MEMO_IDS)
+        self.letters = self._letters()
+
+    def _letters(self) -> dict | None:
+        """The vocabulary's letter of each byte, if a word is one pre-token and may go to the library's model by itself."""
+        from tokenizers import models, pre_tokenizers
+
+        from .bpe import byte_letters
+
+        cut, known = self.tok.pre_tokenizer, self.tok.get_added_tokens_decoder().values()
+        if not isinstance(cut, pre_tokenizers.ByteLevel) or cut.add_prefix_space or not cut.use_regex or self.tok.normalizer is not None:
+            return None
+        if not isinstance(self.tok.model, models.BPE) or any(t.content.replace(" ", "a").isalpha() for t in known):
+            return None
+        return {b: c for b, c in enumerate(byte_letters()) if chr(b) != c}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        ids = [array("I", e.ids) for e in self._batch(parts, add_special_tokens=False)] if parts else []
-        if sys.byteorder == "big":
-            for a in ids:
-                a.byteswap()
-        return [a.tobytes() for a in ids]
+        if self.letters is None:
+            return self._encode_all(parts)
+        plain = [p for p in parts if _LATIN_WORD.fullmatch(p)]
+        tokenize, ids, ends = self.tok.model.tokenize, [], [0]
+        # all words in the vocabulary's letters at once; the newline's letter stands between them
+        for word in "\n".join(plain).encode().decode("latin-1").translate(self.letters).split(self.letters[10]) if plain else ():
+            ids += [t.id for t in tokenize(word)]
+            ends.append(4 * len(ids))
+        every = _little(ids)
+        found = {p: every[a:b] for p, a, b in zip(plain, ends, ends[1:], strict=False)}
+        rest = [p for p in parts if p not in found]
+        found.update(zip(rest, self._encode_all(rest), strict=True))
+        return [found[p] for p in parts]
+
+    def _encode_all(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that the library cuts itself."""
+        return [_little(e.ids) for e in self._batch(parts, add_special_tokens=False)] if parts else []
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) for t in texts]
-        get = self.memo.cover(cut).__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        out: list[bytes] = []
+        for lo, hi in chunks_by_size([len(t) for t in texts], CHUNK_CHARS):
+            out += self._encode_chunk(texts[lo:hi])
+        return out
+
+    def _encode_chunk(self, texts: list[str]) -> list[bytes]:
+        """Each distinct piece is looked up once; the texts' ids are gathered by the pieces' numbers."""
+        flat, at = pieces_of(texts)
+        coded = flat.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.memo.cover([words]).__getitem__, words))
+        ids = np.frombuffer(b"".join(found), "<u4")
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(n) - n
+        which = np.asarray(coded.indices)
+        each = n[which]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        every = ids[np.repeat(first[which] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+        bounds = (4 * ends[at]).tolist()
+        return [every[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}

@@ -522,3 +522,19 @@ def test_repeats_of_very_long_texts_and_null_ids(spark, docs, monkeypatch):
     assert all(len(passage) <= found[10 + i].n_removed <= len(passage) + 4 for i in range(6))
     words = {r.doc_id: r.n_removed for r in recompression.remove_repeats(docs(data)).collect()}
     assert words[None] == 0 and words[5] == 40 and all(words[10 + i] == 40 for i in range(6)) and words[99] in (9999, 10000)
+
+
+def test_encoder_sends_plain_words_to_the_model_once():
+    enc = token_ids.LibraryEncoder(VOCABULARY)
+    whole, given = enc._encode_all, []
+    enc._encode_all = lambda parts: given.extend(parts) or whole(parts)
+    texts = ["Nuit calme$$$ über été, mot's 12 ab\n\n  x\x01y", "", "ſtart ɐ ͅ漢字。 <|endoftext|>a", "calme$$$ über", "\nmot \t été,"] * 3
+    want = [np.array(e.ids, "<u4").tobytes() for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    assert enc.encode_batch(texts) == want and [enc.encode_batch([t])[0] for t in texts] == want
+    assert "$$$" in given and len(given) == len(set(given)) and not {" calme", "Nuit", " über", " calme$$$", " été,"} & set(given)
+
+
+def test_cut_points_mark_every_kind_of_cut():
+    pos, cost = packing.cut_points(100, np.array([40, 40, 100]), np.array([7, 40, 99]), 1024)
+    assert dict(zip(pos.tolist(), cost.tolist())) == {0: 0, 7: packing.SENTENCE_CUT, 39: packing.OTHER_CUT, 40: 0, 72: packing.OTHER_CUT,
+                                                      99: packing.SENTENCE_CUT, 100: 0}
