@@ -24,7 +24,6 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_right
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,39 +87,45 @@ def cut_points(n: int, doc_ends: np.ndarray, sentence: np.ndarray, length: int =
     ``doc_ends``: positions after each document; ``sentence``: positions after sentences.
     """
     stride = max(1, min(STRIDE, length // 4))
-    known = np.unique(np.concatenate([[0, n], doc_ends, sentence])).astype(np.int64)
-    wide = np.flatnonzero(np.diff(known) > stride)
-    other = [np.arange(known[i] + stride, known[i + 1], stride) for i in wide]
-    pos = np.unique(np.concatenate([known, *other])).astype(np.int64)
-    cost = np.full(len(pos), OTHER_CUT, np.int64)
-    cost[np.searchsorted(pos, sentence)] = SENTENCE_CUT
-    cost[np.searchsorted(pos, doc_ends)] = 0
-    cost[[0, -1]] = 0
-    return pos, cost
+    price = np.full(n + 1, -1, np.int64)  # by position; -1: no cut
+    price[sentence] = SENTENCE_CUT
+    price[doc_ends] = 0
+    price[[0, n]] = 0
+    known = np.flatnonzero(price >= 0)
+    between = (np.diff(known) - 1) // stride
+    nth = np.arange(between.sum()) - np.repeat(np.cumsum(between) - between, between)
+    price[np.repeat(known[:-1], between) + (nth + 1) * stride] = OTHER_CUT
+    pos = np.flatnonzero(price >= 0)
+    return pos, price[pos]
 
 
 def best_cuts(pos: np.ndarray, cost: np.ndarray, length: int = SEQUENCE) -> list[int]:
     """Cut positions (first 0, last the end) of least total cost."""
     jumps: dict[int, list[int]] = {}
+    index = np.full(int(pos[-1]) + 1, -1, np.int64)  # of a position among the cuts
+    index[pos] = np.arange(len(pos))
     size = 1
     while size <= length:
-        at = np.searchsorted(pos, pos - size)
-        for j in np.flatnonzero(pos[at] == pos - size).tolist():
-            jumps.setdefault(j, []).append(int(at[j]))
+        start = int(np.searchsorted(pos, size))
+        at = index[pos[start:] - size]
+        hit = np.flatnonzero(at >= 0)
+        for j, i in zip((hit + start).tolist(), at[hit].tolist()):
+            jumps.setdefault(j, []).append(i)
         size *= 2
     p, c = pos.tolist(), cost.tolist()
     total, back = [0] * len(p), [0] * len(p)
-    queue: deque[tuple[int, int]] = deque()  # (D(q) + q, index of q), values ascending
+    values, indexes, head = [], [], 0  # queue from head on: D(q) + q, ascending, and index of q
     for j in range(1, len(p)):
         here = p[j]
         value = total[j - 1] + p[j - 1]
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, j - 1))
-        while p[queue[0][1]] < here - length:
-            queue.popleft()
-        best, i = queue[0]
-        best += length - here
+        while len(values) > head and values[-1] >= value:
+            values.pop()
+            indexes.pop()
+        values.append(value)
+        indexes.append(j - 1)
+        while p[indexes[head]] < here - length:
+            head += 1
+        best, i = values[head] + length - here, indexes[head]
         for q in jumps.get(j, ()):
             if total[q] < best:
                 best, i = total[q], q
