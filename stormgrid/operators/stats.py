@@ -90,25 +90,29 @@ def latest_tracks(tracks: DataFrame, n: int = 5) -> DataFrame:
             .orderBy(F.desc_nulls_last("season"), F.asc("sid")).limit(n))
 
 
-def wind_buckets(hits: DataFrame, by: str = "site_id") -> DataFrame:
+def wind_buckets(hits: DataFrame, by: str = "site_id", weight: str | None = None) -> DataFrame:
     """Per result set: Weak/Moderate/Strong/Very strong/N/A counts, max, rounded mean.
 
+    ``weight``: the column of ``hits`` that says for how many results a row stands (one each without it).
+
     ``hits`` are API rows (max_wind_speed null for no data). avg_wind is
     round-half-up of the mean, null when there is no usable wind ('N/A').
     Percent columns are the share of all results, 1 dp.
     """
     w = F.col("max_wind_speed")
     has = w.isNotNull() & (w != 0)
+    n = F.lit(1).cast("long") if weight is None else F.col(weight)
+    count = lambda cond: F.sum(F.when(cond, n).otherwise(F.lit(0).cast("long")))
     g = hits.groupBy(by).agg(
-        F.count_if(has & (w < 34)).alias("weak"),
-        F.count_if(has & (w >= 34) & (w < 64)).alias("moderate"),
-        F.count_if(has & (w >= 64) & (w < 96)).alias("strong"),
-        F.count_if(has & (w >= 96)).alias("very_strong"),
-        F.count_if(~has | w.isNull()).alias("na"),
+        count(has & (w < 34)).alias("weak"),
+        count(has & (w >= 34) & (w < 64)).alias("moderate"),
+        count(has & (w >= 64) & (w < 96)).alias("strong"),
+        count(has & (w >= 96)).alias("very_strong"),
+        count(~has | w.isNull()).alias("na"),
         F.coalesce(F.max(F.when(has & (w > 0), w)), F.lit(0)).alias("max_wind"),
-        F.avg(F.when(has, w)).alias("mean_wind"),
-        F.count_if(has).alias("with_data"),
-        F.count(F.lit(1)).alias("total"))
+        F.try_divide(F.sum(F.when(has, w * n)).cast("double"), count(has).cast("double")).alias("mean_wind"),
+        count(has).alias("with_data"),
+        F.sum(n).alias("total"))
     avg = F.floor(F.col("mean_wind") + 0.5).cast("long")
     out = g.withColumn("avg_wind", F.when(avg > 0, avg)).drop("mean_wind")
     for c in ("weak", "moderate", "strong", "very_strong", "na"):
@@ -133,9 +137,10 @@ def verify_search_smoke(points: DataFrame, events: DataFrame) -> DataFrame:
             .crossJoin(tsu.agg(F.count(F.lit(1)).alias("tsunamis_near_12n80e_1000km"))))
 
 
-def result_count_filtered(sites: DataFrame, hits: DataFrame, start=None, end=None) -> DataFrame:
+def result_count_filtered(sites: DataFrame, hits: DataFrame, start=None, end=None, weight: str | None = None) -> DataFrame:
     """'n of m': results per site before and after the year filter (0 when none);
-    bounds as in ``results.year_range`` (a null year never passes a bound)."""
+    bounds as in ``results.year_range`` (a null year never passes a bound).
+    ``weight``: the column of ``hits`` that says for how many results a row stands (one each without it)."""
     from .search import valid_sites
 
     y = F.col("year")
@@ -144,8 +149,9 @@ def result_count_filtered(sites: DataFrame, hits: DataFrame, start=None, end=Non
         cond = cond & (y >= start)
     if end:
         cond = cond & (y <= end)
-    c = hits.groupBy("site_id").agg(F.count(F.lit(1)).alias("n_all"),
-                                    F.count_if(F.coalesce(cond, F.lit(False))).alias("n_kept"))
+    n = F.lit(1).cast("long") if weight is None else F.col(weight)
+    c = hits.groupBy("site_id").agg(F.sum(n).alias("n_all"),
+                                    F.sum(F.when(cond, n).otherwise(F.lit(0).cast("long"))).alias("n_kept"))
     return (valid_sites(sites).select("site_id").join(c, "site_id", "left")
             .select("site_id", F.coalesce("n_all", F.lit(0)).alias("results_total"),
                     F.coalesce("n_kept", F.lit(0)).alias("results_shown")))
