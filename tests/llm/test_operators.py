@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -538,3 +539,25 @@ def test_cut_points_mark_every_kind_of_cut():
     pos, cost = packing.cut_points(100, np.array([40, 40, 100]), np.array([7, 40, 99]), 1024)
     assert dict(zip(pos.tolist(), cost.tolist())) == {0: 0, 7: packing.SENTENCE_CUT, 39: packing.OTHER_CUT, 40: 0, 72: packing.OTHER_CUT,
                                                       99: packing.SENTENCE_CUT, 100: 0}
+
+
+def test_encoder_remembers_pieces_in_little_room():
+    """Ids stay right while pieces are forgotten and learned again; a remembered piece takes some 50 bytes."""
+    enc = token_ids.LibraryEncoder(VOCABULARY)
+    enc.memo = token_ids.IdMemo(400)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeéü") for _ in range(rng.randint(1, 7))) + rng.choice(["", "", ".", "!!", "$$"])
+    for _ in range(8):
+        texts = [" ".join(word() for _ in range(60)) + rng.choice(["", "\n\n x", "漢字" * 40, " \x01"]) for _ in range(12)]
+        assert enc.encode_batch(texts) == [np.array(e.ids, "<u4").tobytes() for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    memo = token_ids.IdMemo(10_000)
+    names = pa.array([f" piece{i}" for i in range(20_000)], pa.large_string())
+    key, check = token_ids.hashes(names)
+    assert all(np.array_equal(a[7:], b) for a, b in zip((key, check), token_ids.hashes(names.slice(7))))
+    assert len(set(key.tolist())) == len(set(check.tolist())) == 20_000
+    memo.write([i.to_bytes(4, "little") for i in range(20_000)], key, check, np.ones(20_000, bool))
+    memo.trim()
+    known, first, n = memo.find(key, check)
+    assert known.sum() == 5000 and (n[known] == 1).all() and (memo.ids[first[known]] == np.flatnonzero(known)).all()
+    assert not memo.find(key, check ^ np.uint64(1))[0].any()  # the second hash decides too
+    assert sum(x.nbytes for x in (memo.ids, memo.keys, memo.slot, memo.check, memo.first, memo.count, memo.seen)) <= 60 * 5000
