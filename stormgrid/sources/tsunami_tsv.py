@@ -121,17 +121,20 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(F.btrim(c, F.lit('"')), r"^\s+|\s+$", "")
 
 
-def _typed(c: Column, kind, name: str) -> list[Column]:
-    """Typed value of one cell; text and decimal cells also keep what the
-    overflow check needs (the stripped text / the parsed double)."""
-    v = F.when(c != "", c)
-    if kind == "int":
-        return [v.try_cast("int").alias(name)]
-    if kind == "coord":
-        return [v.try_cast("double").alias(name)]
-    if isinstance(kind, int):
-        return [v.alias(f"{name}__raw")]
-    return [v.try_cast("double").alias(f"{name}__raw")]
+def _cells(cells: dict[str, Column]) -> Column:
+    """The stripped cells of all FIELDS in order, null where missing or empty.
+
+    Lambdas over arrays: expressions of their own for each column would make the generated
+    code too large for the JIT compiler.
+    """
+    none = F.lit(None).cast("string")
+    stripped = F.transform(F.array(*(cells.get(h, none) for h, _, _ in FIELDS)), lambda c: F.when(_known(c) != "", _strip(c)))
+    return F.transform(stripped, lambda c: F.when(c != "", c))
+
+
+def _typed(as_type: str, kinds: dict[str, Column]) -> Column:
+    """The cells as numbers of one type."""
+    return F.transform(F.array(*kinds.values()), lambda c: c.try_cast(as_type))
 
 
 def _too_big(cells: dict[str, Column]) -> Column:
@@ -148,16 +151,18 @@ def _too_big(cells: dict[str, Column]) -> Column:
     return F.transform(F.filter(ints, beyond), lambda s: s["c"])
 
 
-def _checked(kind, name: str) -> tuple[Column, Column | None]:
-    """(value, overflow flag) from the columns made by :func:`_typed`."""
+def _valued(kind, name: str) -> Column:
+    """The value that the column holds, from the typed columns."""
+    raw = F.col(f"{name}__raw")
     if kind in ("int", "coord"):
-        return F.col(name), None
+        return F.col(name)
+    return (F.when(F.length(raw) <= kind, raw) if isinstance(kind, int) else raw.try_cast(f"decimal({kind[0]},{kind[1]})")).alias(name)
+
+
+def _overflows(kind, name: str) -> Column:
+    """Whether a text or decimal is there that the column doesn't hold."""
     raw = F.col(f"{name}__raw")
-    if isinstance(kind, int):
-        return F.when(F.length(raw) <= kind, raw).alias(name), F.length(raw) > kind
-    p, s = kind
-    dec = raw.try_cast(f"decimal({p},{s})")
-    return dec.alias(name), raw.isNotNull() & ~F.isnan(raw) & dec.isNull()
+    return raw.isNotNull() & F.col(name).isNull() & (F.lit(True) if isinstance(kind, int) else ~F.isnan(raw))
 
 
 def parse_tsunami_lines(lines: DataFrame, col: str = "line", header: tuple | None = None,
@@ -183,18 +188,17 @@ def _classified(rows: DataFrame, names: tuple, strict: bool, reject_overflow: bo
         & (F.trim(year_raw) != "")
     a = rows.withColumn("stage", F.when(~read_ok, F.lit("too many cells"))
                         .when(~F.coalesce(year_ok, F.lit(False)), F.lit("no year")))
-    typed = []
-    for h, c, kind in FIELDS:
-        raw = cells.get(h, F.lit(None).cast("string"))
-        typed += _typed(_strip(F.coalesce(_known(raw), F.lit(""))), kind, c)
-    t = a.select("line", "stage", _too_big(cells).alias("too_big"), *typed)
-    exprs, flags = [], []
-    for _, c, kind in FIELDS:
-        val, flag = _checked(kind, c)
-        exprs.append(val)
-        if flag is not None:
-            flags.append(F.when(flag, F.lit(c)))
-    t = t.select("line", "stage", *exprs, F.concat_ws(",", "too_big", *flags).alias("overflow"))
+    t = a.select("line", "stage", _too_big(cells).alias("too_big"), _cells(cells).alias("cells"))
+    own = {c: (F.col("cells")[k], kind) for k, (_, c, kind) in enumerate(FIELDS)}
+    ints = {c: v for c, (v, kind) in own.items() if kind == "int"}
+    doubles = {c: v for c, (v, kind) in own.items() if kind == "coord" or isinstance(kind, tuple)}
+    t = t.select("line", "stage", "too_big", "cells", _typed("int", ints).alias("ints"), _typed("double", doubles).alias("doubles"))
+    value = {c: F.col("ints")[k] for k, c in enumerate(ints)} | {c: F.col("doubles")[k] for k, c in enumerate(doubles)}
+    t = t.select("line", "stage", "too_big", *[value.get(c, v).alias(c if kind in ("int", "coord") else f"{c}__raw") for c, (v, kind) in own.items()])
+    checked = [(c, kind) for _, c, kind in FIELDS if kind not in ("int", "coord")]
+    t = t.select("line", "stage", "too_big", *(_valued(kind, c) for _, c, kind in FIELDS), *(f"{c}__raw" for c, _ in checked))
+    flags = [F.when(_overflows(kind, c), F.lit(c)) for c, kind in checked]
+    t = t.select("line", "stage", *(c for _, c, _ in FIELDS), F.concat_ws(",", "too_big", *flags).alias("overflow"))
     lat, lon = F.col("latitude"), F.col("longitude")
     coords_ok = lat.isNotNull() & lon.isNotNull() & lat.between(-90, 90) & lon.between(-180, 180)
     t = t.withColumn("reject_reason", F.coalesce(

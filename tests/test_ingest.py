@@ -161,3 +161,18 @@ def test_tsunami_tsv(spark, tmpdir_path):
     assert sorted(x.reject_reason for x in rej.collect()) == \
         ["no coordinates", "no year", "no year", "too many cells",
          "value does not fit its column: country", "value does not fit its column: earthquake_magnitude"]
+
+
+def test_tsunami_cells_are_cleaned_once(spark):
+    """Cleaning is one expression for all cells, so that the generated code stays small; every kind of cell keeps its value."""
+    lines = [_tsv_line(Deaths=" 7 ", Country='" JAPAN "', **{"Location Name": " ", "Earthquake Magnitude": "7.25", "Damage ($Mil)": "NA"}),
+             _tsv_line(Country="X" * 100, Sec="NaN", Deaths="5.0"), _tsv_line(Country="Y" * 101), _tsv_line(**{"Maximum Water Height (m)": "1234567.8"})]
+    ev, rej, rep = TSV.parse_tsunami_lines(spark.createDataFrame([(x,) for x in lines], "line string"), reject_overflow=False)
+    plan = ev._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 8  # one or two for each of 40 cells before
+    rows = ev.collect()
+    by = {(r.country, r.overflow): r for r in rows}
+    one = by[("JAPAN", None)]
+    assert (one.deaths, str(one.earthquake_magnitude), one.damage_mil, one.location_name) == (7, "7.3", None, None)
+    assert by[("X" * 100, None)].deaths is None and by[("X" * 100, None)].second is None
+    assert {r.overflow for r in rows} == {None, "country", "max_water_height"} and rej.count() == 0 and rep.first().overflow_rows == 2
