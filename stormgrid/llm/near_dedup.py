@@ -10,8 +10,9 @@ similarity of 0.8 a pair shares no band with a probability of 1e-6.
 * A band's bucket is never expanded into pairs. First, each class is compared with one
   hub, the class that shares the most buckets with others among its buckets' best ones.
 * Links found that way form components. What is left are buckets with members of several
-  components. For a few rounds, members outside of a bucket's largest component are each
-  compared with one of its members; at the end those still outside meet all members of
+  components. While these would make over ``PAIRS_A_MEMBER`` pairs for each member of a
+  bucket, and for a few rounds at most, members outside of a bucket's largest component are
+  each compared with one of its members; then those still outside meet all members of
   other components, so that no link between components stays unseen. There a sketch of
   each set comes first: its distance bounds the sets' difference from below, so that only
   pairs which no bound rules out leave the join and are compared.
@@ -50,6 +51,8 @@ WORDS, PERCENT = 5, 80
 #: Rounds in which members outside of a bucket's largest component meet some of its members,
 #: and how many of these each bucket offers; whatever is open then is compared in full.
 ROUNDS_OF_PARTNERS, PARTNERS = 3, 8
+#: Pairs across components, for each member of a bucket, that are few enough to look at without such rounds.
+PAIRS_A_MEMBER = 256
 #: Classes compared with one copy of a hub's set.
 SHARE = 64
 #: 64-bit words of a set's sketch.
@@ -204,13 +207,13 @@ def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["hub", "id"])
 
     dealt_rows = rows.repartition(partitions(sets.sparkSession), "hub", "share").sortWithinPartitions("hub", "share", "role")
-    return map_batches(dealt_rows, compare, "hub long, id long").distinct()
+    return map_batches(dealt_rows, compare, "hub long, id long")
 
 
 def components(links: DataFrame, a: str = "hub", b: str = "id") -> DataFrame:
     """node and label (smallest id reachable) of every node of the links."""
     both = stored(links.select(F.col(a).alias("node"), F.col(b).alias("other"))
-                  .union(links.select(F.col(b), F.col(a))).distinct(), "links")
+                  .union(links.select(F.col(b), F.col(a))), "links")
     labels = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
     while True:
         ends = labels.select(F.col("node").alias("other"), "label")
@@ -255,25 +258,26 @@ def _decided(docs: DataFrame, doc_id: str, text: str, words: int, percent: int,
     sets = _sets(own, wanted, words)
     links = stored(_confirmed(sets, first, percent), "links")
     labels = components(links)
-    tried, left = first, _unsettled(members, labels)
-    for k in range(ROUNDS_OF_PARTNERS + 1):
-        if not left.limit(1).count():
-            break  # every bucket lies in one component
-        if k < ROUNDS_OF_PARTNERS:
-            pairs = _partners(left, percent, k)
+    tried, (left, across) = first, _unsettled(members, labels)
+    few, k = PAIRS_A_MEMBER * members.count(), 0
+    while across:  # else every bucket lies in one component
+        last = k == ROUNDS_OF_PARTNERS or across <= few
+        if last:
+            pairs = stored(_all_across(left, sets, percent), "pairs")
         else:
-            pairs = _all_across(left, sets, percent)
-        done = tried.select(F.least("hub", "id").alias("_a"), F.greatest("hub", "id").alias("_b"))
-        pairs = stored(pairs.join(done, (F.least("hub", "id") == F.col("_a")) & (F.greatest("hub", "id") == F.col("_b")), "left_anti"), "pairs")
-        if not pairs.limit(1).count():
-            continue
-        new = stored(_confirmed(sets, pairs, percent), "links")
-        tried = tried.unionByName(pairs)
-        if new.limit(1).count():
-            links = stored(links.unionByName(new), "links")
-            labels = components(links)
-            if k < ROUNDS_OF_PARTNERS:
-                left = _unsettled(members, labels)
+            done = tried.select(F.least("hub", "id").alias("_a"), F.greatest("hub", "id").alias("_b"))
+            pairs = stored(_partners(left, percent, k).join(done, (F.least("hub", "id") == F.col("_a")) & (F.greatest("hub", "id") == F.col("_b")), "left_anti"), "pairs")
+        if pairs.limit(1).count():
+            new = stored(_confirmed(sets, pairs, percent), "links")
+            tried = tried.unionByName(pairs)
+            if new.limit(1).count():
+                links = stored(links.unionByName(new), "links")
+                labels = components(links)
+                if not last:
+                    left, across = _unsettled(members, labels)
+        if last:
+            break
+        k += 1
 
     nodes = labels.withColumnRenamed("node", "rep")
     winners = stored(table_join(nodes, classes.select("rep", "best"), ["rep"], "inner").groupBy("label").agg(F.min("best").alias("winner")), "winners")
@@ -285,14 +289,17 @@ def _decided(docs: DataFrame, doc_id: str, text: str, words: int, percent: int,
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), group.alias("component_id"), kept.alias("kept"), "key")
 
 
-def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with their bucket's largest one."""
+def _unsettled(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """(members of buckets that hold several components, with their bucket's largest one; the most pairs that
+    those outside of it can make)."""
     grouped = stored(table_join(members.select("band", "rep", "n"), labels.withColumnRenamed("node", "rep"), ["rep"])
                      .select("band", "rep", "n", F.coalesce("label", "rep").alias("label")), "grouped")
     sizes = grouped.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m"))
-    mixed = (sizes.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("m", "label")).alias("x"))
-             .filter("k > 1").select("band", F.col("x.label").alias("largest")))
-    return stored(table_join(grouped, stored(mixed, "mixed"), ["band"], "inner"), "unsettled")
+    mixed = (sizes.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("m", "label")).alias("x"), F.sum("m").alias("all"))
+             .filter("k > 1").select("band", F.col("x.label").alias("largest"), (F.col("all") * (F.col("all") - F.col("x.m"))).alias("across")))
+    mixed = stored(mixed, "mixed")
+    left = stored(table_join(grouped, mixed.drop("across"), ["band"], "inner"), "unsettled")
+    return left, mixed.agg(F.sum(F.col("across").cast("double"))).first()[0] or 0
 
 
 def _partners(left: DataFrame, percent: int, k: int) -> DataFrame:

@@ -188,6 +188,30 @@ def test_near_groups(spark, docs, words, rounds, monkeypatch):
     assert near_dedup.near_groups(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("most", [near_dedup.PAIRS_A_MEMBER, 0])
+def test_near_groups_by_pairs_left(spark, docs, most, monkeypatch):
+    """Few pairs across components are looked at without rounds of partners; the groups are the same with them."""
+    rounds = []
+    partners = near_dedup._partners
+    monkeypatch.setattr(near_dedup, "PAIRS_A_MEMBER", most)
+    monkeypatch.setattr(near_dedup, "_partners", lambda *a: (rounds.append(1), partners(*a))[1])
+    prepare(spark)
+    words = [f"w{k}" for k in range(60)]
+    near = lambda at: " ".join(words[:at] + [f"x{at}"] + words[at + 1:])
+    chain = [" ".join(words[k:k + 44]) for k in range(0, 17, 4)]  # each like the next one only
+    data = [(i, t) for i, t in enumerate([*map(near, range(0, 60, 7)), *chain, "all of its own"])]
+    sets = {i: set(zip(t.split(), t.split()[1:])) for i, t in data}
+    group = {i: i for i, _ in data}
+    for _ in data:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    group[a] = min(group[a], group[b])
+    got = near_dedup.near_groups(docs(data), words=2)
+    assert rows_of(got, "doc_id", "component_id") == sorted(group.items())
+    assert bool(rounds) == (most == 0)
+
+
 def test_dedup_stages_judge_rows(spark, docs):
     """Null ids and an id on several texts: a row goes for its own text only."""
     prepare(spark)
