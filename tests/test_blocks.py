@@ -77,3 +77,30 @@ def test_empty(spark, points, sites):
     assert B.storms_counted(points.limit(0), sites).count() == 0
     assert B.storms_counted(points, sites.limit(0)).count() == 0
     assert B.maxima_counted(points.limit(0), sites).count() == 0 and B.maxima_pairs(points.limit(0), sites).count() == 0
+
+
+def test_chunks_of_whole_storms(spark, points, sites, monkeypatch):
+    """Chunks as small as a storm, and parts of a tile, change nothing; a site's sample is one row that nothing exchanges."""
+    want = rows(B.samples(points, sites))
+    pairs = rows(B.maxima_pairs(points, sites))
+    monkeypatch.setattr(B, "BUCKET_ELEMENTS", 3)
+    monkeypatch.setattr(B, "TILE_SITES", 2)
+    got = B.samples(points, sites)
+    assert rows(got) == want and len({r[0] for r in want}) == len(want) > 30
+    assert rows(B.maxima_pairs(points, sites)) == pairs
+    samples = RK.site_samples(B.samples(points, sites.filter("site_id <> 20")))
+    assert rows(samples) == rows(RK.site_samples(RK.storm_block_maxima(points, sites.filter("site_id <> 20"))))
+    plan = samples._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan[:plan.index("MapInArrow")]
+
+
+def test_sites_are_sent_once(spark, points):
+    """What is exchanged for a tile: its sites once, and the pieces of storms once a tile, not once for each other's count."""
+    sent = []
+    for n in (1, 40):
+        sites = spark.createDataFrame([(k, (k % 50) * 0.1, (k // 50) * 0.1, 2e6) for k in range(50 * n)], "site_id long, lat double, lon double, radius_m double")
+        fixes = B._usable_fixes(points)
+        left, owns = B._tiled(sites)
+        sent.append((left.count(), owns.agg(F.sum("_parts")).first()[0]))
+        assert B._pieces(B._placed_fixes(fixes), B._FIX).count() <= fixes.count()
+    assert sent == [(50, 1), (2000, 1)]
