@@ -104,3 +104,41 @@ def test_sites_are_sent_once(spark, points):
         sent.append((left.count(), owns.agg(F.sum("_parts")).first()[0]))
         assert B._pieces(B._placed_fixes(fixes), B._FIX).count() <= fixes.count()
     assert sent == [(50, 1), (2000, 1)]
+
+
+@pytest.mark.parametrize("model", ["spheroid", "sphere"])
+def test_tracks_near_equal_pairs(spark, points, sites, model, monkeypatch):
+    """Every pair of the search by cells, with its distance, and what is told of the storm (twice where it is told twice)."""
+    monkeypatch.setattr(B, "BUCKET_ELEMENTS", 100)
+    about = points.groupBy(F.col("sid").alias("storm_id")).agg(F.count(F.lit(1)).alias("n"), F.max("iso_time").alias("t"))
+    about = about.unionByName(about.filter("storm_id in ('S3', 'pole')"))
+    near = S.tracks_within(points, sites, model)
+    want = rows(near.join(about, near.sid == about.storm_id).select("site_id", F.round("dist_m", 4), "storm_id", "n", "t"))
+    got = B.tracks_near(track_segments(points), sites, about, model)
+    assert got.columns == ["site_id", "dist_m", "storm_id", "n", "t"]
+    assert rows(got.select("site_id", F.round("dist_m", 4), "storm_id", "n", "t")) == want and len(want) > 300
+
+
+def test_search_by_blocks_and_by_cells(spark, points, sites):
+    """Rows, columns and exports are the same by either way; no exchange follows the pairs of the blocks."""
+    from stormgrid.operators import results as R
+    from stormgrid.operators.tracks import build_tracks
+    from stormgrid.sources import export as EX
+
+    pts = points.withColumn("dist2land", (F.col("obs_id") % 50 - 5).cast("int"))
+    tracks, wkt = build_tracks(pts), EX.track_wkt(pts)
+    found = []
+    try:
+        for few in ("0", "1000"):
+            spark.conf.set("stormgrid.cellSites", few)
+            plain = S.cyclone_search(pts, tracks, sites)
+            frames = [S.storms_near(pts, tracks, sites), plain, S.cyclone_search(pts, tracks, sites, shape=R.cyclone_row), EX.cyclone_csv_found(pts, tracks, sites, wkt)]
+            found.append([(f.columns, rows(f)) for f in frames])
+            if few == "0":
+                for f in frames:
+                    assert "Exchange" not in (plan := f.filter("site_id <> 20")._jdf.queryExecution().executedPlan().toString())[:plan.index("MapInArrow")].replace("BroadcastExchange", "")
+            after = [R.cyclone_row(plain), EX.cyclone_csv_lines(plain, wkt)]
+            assert [(f.columns, rows(f)) for f in after] == found[-1][2:]
+    finally:
+        spark.conf.unset("stormgrid.cellSites")
+    assert found[0] == found[1] and len(found[0][0][1]) > 200
