@@ -70,3 +70,20 @@ def test_totals_roll_up(spark):
     for k in range(C.LEVELS):
         got = points.select(C.place(F.lit(k), F.col("lat"), F.col("lon")).alias("cell")).groupBy("cell").count().collect()
         assert {c: n for (l, c), n in rows.items() if l == k} == {r["cell"]: r["count"] for r in got}
+
+
+def test_one_row_a_site(spark, sites, monkeypatch):
+    """Whatever the groups, chunks and parts, a site leaves its tile as one row, with the count of the pairs; a site that comes twice counts twice."""
+    from stormgrid.operators import blocks as B
+
+    rng = random.Random(16)
+    at = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(1500)] + [(rng.gauss(0, 1), rng.gauss(180, 1)) for _ in range(1500)] + [(0.0, 179.9)] * 40 + [(-90.0, 0.0), (90.0, 7.0)]
+    points = spark.createDataFrame([(k, a, (b + 180) % 360 - 180) for k, (a, b) in enumerate(at)], "id long, lat double, lon double")
+    want = sorted((r.site_id, r.n) for r in S.result_count(sites, S.points_within(points, sites, ["id"]), "n").collect() if r.n)
+    for chunk, piece, parts, size in ((262_144, 4096, 16_384, 2.0), (50, 7, 3, 30.0)):
+        for name, v in (("BUCKET_ELEMENTS", chunk), ("PIECE", piece), ("TILE_SITES", parts)):
+            monkeypatch.setattr(B, name, v)
+        met = B.points_met(points, sites, F.floor(F.col("lat") / size) * 1000 + F.floor(F.col("lon") / size))
+        assert counted(met) == want
+    twice = C.points_counted(points, sites.union(sites.filter("site_id = 12")), "n").filter("site_id = 12").collect()
+    assert [r.n for r in twice] == [2 * dict(want).get(12, 0)] * 2
